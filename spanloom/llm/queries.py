@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import packing, simhash, token_orc
+from spanloom.llm import cross_polytope, hilbert, packing, simhash, token_orc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,10 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "tokens")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE, end_id=2)
-    return token_orc.positions(token_orc.digests(token_orc.read_tokens(spark, path)))
+    tokens = token_orc.read_tokens(spark, path)
+    return token_orc.positions(token_orc.digests(tokens), tokens)
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +39,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op6_packing, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op5_nearest, op6_packing, op8_simhash)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import cross_polytope, hilbert, packing, simhash, token_orc
+from spanloom.llm import cross_polytope, hilbert, packing, simhash, token_orc, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,10 +34,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, window=2048, with_ids=False)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_rows(warc.read_records(warc.archive(table(spark, sf_dir, "pages"))))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op5_nearest, op6_packing, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op5_nearest, op6_packing, op7_warc, op8_simhash)}
 SQL: dict[str, str] = {}

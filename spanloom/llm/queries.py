@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import cross_polytope, hilbert, packing, simhash, token_orc, warc
+from spanloom.llm import cross_polytope, hilbert, packing, prefix_free, simhash, token_orc, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,5 +43,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op5_nearest, op6_packing, op7_warc, op8_simhash)}
+def op9_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free)}
 SQL: dict[str, str] = {}

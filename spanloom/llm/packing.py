@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_
         bpe, packer = byte_bpe(tokenizer), Packer(window, sentence_ends(tokenizer), **rule)
         for batch in small_batches(batches):
             found = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode(batch.column("text").to_pylist())):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), bpe.encode(batch.column("text"))):
                 found.extend(packer.add(doc_id, ids + end))
             yield rows(found)
         yield rows(list(packer.close(final=True)))

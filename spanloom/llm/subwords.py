@@ -9,45 +9,59 @@ given to the library once; any other text goes to the library as it is.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The pre-token pattern of the byte-level BPE, for the characters below.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 PRETOKEN = re.compile(rf"'(?:[sdmt]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 #: Characters whose class the pattern above may take otherwise than the library does.
-UNCOMMON = re.compile(r"[^\x00-\x1b\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]")
+UNCOMMON = r"[^\x01-\x1b\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧‰-⁞₠-₿]"
 SPACED = re.compile(rf" [{LETTERS}]+")
-MEMO_ENTRIES = 500_000
 JOINED = 4096
 
 
+class Memo:
+    """A bounded map in two generations: what has not been asked for during one is forgotten."""
+
+    def __init__(self, entries: int):
+        self.entries, self.now, self.older = entries, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of ``keys`` that are not known; the others are in ``now`` afterwards."""
+        new = keys - self.now.keys()
+        if len(self.now) + len(new) > self.entries:
+            self.now, self.older, new = {}, self.now, keys
+        known = new & self.older.keys()
+        self.now.update(zip(known, map(self.older.__getitem__, known)))
+        return list(new - known)
+
+
 class ByteBPE:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pretokens = Memo(entries)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, new: list[str]) -> None:
-        """Two generations: words unseen for a while go, frequent ones are carried over."""
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.older, self.memo = self.memo, {}
-        known = [w for w in new if w in self.older]
-        self.memo.update(zip(known, map(self.older.__getitem__, known)))
-        new = [w for w in new if w not in self.memo]
+    def _pretokens(self, split: list[list[str]]) -> list[bytes]:
+        """Ids of texts given as their pre-tokens."""
+        new = self.pretokens.missing(set().union(*split))
+        ids_of = self.pretokens.now
         spaced = list(filter(SPACED.fullmatch, new))
         for k in range(0, len(spaced), JOINED):
             words = spaced[k : k + JOINED]
@@ -55,27 +69,30 @@ class ByteBPE:
             ids, of = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
             cuts = np.searchsorted(of, np.arange(len(words) + 1)) * 4
             data = ids.tobytes()
-            self.memo.update((w, data[a:b]) for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()))
-        other = [w for w in new if w not in self.memo]
-        self.memo.update(zip(other, self.whole(other)))
+            ids_of.update((w, data[a:b]) for w, a, b in zip(words, cuts[:-1].tolist(), cuts[1:].tolist()))
+        other = [w for w in new if w not in ids_of]
+        ids_of.update(zip(other, self.whole(other)))
+        return [b"".join(map(ids_of.__getitem__, words)) for words in split]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        odd = np.asarray(pc.fill_null(pc.match_substring_regex(texts, UNCOMMON), False))
+        texts = texts.to_pylist()
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if UNCOMMON.search(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
+        at = np.flatnonzero(odd).tolist()
+        for i, ids in zip(at, self.whole([texts[i] for i in at])):
             out[i] = ids
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        for k in range(0, len(rest), 256):
-            some = rest[k : k + 256]
-            split = [PRETOKEN.findall(texts[i]) for i in some]
-            new = set().union(*split) - self.memo.keys()
-            if new:
-                before = self.memo
-                self._learn(list(new))
-                if self.memo is not before:  # a new generation began: what this batch shares with the last one too
-                    self._learn(list(set().union(*split) - self.memo.keys()))
-            for i, words in zip(some, split):
-                out[i] = b"".join(map(self.memo.__getitem__, words))
+        at = np.flatnonzero(~odd).tolist()
+        collecting = gc.isenabled()
+        gc.disable()  # many short strings and no cycles
+        try:
+            for k in range(0, len(at), 256):
+                some = at[k : k + 256]
+                for i, ids in zip(some, self._pretokens([PRETOKEN.findall(texts[i]) for i in some])):
+                    out[i] = ids
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
 

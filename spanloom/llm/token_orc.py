@@ -32,7 +32,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def encode(batches):
         bpe = byte_bpe(tokenizer)
         for batch in small_batches(batches):
-            ids = [x + end for x in bpe.encode(batch.column("text").to_pylist())]
+            ids = [x + end for x in bpe.encode(batch.column("text"))]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, list_array(ids)], ["doc_id", "n_tokens", "ids"])
 
@@ -82,11 +82,11 @@ def digests(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(crc, "part int, doc_id long, n_tokens long, ids_crc32 long")
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """Adds start: the ids of all documents before. Sums by file give each file's offset, so only those meet in one task."""
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_file"))
+def positions(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds start, the ids of all documents before, to digests. Of ``files`` only part and n_tokens are read: sums by file give each file's offset, so only those meet in one task."""
+    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("in_file"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("part", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("offset"))
+    offsets = sums.select("part", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return own.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

@@ -28,7 +28,11 @@ def crc(ids):
 def test_memo_equals_library(library, spark):
     texts = [t or "" for _, t in HARD_TEXTS] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    texts += (edge := ["a\n b", "a \n b", " a\tb ", "a  b", "a\n\n  b\n", "\n", " ", "it's 'll\n x"])
+    want += [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in edge]
     assert ByteBPE(PATH).encode(texts) == want
+    few = ByteBPE(PATH, entries=50)
+    assert [few.encode([t])[0] for t in texts] == want
 
 
 def check_tokens(rows, docs, library):
@@ -47,7 +51,8 @@ def test_orc_round_trip(spark, hard_docs, no_docs, library):
     for docs, want in ((hard_docs, HARD_TEXTS), (no_docs, [])):
         path = shared_folder(spark, "t")
         token_orc.write_tokens(docs, path, PATH, 2)
-        check_tokens(token_orc.positions(token_orc.digests(token_orc.read_tokens(spark, path))).collect(), want, library)
+        tokens = token_orc.read_tokens(spark, path)
+        check_tokens(token_orc.positions(token_orc.digests(tokens), tokens).collect(), want, library)
     assert token_orc.lookup(spark, path, [5]).count() == 0
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanloom.llm import cross_polytope, hilbert, packing, prefix_free, simhash, token_orc, warc
+from spanloom.llm import cross_polytope, hilbert, packing, prefix_free, simhash, token_orc, toxicity, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +27,12 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.positions(token_orc.digests(tokens), tokens)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -47,5 +54,5 @@ def op9_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free)}
 SQL: dict[str, str] = {}

@@ -306,27 +306,64 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int
     return per_document(every, "start", "stop")
 
 
+def without(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int]:
+    """``data`` without the union of some intervals, and how many runs that union has."""
+    _, low, high = spans(np.zeros(len(low), dtype=np.int64), low, np.minimum(high, len(data)))
+    at, kept = 0, []
+    for a, b in zip(low.tolist(), high.tolist()):
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]]), len(low)
+
+
+def own_rows(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+
+
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 8192) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes, of each document."""
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    own = own_rows(docs)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def run(batches):
         for batch in small_batches(batches):
             rows = []
-            parts = batch.column("parts")
             for k, text in enumerate(batch.column("text").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
-                low, high = intervals(parts, k, "start", "stop")
-                _, low, high = spans(np.zeros(len(low), dtype=np.int64), low, np.minimum(high, len(data)))
-                at, kept = 0, []
-                for a, b in zip(low.tolist(), high.tolist()):
-                    kept.append(data[at:a])
-                    at = b
-                kept = b"".join([*kept, data[at:]])
-                rows.append((len(data), len(data) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), kept))
-            n, removed, count, digest, kept = zip(*rows) if rows else [()] * 5
-            kinds = [(n, pa.int64()), (removed, pa.int64()), (count, pa.int64()), (digest, pa.string()), (kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = own.join(repeats(own, window, gram, crowd), "doc_id", "left").select("doc_id", "text", "parts")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                kept, n = without(data, *intervals(batch.column("parts"), k, "start", "stop"))
+                rows.append((len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield batch_of(schema, batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(columns, kinds)))
+
+    return own.join(repeats(own, window, gram, crowd), "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(run, schema)
+
+
+def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 8192) -> DataFrame:
+    """The rows of ``docs``, all columns, with repeats cut from text and n_chars, where it is there, set anew.
+
+    Bytes of a character that a cut has split go with it. A text without repeats, null too, stays as it is.
+    """
+    parts = repeats(own_rows(docs), window, gram, crowd).select(F.col("doc_id").alias("cut_of"), F.col("parts").alias("cut_parts"))
+    joined = docs.join(parts, docs["doc_id"] == parts["cut_of"], "left").select(*(docs[c] for c in docs.columns), parts["cut_parts"])
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches):
+        for batch in small_batches(batches):
+            columns = batch.columns
+            cuts = columns.pop()
+            changed = np.flatnonzero(np.asarray(cuts.is_valid()))
+            if len(changed):
+                texts = columns[at].to_pylist()
+                counts = columns[count].to_pylist() if count is not None else None
+                for k in changed.tolist():
+                    data = texts[k].encode("utf-8", "surrogatepass")
+                    texts[k] = without(data, *intervals(cuts, k, "start", "stop"))[0].decode("utf-8", "ignore")
+                    if counts is not None:
+                        counts[k] = len(texts[k])
+                columns[at] = pa.array(texts, columns[at].type)
+                if counts is not None:
+                    columns[count] = pa.array(counts, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

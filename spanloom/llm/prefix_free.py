@@ -295,7 +295,7 @@ def later_suffixes(content: DataFrame, window: int) -> DataFrame:
     return again.select("doc_id", "start", (F.col("start") + window).alias("stop"))
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 8192) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """doc_id and ``parts``, the intervals of bytes covered by windows that also start earlier."""
     found = keep(settle(parse(docs, window, gram), window), "parse")
     suffixes = keep(compare(dictionary(docs, found.where("gram is not null")), window, crowd), "suffixes")
@@ -320,7 +320,7 @@ def own_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
-def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 8192) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes, of each document."""
     own = own_rows(docs)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -339,7 +339,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int =
     return own.join(repeats(own, window, gram, crowd), "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(run, schema)
 
 
-def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 8192) -> DataFrame:
+def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """The rows of ``docs``, all columns, with repeats cut from text and n_chars, where it is there, set anew.
 
     Bytes of a character that a cut has split go with it. A text without repeats, null too, stays as it is.

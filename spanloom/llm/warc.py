@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import keep, shared_folder
 
-GZIP, ANY_GZIP, CHUNK = 31, 47, 1 << 20
+GZIP, ANY_GZIP, CHUNK = 31, 47, 1 << 18
 #: Fixed values of the format.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -117,48 +117,51 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
 
 
 def inflated(stream):
-    """Chunks of the content of a gzip file, whatever its members."""
+    """The content of a gzip file, whatever its members, in chunks of bounded size."""
     engine = zlib.decompressobj(ANY_GZIP)
     while data := stream.read(CHUNK):
         while data:
-            yield engine.decompress(data)
-            if not engine.eof:
-                break
-            data, engine = engine.unused_data.lstrip(b"\0"), zlib.decompressobj(ANY_GZIP)
-    tail = engine.flush()
-    if tail:
+            yield engine.decompress(data, CHUNK)
+            if engine.eof:
+                data, engine = engine.unused_data.lstrip(b"\0"), zlib.decompressobj(ANY_GZIP)
+            else:
+                data = engine.unconsumed_tail
+    if tail := engine.flush():
         yield tail
 
 
 def records(chunks):
     """The records of a stream: for each its header block and an iterator over its content, to be used up before the next."""
-    held, chunks = b"", iter(chunks)
+    held, at, chunks = b"", 0, iter(chunks)
 
     def more() -> bool:
-        nonlocal held
+        nonlocal held, at
         new = next(chunks, None)
         if new is not None:
-            held += new
+            held, at = held[at:] + new, 0
         return new is not None
 
     while True:
-        held = held.lstrip(b"\r\n")
-        while END not in held and more():
-            held = held.lstrip(b"\r\n")
-        if not held:
+        while True:  # line ends between records
+            while held[at : at + 1] in (b"\r", b"\n"):
+                at += 1
+            if at < len(held) or not more():
+                break
+        if at == len(held):
             return
-        if END not in held:
-            raise ValueError("a record header has no end")
-        head, held = held.split(END, 1)
+        while (end := held.find(END, at)) < 0:
+            if not more():
+                raise ValueError("a record header has no end")
+        head, at = held[at:end], end + len(END)
         left = int(headers(head).get("content-length", 0))
 
         def content():
-            nonlocal held, left
+            nonlocal at, left
             while left:
-                if not held and not more():
+                if at == len(held) and not more():
                     raise ValueError("a record is cut off")
-                part, held = held[:left], held[left:]
-                left -= len(part)
+                part = held[at : at + left]
+                at, left = at + len(part), left - len(part)
                 if part:
                     yield part
 
@@ -209,7 +212,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows)
 
-    spread = archives.select("file").repartition("file")
+    spread = archives.select("file").repartition(max(1, archives.count()))  # a task for each archive
     return keep(spread.mapInPandas(run, INDEX), "index")
 
 
@@ -242,7 +245,9 @@ def read_records(index: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows)
 
     schema = "record_id string, type string, uri string, refers_to string, digest string, payload_bytes long, payload binary"
-    ordered = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    rows = index.select("file", "offset", "length")
+    tasks = max(1, index.select("file").distinct().count())  # each reads a stretch of an archive or of some
+    ordered = rows.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInPandas(run, schema)
 
 

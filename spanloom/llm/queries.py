@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import cross_polytope, hilbert, packing, prefix_free, simhash, token_orc, toxicity, warc
+from spanloom.llm import cross_polytope, hilbert, lm, packing, prefix_free, simhash, token_orc, toxicity, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +55,9 @@ def op9_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free)}
+def op10_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), BYTE_PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention)}
 SQL: dict[str, str] = {}

@@ -40,6 +40,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def hash_share(column: str, share: float) -> Column:
+    """A set share of the rows, chosen by a hash."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+
+
 def uint32(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, dtype="<u4")
 

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import cross_polytope, hilbert, lm, packing, prefix_free, simhash, token_orc, toxicity, warc
+from spanloom.llm import cross_polytope, hilbert, lattice, lm, packing, prefix_free, simhash, token_orc, toxicity, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -28,6 +29,11 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.positions(token_orc.digests(tokens), tokens)
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = lattice.encode(table(spark, sf_dir, "documents"), PIECE_FILE)
+    return lattice.digests(lattice.decode(encoded, PIECE_FILE))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
@@ -59,5 +65,5 @@ def op10_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), BYTE_PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention)}
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention)}
 SQL: dict[str, str] = {}

@@ -1,7 +1,8 @@
 """Keyed decisions over event streams: threshold notices, a circuit breaker, failure streaks, show-once marks.
 
 Each is a processor over rows of one key in event-time order within a batch; state lives in
-the state store and expires. All take streams with ``key`` (string) and ``at`` (timestamp).
+the state store and goes when a key has been still for its time to live. Rows later than the
+watermark are dropped. All take streams with ``key`` (string) and ``at`` (timestamp).
 """
 
 from __future__ import annotations
@@ -22,20 +23,42 @@ def by_time(rows: Iterator[pd.DataFrame]) -> list:
     return list(pd.concat(frames).sort_values("at", kind="stable").itertuples(index=False)) if frames else []
 
 
-class Notices(StatefulProcessor):
+class Expiring(StatefulProcessor):
+    """State that a timer clears, set anew by each batch of a key."""
+
+    live = DAY
+
+    def renew(self, rows: list) -> None:
+        if rows:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int(rows[-1].at.timestamp() * 1000) + self.live)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Notices(Expiring):
     """A notice when ``tokens`` first reaches a level, each time at the hardest, and again after ``step`` more tokens."""
 
     def __init__(self, levels=LEVELS, step: int = 20_000):
         self.levels, self.step = levels, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.told = handle.getValueState("told", "level string, tokens long", ttlDurationMs=DAY)
+        self.handle = handle
+        self.state = handle.getValueState("told", "level string, tokens long")
 
     def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        level, last = self.told.get() if self.told.exists() else (None, 0)
+        level, last = self.state.get() if self.state.exists() else (None, 0)
         names = [n for n, _ in reversed(self.levels)]
         out = []
-        for row in by_time(rows):
+        rows = by_time(rows)
+        self.renew(rows)
+        for row in rows:
             now = next((n for n, least in self.levels if row.tokens >= least), None)
             if now is None:
                 level, last = None, 0
@@ -45,77 +68,77 @@ class Notices(StatefulProcessor):
                 out.append((key[0], row.at, now, int(row.tokens)))
                 level, last = now, int(row.tokens)
         if level is None:
-            self.told.clear()
+            self.state.clear()
         else:
-            self.told.update((level, last))
+            self.state.update((level, last))
         yield pd.DataFrame(out, columns=["key", "at", "level", "tokens"])
 
-    def close(self) -> None:
-        pass
-
 
-class Breaker(StatefulProcessor):
+class Breaker(Expiring):
     """The first call is blocked; one within ``seconds`` of it passes. The time is that of the first call and is not renewed."""
 
     def __init__(self, seconds: float = 180):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "at timestamp", ttlDurationMs=DAY)
+        self.handle = handle
+        self.state = handle.getValueState("first", "at timestamp")
 
     def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        anchor = pd.Timestamp(self.first.get()[0]) if self.first.exists() else None
+        anchor = pd.Timestamp(self.state.get()[0]) if self.state.exists() else None
         out = []
-        for row in by_time(rows):
+        rows = by_time(rows)
+        self.renew(rows)
+        for row in rows:
             passes = anchor is not None and (row.at - anchor).total_seconds() <= self.seconds
             if not passes:
                 anchor = row.at
             out.append((key[0], row.at, not passes))
         if anchor is not None:
-            self.first.update((anchor.to_pydatetime(),))
+            self.state.update((anchor.to_pydatetime(),))
         yield pd.DataFrame(out, columns=["key", "at", "blocked"])
 
-    def close(self) -> None:
-        pass
 
-
-class Streaks(StatefulProcessor):
+class Streaks(Expiring):
     """A hint at the ``most``-th failure in a row (``failed``), once; a success ends the run."""
 
     def __init__(self, most: int = 3):
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", "n int, told boolean", ttlDurationMs=7 * DAY)
+        self.handle = handle
+        self.state = handle.getValueState("count", "n int, told boolean")
 
     def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        n, told = self.count.get() if self.count.exists() else (0, False)
+        n, told = self.state.get() if self.state.exists() else (0, False)
         out = []
-        for row in by_time(rows):
+        rows = by_time(rows)
+        self.renew(rows)
+        for row in rows:
             n = n + 1 if row.failed else 0
             if n >= self.most and not told:
                 told = True
                 out.append((key[0], row.at, n))
-        self.count.update((n, told))
+        self.state.update((n, told))
         yield pd.DataFrame(out, columns=["key", "at", "failures"])
 
-    def close(self) -> None:
-        pass
-
 
-class Handoffs(StatefulProcessor):
+class Handoffs(Expiring):
     """A session sets a pending handoff of its project; another session takes it once, within ``hours``; the same one drops it."""
 
     def __init__(self, hours: float = 12):
         self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pending = handle.getValueState("pending", "session string, at timestamp", ttlDurationMs=DAY)
+        self.handle = handle
+        self.state = handle.getValueState("pending", "session string, at timestamp")
 
     def handleInputRows(self, key, rows, timer) -> Iterator[pd.DataFrame]:
-        held = self.pending.get() if self.pending.exists() else None
+        held = self.state.get() if self.state.exists() else None
         out = []
-        for row in by_time(rows):
+        rows = by_time(rows)
+        self.renew(rows)
+        for row in rows:
             if row.sets:
                 held = (row.session, row.at.to_pydatetime())
             elif held is not None:
@@ -124,17 +147,14 @@ class Handoffs(StatefulProcessor):
                     out.append((key[0], row.at, held[0], row.session))
                 held = None
         if held is None:
-            self.pending.clear()
+            self.state.clear()
         else:
-            self.pending.update(held)
+            self.state.update(held)
         yield pd.DataFrame(out, columns=["key", "at", "from_session", "to_session"])
 
-    def close(self) -> None:
-        pass
-
 
-def run(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy("key").transformWithStateInPandas(processor, schema, "Append", "ProcessingTime")
+def run(stream: DataFrame, processor: StatefulProcessor, schema: str, late: str = "10 minutes") -> DataFrame:
+    return stream.withWatermark("at", late).groupBy("key").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def notices(stream: DataFrame, **rule) -> DataFrame:

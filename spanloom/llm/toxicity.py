@@ -140,16 +140,17 @@ def fit(texts: list[str], toxic: np.ndarray, prior: tuple[int, int], steps: int
         share = (prior[1] + 0.5) / (sum(prior) + 1)
         chain.logistic = (0.0, 0.0, math.log(share / (1 - share)))
         return chain
-    words = [WORD.findall(t.lower()) for t in texts]
+    one: dict[str, str] = {}
+    words = [[one.setdefault(w, w) for w in WORD.findall(t.lower())] for t in texts]  # each word is held once
     truth = np.concatenate([*label_words(words, toxic), np.zeros(0, dtype=bool)])
     lengths = np.array([len(w) for w in words])
     types: dict[str, int] = {}
     token = np.array([types.setdefault(w, len(types)) for doc in words for w in doc])
+    del words
     names: dict[str, int] = {}
     pairs = [(names.setdefault(f, len(names)), k) for w, k in types.items() for f in features(w)]
     feature, of_type = np.array(pairs).T
     at, counts = stretches(lengths)
-    there, rows = at >= 0, at[counts]
     rare = math.log((truth.sum() + 1) / (len(truth) + 2)) - 2
     weight, shared = np.zeros(len(names)), np.array([rare, 0.0, 0.0, 0.0, 0.0, 0.0])  # bias, first, 00, 01, 10, 11
     past_weight, past_shared = np.full(len(names), 1e-8), np.full(6, 1e-8)
@@ -160,16 +161,18 @@ def fit(texts: list[str], toxic: np.ndarray, prior: tuple[int, int], steps: int
     seen = np.array([((1 - y[1:]) * (1 - y[:-1]))[after[1:]].sum(), (y[1:] * (1 - y[:-1]))[after[1:]].sum(), ((1 - y[1:]) * y[:-1])[after[1:]].sum(), (y[1:] * y[:-1])[after[1:]].sum()])
     for _ in range(steps):
         unary = shared[0] + np.bincount(of_type, weight[feature], minlength=len(types))
-        values = np.clip(np.where(there, unary[token[at]], 0.0), -40, 40)
-        left, right, p = forward_backward(values, there, shared[1], shared[2:])
-        flat = np.zeros(len(token))
-        flat[rows] = p[counts]
-        # expected transitions into each counted word with another before it
-        own = counts[:, 1:] & there[:, :-1]
-        e = np.exp(shared[2:])
-        r, x = left[:, :-1][own], (np.exp(values) * right)[:, 1:][own]
-        joint = np.stack([np.full(len(r), e[0]), e[1] * x, e[2] * r, e[3] * r * x])
-        expected = (joint / joint.sum(0)).sum(1)
+        flat, expected, e = np.zeros(len(token)), np.zeros(4), np.exp(shared[2:])
+        for b in range(0, len(at), 2048):  # stretches of bounded memory
+            some, due = at[b : b + 2048], counts[b : b + 2048]
+            there = some >= 0
+            values = np.clip(np.where(there, unary[token[some]], 0.0), -40, 40)
+            left, right, p = forward_backward(values, there, shared[1], shared[2:])
+            flat[some[due]] = p[due]
+            # expected transitions into each counted word with another before it
+            own = due[:, 1:] & there[:, :-1]
+            r, x = left[:, :-1][own], (np.exp(values) * right)[:, 1:][own]
+            joint = np.stack([np.full(len(r), e[0]), e[1] * x, e[2] * r, e[3] * r * x])
+            expected += (joint / joint.sum(0)).sum(1)
         error = y - flat
         slope = np.bincount(feature, np.bincount(token, error, minlength=len(types))[of_type], minlength=len(names)) - decay * len(token) * weight
         slope_shared = np.concatenate([[error.sum(), error[begins].sum()], seen - expected]) - decay * len(token) * np.concatenate([[0.0], shared[1:]])

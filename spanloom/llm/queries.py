@@ -30,8 +30,7 @@ def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = lattice.encode(table(spark, sf_dir, "documents"), PIECE_FILE)
-    return lattice.digests(lattice.decode(encoded, PIECE_FILE))
+    return lattice.digests(lattice.encode(table(spark, sf_dir, "documents"), PIECE_FILE, decoded=True))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

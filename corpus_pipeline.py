@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import packing, prefix_free, simhash, toxicity
+from spanloom.llm import near_copies, packing, prefix_free, toxicity
 from spanloom.llm.common import keep
 from spanloom.llm.queries import BYTE_BPE, table
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows without a doc_id stay."""
-    return simhash.representatives(docs)
+    """Of each group of documents linked by a similarity of 0.8 over five-word shingles the one with the smallest doc_id stays; rows without a doc_id stay."""
+    return near_copies.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

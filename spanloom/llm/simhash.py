@@ -188,13 +188,6 @@ def near_duplicates(docs: DataFrame, crowd: int = 2000) -> DataFrame:
     return own.join(labelled, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each component the smallest doc_id, once, and rows without a doc_id."""
-    chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(docs.columns).union(docs.where("doc_id is null"))
-
-
 def hex_of(fp: str = "fp"):
     """16 lower-case hex digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

@@ -12,9 +12,10 @@ against all rows, and the width is the quantile of rank distances that brings ``
 their true neighbours into a window on at least one curve. It is small where vectors lie in
 clusters and wide where they are spread evenly in many dimensions, as no curve can help there.
 
-Queries travel to the blocks, and a block has a bounded number of rows. Beyond k + 1 copies
-of one vector, those with larger ids cannot be among the k nearest of any query and are not
-dealt out as candidates; they still are queries.
+Queries travel to the blocks, and a block has a bounded number of rows. Copies of a vector are
+one unit on the curves, with the k + 1 smallest of its distinct ids: those with larger ids
+cannot be among the k nearest of any query. Found units are expanded to these ids, and every
+query takes the list of its own unit, in which its copies stand.
 
 Cases: rows without an id and vectors that are null, empty, zero or hold null or non-finite
 components take no part. Vectors of unequal length compare as if filled up with zeros. Ties go
@@ -179,12 +180,43 @@ def fit_window(rows: DataFrame, candidates: DataFrame, width: int, k: int, recal
     return max(least, int(np.ceil(np.quantile(gap, recall))))
 
 
+def smallest_ids(ids: DataFrame, most: int, salts: int = 256) -> DataFrame:
+    """The ``most`` smallest vec_ids of each key of distinct (key, vec_id), first in each of ``salts`` parts of it."""
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts))
+    part = Window.partitionBy("key", "salt").orderBy("vec_id")
+    some = ids.withColumn("salt", salt).withColumn("n", F.row_number().over(part)).where(F.col("n") <= most)
+    return some.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("n") <= most).select("key", "vec_id")
+
+
+def units(own: DataFrame, every: int) -> DataFrame:
+    """vec_id (a number of the unit, in order of its smallest id), key, asks and embedding of each distinct vector."""
+    asks = F.max(F.col("vec_id") % every == 0).alias("asks")
+    one = own.groupBy("key").agg(F.min("vec_id").alias("least"), asks, F.first("embedding").alias("embedding"))
+    order = ["least", "key"]
+    one = one.repartitionByRange(*order).sortWithinPartitions(*order)
+    return keep(one.select(F.monotonically_increasing_id().alias("vec_id"), "key", "asks", "embedding"), "candidates")
+
+
 def search(rows: DataFrame, k: int = 20, every: int = 20, curves: int = 12, dims: int = 6, bits: int = 8, block: int = 2048, recall: float = 0.96, sample: int = 200) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each row whose vec_id is divisible by ``every``."""
     own = usable_rows(rows).withColumn("key", content())
-    copies = Window.partitionBy("key").orderBy("vec_id")
-    deep = own.withColumn("copy", F.row_number().over(copies)).withColumn("asks", F.col("vec_id") % every == 0)
-    candidates = keep(deep.where(F.col("copy") <= k + 1).drop("copy", "key").union(deep.where((F.col("copy") > k + 1) & F.col("asks")).drop("copy", "key")), "candidates")
+    ids = keep(own.select("key", "vec_id").distinct(), "ids")
+    candidates = units(own, every)
+    number = candidates.select(F.col("vec_id").alias("unit"), "key")
+    kept = keep(smallest_ids(ids, k + 1).join(number, "key").select("unit", "vec_id"), "kept")
+    vectors_of_id = ids.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    near = near_units(candidates, k * vectors_of_id, curves, dims, bits, block, recall, sample)  # ids may stand in several units
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    near = near.select("query_id", F.col("vec_id").alias("unit"), "score").union(candidates.where("asks").select("vec_id", "vec_id", norm))
+    best = merge(near.join(kept, "unit").select("query_id", "vec_id", "score"), k + 1)
+    lists = best.groupBy(F.col("query_id").alias("unit")).agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))
+    queries = ids.where(F.col("vec_id") % every == 0).join(number, "key").select("unit", F.col("vec_id").alias("query_id"))
+    found = queries.join(lists, "unit").select("query_id", F.explode("found").alias("f")).select("query_id", "f.*")
+    return merge(found.where("vec_id != query_id"), k)
+
+
+def near_units(candidates: DataFrame, k: int, curves: int, dims: int, bits: int, block: int, recall: float, sample: int) -> DataFrame:
+    """query_id, rank, vec_id and score of the k nearest other units found of each unit that asks."""
     width = width_of(candidates)
     order = ranked(candidates, width, curves, dims, bits)
     half = fit_window(order, candidates, width, k, recall, sample, block // 2)

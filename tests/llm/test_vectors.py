@@ -88,6 +88,26 @@ def test_copies_tie_to_smaller_ids(spark):
     assert [found[100, r] for r in (1, 2, 3)] == [0, 1, 2]
 
 
+def test_rows_that_repeat_an_id_are_one_copy(spark):
+    v, w = [1.0, 0.0], [0.5, 0.5]
+    rows = [(1, v)] * 30 + [(i, v) for i in (2, 3, 21, 40, 60)] + [(20, w)]
+    got = hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()
+    found = {(r.query_id, r.rank): r.vec_id for r in got}
+    assert found == {(q, r): i for q in (20, 40, 60) for r, i in enumerate((1, 2, 3), 1)}
+
+
+def test_many_copies_on_narrow_windows(spark):
+    rng = np.random.default_rng(9)
+    same = rng.normal(size=8).astype(np.float32).tolist()
+    rows = [(i, same) for i in range(400)] + [(400 + i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(200)]
+    rows += [(405, rows[450][1]), (1000, rows[3][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = hilbert.search(frame, k=5, block=16, recall=1.0).collect()
+    want = brute_nearest([r for r in rows if r[0] != 405], 5, 20)
+    own = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in want}
+    assert all(own[q] == [i for _, i in want[q]] for q in want if q < 400 or q == 1000)
+
+
 def test_search_query(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert recall(rows, queries.op5_nearest(spark, SF).collect()) >= 0.9

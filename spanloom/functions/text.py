@@ -144,31 +144,93 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit(0)).otherwise(F.floor(100 * part / whole + 0.5)).cast("long")
 
 
+#: What JavaScript's \s and trim take as white space, for use in a character class.
+SPACE = r"\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Unicode's Extended_Pictographic, which Java 17 does not name.
+PICTURES = (
+    r"\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}\x{21AA}\x{231A}\x{231B}\x{2328}\x{2388}\x{23CF}\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{24C2}"
+    r"\x{25AA}\x{25AB}\x{25B6}\x{25C0}\x{25FB}-\x{25FE}\x{2600}-\x{2605}\x{2607}-\x{2612}\x{2614}-\x{2685}\x{2690}-\x{2705}\x{2708}-\x{2712}\x{2714}\x{2716}\x{271D}\x{2721}"
+    r"\x{2728}\x{2733}\x{2734}\x{2744}\x{2747}\x{274C}\x{274E}\x{2753}-\x{2755}\x{2757}\x{2763}-\x{2767}\x{2795}-\x{2797}\x{27A1}\x{27B0}\x{27BF}\x{2934}\x{2935}"
+    r"\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1F0FF}\x{1F10D}-\x{1F10F}\x{1F12F}\x{1F16C}-\x{1F171}\x{1F17E}\x{1F17F}"
+    r"\x{1F18E}\x{1F191}-\x{1F19A}\x{1F1AD}-\x{1F1E5}\x{1F201}-\x{1F20F}\x{1F21A}\x{1F22F}\x{1F232}-\x{1F23A}\x{1F23C}-\x{1F23F}\x{1F249}-\x{1F3FA}\x{1F400}-\x{1F53D}"
+    r"\x{1F546}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F774}-\x{1F77F}\x{1F7D5}-\x{1F7FF}\x{1F80C}-\x{1F80F}\x{1F848}-\x{1F84F}\x{1F85A}-\x{1F85F}\x{1F888}-\x{1F88F}"
+    r"\x{1F8AE}-\x{1F8FF}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1FAFF}\x{1FC00}-\x{1FFFD}"
+)
+
+
+def trim_space(c: Column) -> Column:
+    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
 def prose_lines(c: Column | str) -> Column:
-    """Lines outside fences, without inline code, quotes and headings, as (paragraph, line)."""
+    """Lines outside fences, without inline code, quotes and headings, as (paragraph, line). Empty lines, fences and quotes close a paragraph."""
     start = F.struct(F.lit(False).alias("fenced"), F.lit(0).alias("paragraph"), F.array().cast("array<struct<paragraph:int,line:string>>").alias("out"))
 
     def step(s, line):
-        fence = line.rlike(r"^\s*(```|~~~)")
-        plain = F.trim(F.regexp_replace(line, r"`[^`\n]*`", ""))
-        skip = s["fenced"] | fence | line.rlike(r"^\s*>") | line.rlike(r"^#{1,6}\s") | (plain == "")
+        fence = line.rlike(rf"^[{SPACE}]*(```|~~~)")
+        plain = trim_space(F.regexp_replace(line, r"`[^`\n]*`", ""))
+        closes = (trim_space(line) == "") | line.rlike(rf"^[{SPACE}]*>")
+        skip = s["fenced"] | fence | closes | plain.rlike(rf"^#{{1,6}}[{SPACE}]") | (plain == "")
         return F.struct(
             F.when(fence, ~s["fenced"]).otherwise(s["fenced"]).alias("fenced"),
-            F.when(~s["fenced"] & ~fence & (F.trim(line) == ""), s["paragraph"] + 1).otherwise(s["paragraph"]).alias("paragraph"),
+            F.when(fence | (~s["fenced"] & closes), s["paragraph"] + 1).otherwise(s["paragraph"]).alias("paragraph"),
             F.when(skip, s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["paragraph"].alias("paragraph"), plain.alias("line"))))).alias("out"),
         )
 
-    return F.aggregate(F.split(col(c), "\r?\n"), start, step, lambda s: s["out"])
+    return F.aggregate(F.split(col(c), "\n"), start, step, lambda s: s["out"])
 
 
-QUESTION_END = r"""\?[:!\s*_)\]»"'“”\x{FE0F}\x{200D}]*$"""
+BEFORE, AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+QUESTION_END = rf"""\?[:!{SPACE}*_)\]»"'“”{PICTURES}\x{{FE0F}}\x{{200D}}]*\z"""
+#: A question mark before a new sentence of the same line.
+QUESTION_MID = rf"""\?[*_)\]»"'“”]*[{SPACE}]+\p{{Lu}}"""
 #: Phrases that wait for the reader, beside the question mark.
-AWAITING = r"(?iu)(?<![\p{L}\p{N}])(?:let me know|should i|shall i|want me to|do you want|would you like|if you(?:'d)? (?:like|want|prefer|agree)|open questions?)(?![\p{L}\p{N}])"
+AWAITING = (
+    rf"(?iu){BEFORE}(?:как скажете|скажите|напишите|дайте знать|подтвердите|жду (?:вашего|вашей|ваш|ответа|решения|подтверждения|отмашки|команды|ок)"
+    r"|если (?:согласны|хотите|не против|скажете)|если (?:нужно|надо)[^.]*могу|решать вам|на ваше усмотрение|выбор за вами"
+    rf"|let me know|should i|shall i|want me to|do you want|would you like|if you(?:'d)? (?:like|want|prefer|agree)){AFTER}"
+)
+#: A line with this word asks for a click, not for an answer.
+CLICK = rf"(?iu){BEFORE}uac{AFTER}"
+#: Headings of options; list items; how many items in a row are options.
+OPTIONS_HEAD = rf"(?iu)^(?:варианты|на выбор|options){AFTER}|^можно(?! было)[{SPACE}][^\n\r\x{{2028}}\x{{2029}}]+[{SPACE}]или[{SPACE}]"
+LIST_ITEM = rf"^[{SPACE}]*(?:[0-9]+[.)]|[-*•]|[a-zA-Zа-яА-Я]\))[{SPACE}]+[^{SPACE}]"
+LEAST_OPTIONS = 2
+#: Open questions as statements, words that close them, and in how many last paragraphs they count.
+OPEN = rf"(?iu){BEFORE}(?:открыт\p{{L}}*[{SPACE}]+(?:[\p{{L}}\p{{N}}]+[{SPACE}]+){{0,2}}вопрос|вопрос\p{{L}}*[{SPACE}]+(?:[\p{{L}}\p{{N}}]+[{SPACE}]+){{0,2}}открыт|open questions?{AFTER})"
+CLOSED = rf"(?iu){BEFORE}(?:нет|не остал\p{{L}}*|закрыл\p{{L}}*|снят\p{{L}}*|решён|решен\p{{L}}*|none){AFTER}"
+OPEN_PARAGRAPHS = 2
+#: Words in quotation marks are not the writer's.
+QUOTED = r"""«[^»]*»|„[^“”]*[“”]|"[^"]*"|“[^”]*”"""
+
+
+def asks(line: Column) -> Column:
+    """Whether a line of prose waits for an answer."""
+    waits = ~line.rlike(CLICK) & F.regexp_replace(line, QUOTED, "").rlike(AWAITING)
+    return line.rlike(QUESTION_END) | line.rlike(QUESTION_MID) | waits | line.rlike(OPTIONS_HEAD)
 
 
 def pending_question(c: Column | str) -> Column:
-    """The last question or waiting phrase of the last paragraph of prose, or null."""
-    lines = prose_lines(c)
-    last = F.array_max(F.transform(lines, lambda x: x["paragraph"]))
-    asks = F.filter(lines, lambda x: (x["paragraph"] == last) & (x["line"].rlike(QUESTION_END) | x["line"].rlike(AWAITING)))
-    return F.try_element_at(F.transform(asks, lambda x: x["line"]), F.lit(-1))
+    """The first line of the last paragraph that asks, else an open question of the last two, else the line that asks before a tail of list items, or null."""
+    start = F.struct(F.lit(None).cast("string").alias("head"), F.lit(0).alias("items"))
+
+    def tail(s, x):
+        """The line before the list items at the end, and their number."""
+        item = x["line"].rlike(LIST_ITEM)
+        return F.struct(F.when(item, s["head"]).otherwise(x["line"]).alias("head"), F.when(item, s["items"] + 1).otherwise(0).alias("items"))
+
+    def choose(lines):
+        paragraphs = F.array_sort(F.array_distinct(F.transform(lines, lambda x: x["paragraph"])))
+        late = F.slice(F.reverse(paragraphs), 1, OPEN_PARAGRAPHS)
+        last = F.array_max(paragraphs)
+
+        def open_(line):
+            own = F.regexp_replace(line, QUOTED, "")
+            return own.rlike(OPEN) & ~own.rlike(CLOSED)
+
+        hit = F.get(F.filter(lines, lambda x: (x["paragraph"] == last) & asks(x["line"])), F.lit(0))["line"]
+        still = F.get(F.filter(lines, lambda x: F.array_contains(late, x["paragraph"]) & open_(x["line"])), F.lit(0))["line"]
+        options = F.aggregate(lines, start, tail, lambda s: F.when((s["items"] >= LEAST_OPTIONS) & asks(s["head"]), s["head"]))
+        return F.coalesce(hit, still, options)
+
+    return F.get(F.transform(F.array(prose_lines(c)), choose), F.lit(0))

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The folder is ``spark.checkpoint.dir``. Where the session names none, as in tests
-    on one machine, a temporary folder is made and set.
+    The folder is ``spark.checkpoint.dir``. Where the session names none, a temporary folder
+    is made and set on a local master, as in tests; any other master is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

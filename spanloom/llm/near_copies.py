@@ -1,37 +1,49 @@
-"""Near copies among texts: all pairs whose sets of word shingles are similar enough, in connected components.
+"""Near copies among texts: SimHash over five-word shingles first, then exactly all pairs whose shingle sets are similar enough.
 
 Shingles are ``WORDS`` = 5 words (the whole text where it has fewer), hashed to 64 bits. Pairs
-with a Jaccard similarity of 4/5 or more link. The search is exact: under one order of all
-shingles, two such texts of n and m shingles share one among the first n - ceil(4n/5) + 1 of
-the one and the first m - ceil(4m/5) + 1 of the other. These go to a table of (token, key),
-texts that share a token are compared in full. The order puts shingles that a sample finds in
-many texts last; the sample bears on the load alone, any order gives the same links.
-
-Texts with equal shingle sets are one class before anything is dealt out. Each class is first
-compared with the least and the largest key at each of its tokens; what that links is one
-component, and only pairs across components are then met, in blocks of a token's classes. So a
-large group of near copies is not compared pair by pair.
+with a Jaccard similarity of 4/5 or more link; the links' components are the groups. Texts
+with equal shingle sets are one class before anything is dealt out.
+
+1. Each class has a SimHash fingerprint of its set. Fingerprints within two bits meet at
+   anchor points of a covering code (``simhash.anchor_links``); each link found is verified on
+   the sets. This joins what is nearly alike, but a pair at 4/5 differs in about ten bits and
+   mostly passes it.
+2. So the search is completed: under one order of all shingles, two such texts of n and m
+   shingles share one among the first n - ceil(4n/5) + 1 of the one and the first
+   m - ceil(4m/5) + 1 of the other. Classes are listed at these tokens. The order puts shingles
+   that a sample finds in many texts last; it bears on the load alone, any order gives the same
+   links. At each token every class is first tried with ``PIVOTS`` others, picked by hash.
+3. What is in different components then meets at its tokens in blocks: classes of a token's
+   largest component with all others, never with each other.
+
+No pair leaves the joins of 2 and 3 unless two bounds allow it: the places of the token in the
+two orders, and the symmetric difference that sketches of 512 parity bits prove. Pairs that
+are left are verified on the sets. What remains quadratic is a crowd of texts near the
+threshold that are alike to none: each is tried by sketch with the others of its tokens.
 
 Cases: a null text is the empty text; texts without words have the empty set and are copies of
-each other alone. Rows without a doc_id take no part. A doc_id with several texts links by any
-of them. Columns other than doc_id and text are not read.
+each other alone. Rows without a doc_id take no part. Rows that share a doc_id are texts of
+their own, and stay beside each other where they are not alike. Columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import hash_share, keep, small_batches, text_of
 from spanloom.llm.components import connected_components
+from spanloom.llm.simhash import anchor_links, crowd_links
 
+PIVOTS, LONGS = 8, 8
 SEED, WORDS = 42, 5
 U = np.uint64
 
@@ -50,20 +62,42 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=U, count=len(ends)))
 
 
+def majority(sig: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes, as a signed long."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(sig), 1 << 15):
+        counts += np.unpackbits(sig[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(sig), bitorder="little").view("<i8")[0])
+
+
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes in 512 places, as signed longs: sets whose sketches differ in k bits differ in k members at least."""
+    odd = np.bincount((sig >> U(55)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+SIGNATURES = "doc_id long, tag long, key long, fp long, size int, sketch array<long>, sig binary"
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """row, doc_id, key (of the shingle set) and sig, the set's hashes."""
+    """doc_id, tag (of the text), key (of the shingle set), fp, size, sketch and sig, the set's hashes."""
 
     def run(batches):
-        place = TaskContext.get().partitionId() << 40
+        names = [x.split()[0] for x in SIGNATURES.split(", ")]
         for batch in small_batches(batches):
-            sigs = [shingles(t).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            sigs = [s.astype("<u8").tobytes() for s in sets]
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in sigs]
-            rows = pa.array(place + np.arange(len(sigs)))
-            place += len(sigs)
-            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], ["row", "doc_id", "key", "sig"])
+            sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([sketch(s) for s in sets])), LONGS).cast(pa.list_(pa.int64()))
+            columns = [pa.array(keys, pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), sketches, pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns], names)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).where("doc_id is not null")
-    return own.mapInArrow(run, "row long, doc_id long, key long, sig binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of().alias("tag"), text_of().alias("text")).where("doc_id is not null")
+    return own.mapInArrow(run, SIGNATURES)
+
+
+def tag_of() -> Column:
+    return F.xxhash64(text_of())
 
 
 def common_tokens(own: DataFrame, texts: int = 20_000, least: int = 8, most: int = 1 << 17) -> np.ndarray:
@@ -95,7 +129,7 @@ def first_tokens(sig: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.nd
 
 
 def postings(own: DataFrame) -> DataFrame:
-    """token, key, size: each class at its first tokens."""
+    """token, key, place: each class at its first tokens, with their places in its order."""
     by_rank = common_tokens(own)
     order = np.argsort(by_rank)
     shared = own.sparkSession.sparkContext.broadcast((by_rank[order], order))
@@ -103,16 +137,15 @@ def postings(own: DataFrame) -> DataFrame:
     def run(batches):
         common, rank = shared.value
         for batch in batches:
-            sigs = [np.frombuffer(s, "<u8") for s in batch.column("sig").to_pylist()]
+            sigs = batch.column("sig").to_pylist()
             for b in range(0, len(sigs), 512):
-                some = sigs[b : b + 512]
-                firsts = [first_tokens(s, common, rank) for s in some]
-                n = [len(f) for f in firsts]
+                firsts = [first_tokens(np.frombuffer(s, "<u8"), common, rank) for s in sigs[b : b + 512]]
+                n = np.array([len(f) for f in firsts])
                 key = np.repeat(np.asarray(batch.column("key"))[b : b + 512], n)
-                size = np.repeat(np.array([len(s) for s in some], dtype=np.int32), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(key), pa.array(size)], ["token", "key", "size"])
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(key), pa.array(place.astype(np.int32))], ["token", "key", "place"])
 
-    return own.select("key", "sig").mapInArrow(run, "token long, key long, size int")
+    return own.select("key", "sig").mapInArrow(run, "token long, key long, place int")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -121,8 +154,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
 
 
-def verify(pairs: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) that are alike."""
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) that are alike. ``sets``: key and sig of each class."""
 
     def run(batches):
         for batch in batches:
@@ -130,48 +163,88 @@ def verify(pairs: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
             near = [alike(np.frombuffer(x[k].as_py(), "<u8"), np.frombuffer(y[k].as_py(), "<u8")) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sigs = keep(own.select("row", "sig").join(classes.join(needed, "key").select("row", "key"), "row").select("key", "sig"), "sigs")
-    full = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b")
+    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
 
 
-def across(shared: DataFrame, label: DataFrame, block: int) -> DataFrame:
-    """a, b: classes at one token, of sizes that can be alike, in different components."""
-    own = shared.join(label, shared.key == label.node, "left").select("token", "key", "size", F.coalesce("component", "key").alias("label"))
-    open_ = own.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    dealt = own.join(open_.select("token", "n"), "token").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
-    dealt = keep(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))), "dealt")
-    low, high = F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")
-    left = dealt.where("part <= other").select("token", low, high, F.col("key").alias("k"), F.col("size").alias("s"), F.col("label").alias("l"))
-    right = dealt.where("part >= other").select("token", low, high, F.col("key").alias("k2"), F.col("size").alias("s2"), F.col("label").alias("l2"))
-    met = left.join(right, ["token", "low", "high"]).where("l != l2 and 5 * least(s, s2) >= 4 * greatest(s, s2) and (low != high or k < k2)")
-    return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
+def may_be_alike(x: str, y: str) -> Column:
+    """What sizes, places of a shared token (the first in both orders, for some token of each alike pair) and sketches allow."""
+    one, other = F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place")
+    both = F.col(f"{x}.size") + F.col(f"{y}.size")
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}.sketch")[k].bitwiseXOR(F.col(f"{y}.sketch")[k])) for k in range(LONGS)))
+    return (9 * F.least(one, other) >= 4 * both) & (9 * apart <= both)
 
 
-def links(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """u, v: doc_ids whose components are those of the near copies."""
-    own = keep(signatures(docs), "shingles")
-    classes = keep(own.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.row").alias("row")), "classes")
-    dealt = keep(postings(own).distinct(), "postings")
-    one = F.struct("key", "size")
-    ends = dealt.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.key != hi.key")
-    shared = keep(dealt.join(ends, "token"), "shared")
-    stars = shared.select("key", "size", F.explode(F.array("lo", "hi")).alias("c")).where("key != c.key and 5 * least(size, c.size) >= 4 * greatest(size, c.size)")
-    stars = keep(stars.select(F.least("key", "c.key").alias("a"), F.greatest("key", "c.key").alias("b")).distinct(), "stars")
-    near = verify(stars, own, classes)
+def pairs_of(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def labelled(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """Postings with label, their class's component by the links ``near``."""
     label = connected_components(near.toDF("u", "v"))
-    rest = keep(across(shared.select("token", "key", "size"), label, block).join(stars, ["a", "b"], "left_anti"), "rest")
-    near = near.union(verify(rest, own, classes))
-    rep = classes.select("key", "rep")
-    between = near.join(rep.toDF("a", "u"), "a").join(rep.toDF("b", "v"), "b").select("u", "v")
-    copies = own.select("doc_id", "key").join(rep, "key").where("doc_id != rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    return between.union(copies)
-
-
-def representatives(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of each component the smallest doc_id, once, and rows without a doc_id."""
-    gone = connected_components(links(docs, block)).select(F.col("node").alias("doc_id")).distinct()
-    stay = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return stay.select(docs.columns).union(docs.where("doc_id is null"))
+    return keep(shared.join(label, shared.key == label.node, "left").withColumn("label", F.coalesce("component", "key")).drop("node", "component"), "labelled")
+
+
+def with_pivots(own: DataFrame) -> DataFrame:
+    """a, b: classes of different labels, one a pivot of a token that both are at."""
+    row = F.struct("key", "size", "place", "sketch", "label")
+    picks = [F.min_by(row, F.xxhash64("key", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *picks).where("lo != hi")
+    each = pivots.select("token", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("y"))
+    met = own.select("token", row.alias("x")).join(each, "token").where((F.col("x.label") != F.col("y.label")) & may_be_alike("x", "y"))
+    return pairs_of(met)
+
+
+def across(own: DataFrame, block: int) -> DataFrame:
+    """a, b: classes at one token, in different components, that may be alike."""
+    by_label = own.groupBy("token", "label").agg(F.count("*").alias("n"))
+    sums = by_label.groupBy("token").agg(F.sum("n").alias("n"), F.max_by("label", "n").alias("largest"), F.count("*").alias("labels")).where("labels > 1")
+    dealt = own.join(sums.select("token", "largest", F.ceil(F.col("n") / block).cast("int").alias("parts")), "token")
+    row = F.struct("key", "size", "place", "sketch", "label").alias("r")
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    homes = dealt.select("token", part.alias("part"), row)
+    few = dealt.where("label != largest").select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), row, "largest")
+    x, y = few.withColumnRenamed("r", "x"), homes.withColumnRenamed("r", "y")
+    once = (F.col("y.label") == F.col("largest")) | (F.col("x.key") < F.col("y.key"))
+    return pairs_of(x.join(y, ["token", "part"]).where((F.col("x.label") != F.col("y.label")) & once & may_be_alike("x", "y")))
+
+
+def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFrame:
+    """key and component of each class of ``own`` (rows of ``signatures``) that is not its component's own."""
+    classes = keep(own.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    sets = keep(own.select("key", "sig").dropDuplicates(["key"]), "sets")
+    # 1: fingerprints, of the classes that have any shingles
+    alone = classes.where("size > 0")
+    fps = alone.groupBy("fp").agg(F.min("key").alias("rep"))
+    found = keep(anchor_links(fps, crowd), "links")
+    crowded = found.where("v is null").select("fp", F.col("u").alias("rep")).distinct()
+    pairs = found.where("v is not null").select("u", "v").union(crowd_links(crowded))
+    pairs = pairs.union(alone.join(fps, "fp").where("key != rep").select("key", "rep")).toDF("a", "b")
+    near = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
+    # 2: shared first tokens
+    listed = keep(postings(sets), "postings")
+    tokens = listed.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
+    shared = keep(listed.join(tokens, "token", "left_semi").join(classes.select("key", "size", "sketch"), "key"), "shared")
+    near = near.union(verify(with_pivots(labelled(shared, near)), sets))
+    # 3: the rest
+    near = near.union(verify(across(labelled(shared, near), block), sets))
+    return connected_components(near.toDF("u", "v")).toDF("key", "component")
+
+
+def representatives(docs: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the text with the smallest doc_id, once, and rows without a doc_id."""
+    own = keep(signatures(docs), "shingles")
+    each = own.join(components(own, block, crowd), "key", "left").select("doc_id", "tag", F.coalesce("component", "key").alias("component"))
+    each = keep(each, "components")
+    winners = each.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("w"))
+    texts = each.groupBy("doc_id", "tag").agg(F.first("component").alias("component"), F.count("*").alias("n"))
+    texts = keep(texts.join(winners, "component").select("doc_id", "tag", "n", (F.struct("doc_id", "tag") == F.col("w")).alias("stays")), "texts")
+    tagged = docs.withColumns({"_tag": tag_of(), "_id": F.col("doc_id").cast("long")})
+
+    def having(kind: str, where: str) -> DataFrame:
+        some = texts.where(where).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+        return tagged.join(some, ["_id", "_tag"], kind)
+
+    once = having("left_anti", "not stays or n > 1")  # rows without a doc_id among them
+    again = having("left_semi", "stays and n > 1").dropDuplicates(["_id", "_tag"])
+    return once.unionByName(again).select(docs.columns)

@@ -23,7 +23,7 @@ are dealt out by their content. What a task holds is a batch, a document or a cr
 
 Cases: a null text is the empty text. Order is by doc_id. Rows without a doc_id take no part.
 Rows that repeat a doc_id with the same text are one document, reported as often as they
-occur. Columns other than doc_id and text are not read. An empty table gives an empty table.
+occur; those with other texts are documents of their own, in the order of a hash of the text. Columns other than doc_id and text are not read. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def parse(docs: DataFrame, window: int, gram: int) -> DataFrame:
             yield batch_of(PARSE, trigger[new].view(np.int64), phrase[new].view(np.int64), doc[new], start[new], n[new])
             yield batch_of(PARSE, (d.astype(U) * MULTIPLY[1]).view(np.int64), d, d, a, -b)
 
-    return docs.mapInArrow(run, PARSE)
+    return docs.select("doc_id", "text").mapInArrow(run, PARSE)
 
 
 def settle(parsed: DataFrame, window: int) -> DataFrame:
@@ -316,8 +316,21 @@ def without(data: bytes, low: np.ndarray, high: np.ndarray) -> tuple[bytes, int]
     return b"".join([*kept, data[at:]]), len(low)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_place``, a number for each pair of doc_id and text in their order: the doc_id where all its rows have one text."""
+    tagged = docs.withColumns({"_place": F.col("doc_id").cast("long"), "_tag": F.xxhash64(text_of())})
+    pairs = tagged.select("_place", "_tag").where("_place is not null")
+    if pairs.groupBy("_place").agg(F.min("_tag").alias("a"), F.max("_tag").alias("b")).where("a != b").isEmpty():
+        return tagged.drop("_tag")
+    order = pairs.distinct().repartitionByRange("_place", "_tag").sortWithinPartitions("_place", "_tag")
+    order = keep(order.select(F.col("_place").alias("_id"), F.col("_tag").alias("_of"), F.monotonically_increasing_id().alias("_at")), "places")
+    found = tagged.join(order, (F.col("_place") == F.col("_id")) & (F.col("_tag") == F.col("_of")), "left")
+    return found.withColumn("_place", F.col("_at")).select(*docs.columns, "_place")
+
+
 def own_rows(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    """doc_id (as placed), own_id (as given) and text."""
+    return placed(docs.select("doc_id", "text")).where("doc_id is not null").select(F.col("_place").alias("doc_id"), F.col("doc_id").cast("long").alias("own_id"), text_of().alias("text"))
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
@@ -334,9 +347,9 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int =
                 rows.append((len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
             columns = zip(*rows) if rows else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield batch_of(schema, batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(columns, kinds)))
+            yield batch_of(schema, batch.column("own_id"), *(pa.array(v, t) for v, t in zip(columns, kinds)))
 
-    return own.join(repeats(own, window, gram, crowd), "doc_id", "left").select("doc_id", "text", "parts").mapInArrow(run, schema)
+    return own.join(repeats(own, window, gram, crowd), "doc_id", "left").select("own_id", "text", "parts").mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
@@ -344,8 +357,10 @@ def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = 10
 
     Bytes of a character that a cut has split go with it. A text without repeats, null too, stays as it is.
     """
-    parts = repeats(own_rows(docs), window, gram, crowd).select(F.col("doc_id").alias("cut_of"), F.col("parts").alias("cut_parts"))
-    joined = docs.join(parts, docs["doc_id"] == parts["cut_of"], "left").select(*(docs[c] for c in docs.columns), parts["cut_parts"])
+    own = placed(docs)
+    texts = own.where("_place is not null").select(F.col("_place").alias("doc_id"), text_of().alias("text"))
+    parts = repeats(texts, window, gram, crowd).select(F.col("doc_id").alias("_place"), F.col("parts").alias("_cut"))
+    joined = own.join(parts, "_place", "left").select(*docs.columns, "_cut")
     at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):

@@ -3,7 +3,8 @@
 A byte-level BPE first splits a text by a fixed pattern and then merges inside each
 pre-token alone, so the ids of a text are those of its pre-tokens in turn. Texts whose
 characters are all of the common Latin ranges are split here and each new pre-token is
-given to the library once; any other text goes to the library as it is.
+given to the library once; any other text goes to the library as it is, and so does a text
+that holds an added token of the file, which the library takes out first.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ class ByteBPE:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = "|".join([UNCOMMON, *added])
         self.pretokens = Memo(entries)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -76,7 +78,7 @@ class ByteBPE:
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        odd = np.asarray(pc.fill_null(pc.match_substring_regex(texts, UNCOMMON), False))
+        odd = np.asarray(pc.fill_null(pc.match_substring_regex(texts, self.odd), False))
         texts = texts.to_pylist()
         out: list[bytes | None] = [None] * len(texts)
         at = np.flatnonzero(odd).tolist()

@@ -84,14 +84,14 @@ def headers(head: bytes) -> dict[str, str]:
 
 
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, sha1 (hex) and refers_to (null: a response) of each page."""
+    """page_id, url, payload, sha1 (hex) and refers_to (as a string, so that pandas keeps every digit; null: a response) of each page."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     small = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("sha1"), F.length(payload).alias("bytes"))
     first = small.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     again = small.join(first.where("n > 1"), "sha1").where("page_id != first").select("page_id", "sha1", F.col("first").alias("refers_to")).distinct()
-    return rows.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", "refers_to")
+    return rows.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "sha1", F.col("refers_to").cast("string"))
 
 
 def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
@@ -106,7 +106,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
                 if out is None:
                     store.create_dir(at, recursive=True)
                     out = store.open_output_stream(f"{at}/{name}", compression=None)
-                out.write(squeeze.compress(record(page_id, url, bytes(payload), base32(sha1), None if pd.isna(refers) else int(refers), date)))
+                out.write(squeeze.compress(record(page_id, url, bytes(payload), base32(sha1), None if refers is None else int(refers), date)))
                 n += 1
         if out is not None:
             out.write(squeeze.flush())

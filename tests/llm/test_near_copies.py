@@ -39,8 +39,9 @@ def edited_texts():
     return docs
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,pivots", [(1024, 8), (3, 8), (3, 1)])
+def test_against_brute_force(spark, monkeypatch, block, pivots):
+    monkeypatch.setattr(near_copies, "PIVOTS", pivots)
     docs = edited_texts()
     want, pairs = brute(docs)
     sets = {d: plain_set(t) for d, t in docs}
@@ -60,6 +61,21 @@ def test_hard_and_empty(spark, hard_docs, no_docs):
     assert near_copies.representatives(no_docs).count() == 0
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    rows = [(1, "one two three four five six", 1), (1, "seven eight nine ten eleven twelve", 2), (1, "seven eight nine ten eleven twelve", 3), (2, "ONE two three four five six", 4)]
+    kept = near_copies.representatives(spark.createDataFrame(rows, "doc_id long, text string, tag int")).collect()
+    assert sorted((r.doc_id, r.text[:5]) for r in kept) == [(1, "one t"), (1, "seven")]
+
+
+def test_bounds_never_refuse_an_alike_pair(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 300, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)]))
+        apart = np.bitwise_count((near_copies.sketch(a) ^ near_copies.sketch(b)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b))
+
+
 def test_alike_share_a_first_token():
     rng = np.random.default_rng(2)
     common = np.sort(rng.choice(400, 60, replace=False)).astype(np.uint64)

@@ -83,3 +83,15 @@ def test_rolling_hash_is_of_content():
     for length in (1, 5, 32, 100):
         h = prefix_free.rolling(data, length)
         assert len(h) == len(data) - length + 1 and (h[:-10] == h[10:]).all() and len(set(h)) == 10
+
+
+def test_other_texts_of_one_id_are_documents_of_their_own(spark):
+    passage = "".join(f"{k * k} " for k in range(80))
+    docs = [(1, "a" + passage), (1, "bb" + passage), (1, "bb" + passage), (2, passage)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in prefix_free.remove(frame).collect())
+    n = len(passage)
+    assert got[3] == (2, n, n) and [x[:2] for x in got[:3]] == [(1, n + 1), (1, n + 2), (1, n + 2)]
+    assert sorted({x[2] for x in got[:3]}) == [0, n] and got[1] == got[2]
+    cut = sorted(r.text for r in prefix_free.cut(frame).collect())
+    assert cut[0] == "" and sorted(map(len, cut))[1:] in ([1, n + 2, n + 2], [2, 2, n + 1])

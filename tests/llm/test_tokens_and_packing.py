@@ -16,9 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def crc(ids):
@@ -31,6 +29,7 @@ def test_memo_equals_library(library, spark):
     texts += (edge := ["a\n b", "a \n b", " a\tb ", "a  b", "a\n\n  b\n", "\n", " ", "it's 'll\n x"])
     want += [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in edge]
     assert ByteBPE(PATH).encode(texts) == want
+    assert ByteBPE(PATH).encode(["a <|endoftext|> b", "<|endoftext", "x<|endoftext|>"]) == [np.array(x, dtype="<u4").tobytes() for x in ([64, 220, 50256, 275], library.encode("<|endoftext").ids, [87, 50256])]
     few = ByteBPE(PATH, entries=50)
     assert [few.encode([t])[0] for t in texts] == want
 

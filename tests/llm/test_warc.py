@@ -68,3 +68,10 @@ def test_any_members_and_bad_streams():
         assert [zlib.decompress(out.getvalue()[a : a + n], 31) for a, n, _ in rows] == [one, two]
     with pytest.raises(ValueError):
         list(warc.rewrite(io.BytesIO(gzip.compress(one[:-10])), io.BytesIO()))
+
+
+def test_ids_beyond_the_exact_doubles(spark):
+    one = 2**53 + 1
+    pages = spark.createDataFrame([(one, "http://a.b/", "same"), (one + 2, "http://a.b/", "same"), (5, "http://a.b/", "other")], "page_id long, url string, html string")
+    got = {r.page_id: r.refers_to for r in warc.page_rows(warc.read_records(warc.archive(pages))).collect()}
+    assert got == {one: None, one + 2: one, 5: None}

@@ -36,7 +36,7 @@ def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "offsets")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

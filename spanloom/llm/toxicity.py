@@ -15,7 +15,7 @@ function of the expected number of toxic words and of the chance that there is o
 
 Cases: a null or empty text has no words and gets the score of no evidence. Without labelled
 documents of both kinds the score is the smoothed share of toxic ones. Rows without a doc_id
-are scored and have a null held_out. Rows that repeat a doc_id keep a row each. A document
+are scored and have a null held_out. Rows that repeat a doc_id keep a row each; of their texts the least is learned from. A document
 with several labels is toxic if one says so; null labels are left out. Columns other than
 doc_id and text are not read.
 """
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -115,14 +116,21 @@ def evidence(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def label_words(words: list[list[str]], toxic: np.ndarray, least: int = 5, share: float = 0.02, ratio: float = 20.0) -> list[np.ndarray]:
     """Word labels: in toxic documents, words with a feature that ``share`` of these (``least`` at least) have, at a rate ``ratio`` times that elsewhere or more."""
-    counts: list[dict[str, int]] = [{}, {}]
-    for doc, t in zip(words, toxic):
-        own = counts[int(t)]
-        for f in {f for w in set(doc) for f in features(w)}:
-            own[f] = own.get(f, 0) + 1
     n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
     least = max(least, share * n[1])
-    marks = {f for f, c in counts[1].items() if c >= least and (c / n[1]) / ((counts[0].get(f, 0) + 0.1) / n[0]) >= ratio}
+
+    def documents_with(kind: int, known: set[str] | None) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for doc, t in zip(words, toxic):
+            if t == kind:
+                own = {f for w in set(doc) for f in features(w)}
+                for f in own if known is None else own & known:
+                    found[f] = found.get(f, 0) + 1
+        return found
+
+    often = {f: c for f, c in documents_with(1, None).items() if c >= least}
+    elsewhere = documents_with(0, often.keys())
+    marks = {f for f, c in often.items() if (c / n[1]) / ((elsewhere.get(f, 0) + 0.1) / n[0]) >= ratio}
     memo: dict[str, bool] = {}
 
     def marked(w):
@@ -145,11 +153,16 @@ def fit(texts: list[str], toxic: np.ndarray, prior: tuple[int, int], steps: int
     truth = np.concatenate([*label_words(words, toxic), np.zeros(0, dtype=bool)])
     lengths = np.array([len(w) for w in words])
     types: dict[str, int] = {}
-    token = np.array([types.setdefault(w, len(types)) for doc in words for w in doc])
-    del words
+    token = np.fromiter((types.setdefault(w, len(types)) for doc in words for w in doc), np.int64, int(lengths.sum()))
+    del words, one
     names: dict[str, int] = {}
-    pairs = [(names.setdefault(f, len(names)), k) for w, k in types.items() for f in features(w)]
-    feature, of_type = np.array(pairs).T
+    listed, sizes = array("q"), array("q")
+    for w in types:
+        own = features(w)
+        listed.extend(names.setdefault(f, len(names)) for f in own)
+        sizes.append(len(own))
+    feature, of_type = np.array(listed), np.repeat(np.arange(len(types)), sizes)
+    del listed, sizes
     at, counts = stretches(lengths)
     rare = math.log((truth.sum() + 1) / (len(truth) + 2)) - 2
     weight, shared = np.zeros(len(names)), np.array([rare, 0.0, 0.0, 0.0, 0.0, 0.0])  # bias, first, 00, 01, 10, 11
@@ -213,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean
     order = (F.xxhash64("doc_id"), "doc_id")
     picked = known.where("toxic = 1").orderBy(*order).limit(most_toxic).union(known.where("toxic = 0").orderBy(*order).limit(most_clean))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    sample = own.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    sample = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).toPandas().sort_values("doc_id")
     return fit(sample["text"].tolist(), sample["toxic"].to_numpy(), (total.get(0, 0), total.get(1, 0)))
 
 
@@ -234,23 +247,31 @@ class Scorer:
         unary = np.fromiter((u for w in split for u in map(self.memo.__getitem__, w)), dtype=float, count=int(lengths.sum()))
         return split, lengths, marginals(self.chain, unary, lengths)
 
+    def score_of(self, p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-evidence(p, lengths) @ np.array(self.chain.logistic)))
+
     def scores(self, texts: list[str]) -> np.ndarray:
         _, lengths, p = self.words(texts)
-        return 1 / (1 + np.exp(-evidence(p, lengths) @ np.array(self.chain.logistic)))
+        return self.score_of(p, lengths)
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """doc_id and score, with all other columns of ``docs`` but text kept out."""
+    """doc_id, score and the offsets at which offending words begin, of each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in small_batches(batches, 4 << 20):
-            values = scorer.scores(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "score"])
+            texts = batch.column("text").to_pylist()
+            _, lengths, p = scorer.words(texts)
+            begins = [[] for _ in texts]
+            for k, begin, _, _ in offending(texts, lengths, p, 0.5):
+                begins[k].append(begin)
+            columns = [batch.column("doc_id"), pa.array(scorer.score_of(p, lengths)), pa.array(begins, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "offsets"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double")
+    return own.mapInArrow(run, "doc_id long, score double, offsets array<long>")
 
 
 def clean(docs: DataFrame, chain: Chain, most: float = 0.3) -> DataFrame:
@@ -267,8 +288,26 @@ def clean(docs: DataFrame, chain: Chain, most: float = 0.3) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def original_places(text: str, low: str):
+    """From the places of characters in ``low``, the lower case of ``text``, to those in ``text``: some characters become two."""
+    if len(low) == len(text):
+        return lambda at: at
+    of = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text]).tolist()
+    return of.__getitem__
+
+
+def offending(texts: list[str], lengths: np.ndarray, p: np.ndarray, least: float):
+    """Number of the text, begin, end and chance of each word of ``least`` chance or more."""
+    ends = np.cumsum(lengths)
+    for k in np.unique(np.searchsorted(ends, np.flatnonzero(p >= least), side="right")).tolist():
+        own, low = p[ends[k] - lengths[k] : ends[k]], texts[k].lower()
+        places, back = list(WORD.finditer(low)), original_places(texts[k], low)
+        for i in np.flatnonzero(own >= least).tolist():
+            yield k, back(places[i].start()), back(places[i].end() - 1) + 1, float(own[i])
+
+
 def spans(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFrame:
-    """Offending words: doc_id, begin and end (characters of the text in lower case) and chance, in order of place."""
+    """Offending words: doc_id, begin and end (characters of the text as it is) and chance, in order of place."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
@@ -276,11 +315,7 @@ def spans(docs: DataFrame, chain: Chain, least: float = 0.5) -> DataFrame:
         for batch in small_batches(batches, 4 << 20):
             texts = batch.column("text").to_pylist()
             _, lengths, p = scorer.words(texts)
-            ends, rows = np.cumsum(lengths), []
-            for k in np.unique(np.searchsorted(ends, np.flatnonzero(p >= least), side="right")).tolist():
-                own = p[ends[k] - lengths[k] : ends[k]]
-                places = list(WORD.finditer(texts[k].lower()))
-                rows += [(batch.column("doc_id")[k].as_py(), places[i].start(), places[i].end(), float(own[i])) for i in np.flatnonzero(own >= least).tolist()]
+            rows = [(batch.column("doc_id")[k].as_py(), *rest) for k, *rest in offending(texts, lengths, p, least)]
             doc, begin, end, chance = zip(*rows) if rows else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((doc, begin, end, chance), kinds)], ["doc_id", "begin", "end", "chance"])

@@ -83,3 +83,30 @@ def test_query(spark):
     held = [(r.score, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
     good, bad = [s for s, y in held if y], [s for s, y in held if not y]
     assert np.mean([a > b for a in good for b in bad]) > 0.85
+
+
+def test_offsets_are_of_the_text_as_it_is(spark):
+    chain = toxicity.Chain({"vile": 9.0}, -4.0, 0.0, (0.0, -1.0, 0.0, 0.0), (1.0, 0.0, -1.0))
+    text = "İİ good Vile, İ vile"  # the first letter becomes two in lower case
+    docs = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, score int")
+    assert [text[r.begin : r.end] for r in toxicity.spans(docs, chain).orderBy("begin").collect()] == ["Vile", "vile"]
+    got = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
+    assert [text[b : b + 4] for b in got[1].offsets] == ["Vile", "vile"] and got[2].offsets == [] == got[3].offsets
+
+
+def test_document_scores_against_plain_sums(spark):
+    chain = toxicity.Chain({"vile": 3.0, "^goo": -1.0}, -1.0, 0.2, (0.1, -0.5, -0.3, 0.6), (0.7, 0.2, -1.5))
+    for text in ("", "vile", "good vile gold", "a vile b vile"):
+        words = text.split()
+        total, toxic, clean = 0.0, [0.0] * len(words), 0.0
+        for states in itertools.product((0, 1), repeat=len(words)):
+            value = sum(chain.unary(w) for w, s in zip(words, states) if s) + (chain.first * states[0] if states else 0)
+            weight = math.exp(value + sum(chain.move[2 * a + b] for a, b in zip(states, states[1:])))
+            total += weight
+            toxic = [t + weight * s for t, s in zip(toxic, states)]
+        p = [t / total for t in toxic]
+        none = math.prod(1 - x for x in p)
+        odds = max(-12, min(12, math.log(max(1 - none, 1e-7)) - max(math.log(none), math.log(1e-7))))
+        want = 1 / (1 + math.exp(-(0.7 * math.log1p(sum(p)) + 0.2 * odds - 1.5)))
+        got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), chain).first().score
+        assert got == pytest.approx(want, abs=1e-9), text

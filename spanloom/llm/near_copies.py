@@ -100,7 +100,7 @@ def tag_of() -> Column:
     return F.xxhash64(text_of())
 
 
-def common_tokens(own: DataFrame, texts: int = 20_000, least: int = 8, most: int = 1 << 17) -> np.ndarray:
+def common_tokens(own: DataFrame, texts: int = 4000, least: int = 4, most: int = 1 << 17) -> np.ndarray:
     """Tokens found in ``least`` or more texts of a sample, the most frequent last."""
 
     def run(batches):
@@ -154,8 +154,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) that are alike. ``sets``: key and sig of each class."""
+def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) that are alike. ``own``: key and sig of each text; of those in no pair nothing is shuffled but what the join needs."""
 
     def run(batches):
         for batch in batches:
@@ -163,6 +163,9 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             near = [alike(np.frombuffer(x[k].as_py(), "<u8"), np.frombuffer(y[k].as_py(), "<u8")) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    pairs = keep(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = keep(own.select("key", "sig").join(needed, "key").groupBy("key").agg(F.first("sig").alias("sig")), "sets")
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
 
@@ -212,7 +215,6 @@ def across(own: DataFrame, block: int) -> DataFrame:
 def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFrame:
     """key and component of each class of ``own`` (rows of ``signatures``) that is not its component's own."""
     classes = keep(own.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "classes")
-    sets = keep(own.select("key", "sig").dropDuplicates(["key"]), "sets")
     # 1: fingerprints, of the classes that have any shingles
     alone = classes.where("size > 0")
     fps = alone.groupBy("fp").agg(F.min("key").alias("rep"))
@@ -220,14 +222,15 @@ def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFram
     crowded = found.where("v is null").select("fp", F.col("u").alias("rep")).distinct()
     pairs = found.where("v is not null").select("u", "v").union(crowd_links(crowded))
     pairs = pairs.union(alone.join(fps, "fp").where("key != rep").select("key", "rep")).toDF("a", "b")
-    near = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-    # 2: shared first tokens
-    listed = keep(postings(sets), "postings")
+    near = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), own)
+    # 2: shared first tokens; one shuffle serves both sides of the join
+    listed = postings(own).repartition("token")
     tokens = listed.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
-    shared = keep(listed.join(tokens, "token", "left_semi").join(classes.select("key", "size", "sketch"), "key"), "shared")
-    near = near.union(verify(with_pivots(labelled(shared, near)), sets))
+    shared = listed.join(tokens, "token", "left_semi").distinct()
+    shared = keep(shared.join(classes.select("key", "size", "sketch"), "key"), "shared")
+    near = near.union(verify(with_pivots(labelled(shared, near)), own))
     # 3: the rest
-    near = near.union(verify(across(labelled(shared, near), block), sets))
+    near = near.union(verify(across(labelled(shared, near), block), own))
     return connected_components(near.toDF("u", "v")).toDF("key", "component")
 
 

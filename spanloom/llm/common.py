@@ -37,6 +37,11 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``df``, a few narrow columns already written, marked for broadcast if it has no more than ``most`` rows; beyond that both sides are shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

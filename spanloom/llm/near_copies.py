@@ -39,11 +39,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hash_share, keep, small_batches, text_of
+from spanloom.llm.common import hash_share, keep, light, small_batches, text_of
 from spanloom.llm.components import connected_components
 from spanloom.llm.simhash import anchor_links, crowd_links
 
-PIVOTS, LONGS = 8, 8
+PIVOTS, LONGS = 6, 8
 SEED, WORDS = 42, 5
 U = np.uint64
 
@@ -164,8 +164,8 @@ def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = keep(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = keep(own.select("key", "sig").join(needed, "key").groupBy("key").agg(F.first("sig").alias("sig")), "sets")
+    needed = light(keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed"))
+    sets = keep(own.select("key", "sig").join(needed, "key", "left_semi").groupBy("key").agg(F.first("sig").alias("sig")), "sets")
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
 
@@ -184,18 +184,21 @@ def pairs_of(met: DataFrame) -> DataFrame:
 
 def labelled(shared: DataFrame, near: DataFrame) -> DataFrame:
     """Postings with label, their class's component by the links ``near``."""
-    label = connected_components(near.toDF("u", "v"))
+    label = light(connected_components(near.toDF("u", "v")))
     return keep(shared.join(label, shared.key == label.node, "left").withColumn("label", F.coalesce("component", "key")).drop("node", "component"), "labelled")
 
 
-def with_pivots(own: DataFrame) -> DataFrame:
-    """a, b: classes of different labels, one a pivot of a token that both are at."""
-    row = F.struct("key", "size", "place", "sketch", "label")
+def with_pivots(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: classes of different labels, one a pivot of a token that both are at, that sizes and sketches allow."""
+    row = F.struct("key", "size", "label")
     picks = [F.min_by(row, F.xxhash64("key", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *picks).where("lo != hi")
     each = pivots.select("token", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("y"))
-    met = own.select("token", row.alias("x")).join(each, "token").where((F.col("x.label") != F.col("y.label")) & may_be_alike("x", "y"))
-    return pairs_of(met)
+    sizes = 5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size")
+    pairs = keep(pairs_of(own.select("token", row.alias("x")).join(each, "token").where((F.col("x.label") != F.col("y.label")) & sizes)), "tries")
+    few = F.struct("size", "sketch", F.lit(0).alias("place"))
+    both = pairs.join(classes.select(F.col("key").alias("a"), few.alias("x")), "a").join(classes.select(F.col("key").alias("b"), few.alias("y")), "b")
+    return both.where(may_be_alike("x", "y")).select("a", "b")
 
 
 def across(own: DataFrame, block: int) -> DataFrame:
@@ -228,7 +231,7 @@ def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFram
     tokens = listed.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
     shared = listed.join(tokens, "token", "left_semi").distinct()
     shared = keep(shared.join(classes.select("key", "size", "sketch"), "key"), "shared")
-    near = near.union(verify(with_pivots(labelled(shared, near)), own))
+    near = near.union(verify(with_pivots(labelled(shared, near), classes), own))
     # 3: the rest
     near = near.union(verify(across(labelled(shared, near), block), own))
     return connected_components(near.toDF("u", "v")).toDF("key", "component")
@@ -245,7 +248,7 @@ def representatives(docs: DataFrame, block: int = 1024, crowd: int = 2000) -> Da
     tagged = docs.withColumns({"_tag": tag_of(), "_id": F.col("doc_id").cast("long")})
 
     def having(kind: str, where: str) -> DataFrame:
-        some = texts.where(where).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"))
+        some = light(texts.where(where).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")))
         return tagged.join(some, ["_id", "_tag"], kind)
 
     once = having("left_anti", "not stays or n > 1")  # rows without a doc_id among them

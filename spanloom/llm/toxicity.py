@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +61,17 @@ class Chain:
 
 def stretches(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A matrix of word positions, stretches x (LEAD + STRETCH + LEAD), -1 where there is none, and which of them count."""
+    kind = np.int32 if lengths.sum() < 1 << 30 else np.int64
     begins = np.cumsum(lengths) - lengths
     n = -(-lengths // STRETCH)
     doc = np.repeat(np.arange(len(lengths)), n)
-    at = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * STRETCH
-    inside = at[:, None] + np.arange(-LEAD, STRETCH + LEAD)
-    there = (inside >= 0) & (inside < lengths[doc][:, None])
-    counts = there & (np.arange(-LEAD, STRETCH + LEAD) >= 0) & (np.arange(-LEAD, STRETCH + LEAD) < STRETCH)
-    return np.where(there, begins[doc][:, None] + inside, -1), counts
+    at = ((np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * STRETCH).astype(kind)
+    places = np.arange(-LEAD, STRETCH + LEAD, dtype=kind)
+    inside = at[:, None] + places
+    there = (inside >= 0) & (inside < lengths[doc].astype(kind)[:, None])
+    inside += begins[doc].astype(kind)[:, None]
+    inside[~there] = -1
+    return inside, there & (places >= 0) & (places < STRETCH)
 
 
 def forward_backward(unary: np.ndarray, there: np.ndarray, first: float, move) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,8 +100,8 @@ def marginals(chain: Chain, unary: np.ndarray, lengths: np.ndarray) -> np.ndarra
     """The chance of the toxic state of each word of some documents."""
     at, counts = stretches(lengths)
     out = np.zeros(len(unary))
-    for k in range(0, len(at), 8192):
-        some, own = at[k : k + 8192], counts[k : k + 8192]
+    for k in range(0, len(at), 2048):
+        some, own = at[k : k + 2048], counts[k : k + 2048]
         there = some >= 0
         values = np.clip(np.where(there, unary[some], 0.0), -40, 40)
         out[some[own]] = forward_backward(values, there, chain.first, chain.move)[2][own]
@@ -114,31 +118,44 @@ def evidence(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.log1p(expected), np.clip(odds, -12, 12), np.ones(len(lengths))], axis=1)
 
 
-def label_words(words: list[list[str]], toxic: np.ndarray, least: int = 5, share: float = 0.02, ratio: float = 20.0) -> list[np.ndarray]:
+def coded(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the number of each word in turn, and how many words each text has. Words are held by Arrow, without an object for each."""
+    parts, lengths = [], []
+    for k in range(0, len(texts), 64):
+        words = [WORD.findall(t.lower()) for t in texts[k : k + 64]]
+        lengths += map(len, words)
+        parts.append(pa.array([w for doc in words for w in doc], pa.large_string()))
+    one = pa.chunked_array(parts, pa.large_string()).dictionary_encode().combine_chunks()
+    one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
+    del parts
+    pa.default_memory_pool().release_unused()
+    return one.dictionary, one.indices.to_numpy(), np.array(lengths, dtype=np.int64)
+
+
+def feature_codes(types: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words in turn, by the features' hashes, and how many each word has."""
+    listed, sizes = array("Q"), array("q")
+    for k in range(0, len(types), 10_000):
+        for w in types[k : k + 10_000].to_pylist():
+            own = features(w)
+            listed.extend(map(xxhash.xxh3_64_intdigest, own))
+            sizes.append(len(own))
+    return np.unique(np.frombuffer(listed, np.uint64), return_inverse=True)[1].astype(np.int32), np.array(sizes)
+
+
+def label_words(token: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, feature: np.ndarray, sizes: np.ndarray, least: int = 5, share: float = 0.02, ratio: float = 20.0) -> np.ndarray:
     """Word labels: in toxic documents, words with a feature that ``share`` of these (``least`` at least) have, at a rate ``ratio`` times that elsewhere or more."""
-    n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
-    least = max(least, share * n[1])
-
-    def documents_with(kind: int, known: set[str] | None) -> dict[str, int]:
-        found: dict[str, int] = {}
-        for doc, t in zip(words, toxic):
-            if t == kind:
-                own = {f for w in set(doc) for f in features(w)}
-                for f in own if known is None else own & known:
-                    found[f] = found.get(f, 0) + 1
-        return found
-
-    often = {f: c for f, c in documents_with(1, None).items() if c >= least}
-    elsewhere = documents_with(0, often.keys())
-    marks = {f for f, c in often.items() if (c / n[1]) / ((elsewhere.get(f, 0) + 0.1) / n[0]) >= ratio}
-    memo: dict[str, bool] = {}
-
-    def marked(w):
-        if w not in memo:
-            memo[w] = any(f in marks for f in features(w))
-        return memo[w]
-
-    return [np.array([bool(t) and marked(w) for w in doc], dtype=bool) for doc, t in zip(words, toxic)]
+    starts, ends = np.cumsum(sizes) - sizes, np.cumsum(lengths)
+    found = np.zeros((2, int(feature.max()) + 1), dtype=np.int64)
+    for t, begin, end in zip(toxic, ends - lengths, ends):
+        own = np.unique(token[begin:end])
+        n = sizes[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        found[int(t), np.unique(feature[at])] += 1
+    n = np.bincount(toxic.astype(int), minlength=2)
+    marks = (found[1] >= max(least, share * n[1])) & (found[1] / n[1] / ((found[0] + 0.1) / n[0]) >= ratio)
+    marked = np.logical_or.reduceat(marks[feature], starts)
+    return marked[token] & np.repeat(toxic.astype(bool), lengths)
 
 
 def fit(texts: list[str], toxic: np.ndarray, prior: tuple[int, int], steps: int = 50, rate: float = 1.0, decay: float = 1e-6) -> Chain:
@@ -148,30 +165,21 @@ def fit(texts: list[str], toxic: np.ndarray, prior: tuple[int, int], steps: int
         share = (prior[1] + 0.5) / (sum(prior) + 1)
         chain.logistic = (0.0, 0.0, math.log(share / (1 - share)))
         return chain
-    one: dict[str, str] = {}
-    words = [[one.setdefault(w, w) for w in WORD.findall(t.lower())] for t in texts]  # each word is held once
-    truth = np.concatenate([*label_words(words, toxic), np.zeros(0, dtype=bool)])
-    lengths = np.array([len(w) for w in words])
-    types: dict[str, int] = {}
-    token = np.fromiter((types.setdefault(w, len(types)) for doc in words for w in doc), np.int64, int(lengths.sum()))
-    del words, one
-    names: dict[str, int] = {}
-    listed, sizes = array("q"), array("q")
-    for w in types:
-        own = features(w)
-        listed.extend(names.setdefault(f, len(names)) for f in own)
-        sizes.append(len(own))
-    feature, of_type = np.array(listed), np.repeat(np.arange(len(types)), sizes)
-    del listed, sizes
+    types, token, lengths = coded(texts)
+    if not len(token):
+        return chain
+    feature, sizes = feature_codes(types)
+    truth = label_words(token, lengths, toxic, feature, sizes)
+    of_type, n_features = np.repeat(np.arange(len(types)), sizes), int(feature.max()) + 1
     at, counts = stretches(lengths)
     rare = math.log((truth.sum() + 1) / (len(truth) + 2)) - 2
-    weight, shared = np.zeros(len(names)), np.array([rare, 0.0, 0.0, 0.0, 0.0, 0.0])  # bias, first, 00, 01, 10, 11
-    past_weight, past_shared = np.full(len(names), 1e-8), np.full(6, 1e-8)
+    weight, shared = np.zeros(n_features), np.array([rare, 0.0, 0.0, 0.0, 0.0, 0.0])  # bias, first, 00, 01, 10, 11
+    past_weight, past_shared = np.full(n_features, 1e-8), np.full(6, 1e-8)
     begins = (np.cumsum(lengths) - lengths)[lengths > 0]
     after = np.ones(len(token), dtype=bool)
     after[begins] = False  # words with another before them
-    y = truth.astype(float)
-    seen = np.array([((1 - y[1:]) * (1 - y[:-1]))[after[1:]].sum(), (y[1:] * (1 - y[:-1]))[after[1:]].sum(), ((1 - y[1:]) * y[:-1])[after[1:]].sum(), (y[1:] * y[:-1])[after[1:]].sum()])
+    before, now = truth[:-1][after[1:]], truth[1:][after[1:]]
+    seen = np.array([float(np.count_nonzero((before == a) & (now == b))) for a in (False, True) for b in (False, True)])
     for _ in range(steps):
         unary = shared[0] + np.bincount(of_type, weight[feature], minlength=len(types))
         flat, expected, e = np.zeros(len(token)), np.zeros(4), np.exp(shared[2:])
@@ -186,16 +194,21 @@ def fit(texts: list[str], toxic: np.ndarray, prior: tuple[int, int], steps: int
             r, x = left[:, :-1][own], (np.exp(values) * right)[:, 1:][own]
             joint = np.stack([np.full(len(r), e[0]), e[1] * x, e[2] * r, e[3] * r * x])
             expected += (joint / joint.sum(0)).sum(1)
-        error = y - flat
-        slope = np.bincount(feature, np.bincount(token, error, minlength=len(types))[of_type], minlength=len(names)) - decay * len(token) * weight
+        error = truth - flat
+        slope = np.bincount(feature, np.bincount(token, error, minlength=len(types))[of_type], minlength=n_features) - decay * len(token) * weight
         slope_shared = np.concatenate([[error.sum(), error[begins].sum()], seen - expected]) - decay * len(token) * np.concatenate([[0.0], shared[1:]])
         past_weight += slope**2
         past_shared += slope_shared**2
         weight += rate * slope / np.sqrt(past_weight)
         shared += rate * slope_shared / np.sqrt(past_shared)
-    kept = {f: float(weight[k]) for f, k in names.items() if abs(weight[k]) > 1e-3}
+    kept: dict[str, float] = {}
+    strong = np.abs(weight) > 1e-3
+    starts = np.cumsum(sizes) - sizes
+    for k in np.flatnonzero(np.logical_or.reduceat(strong[feature], starts)).tolist():
+        own = feature[starts[k] : starts[k] + sizes[k]]
+        kept.update((f, float(weight[j])) for f, j in zip(features(types[k].as_py()), own) if strong[j])
     chain = Chain(kept, float(shared[0]), float(shared[1]), tuple(shared[2:].tolist()))
-    unary = np.array([chain.unary(w) for w in types])[token]
+    unary = np.fromiter((chain.unary(w.as_py()) for w in types), float, len(types))[token]
     x = evidence(marginals(chain, unary, lengths), lengths)
     stands_for = np.where(toxic == 1, prior[1] / (toxic == 1).sum(), prior[0] / (toxic == 0).sum())
     chain.logistic = tuple(logistic(x, toxic, stands_for).tolist())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -70,7 +72,7 @@ def list_bytes(column: pa.Array) -> list[bytes]:
 
 
 def small_batches(batches, limit: int = 8 << 20, column: str = "text"):
-    """Arrow batches cut so that each holds about ``limit`` bytes of ``column``; a longer row stands alone."""
+    """Arrow batches cut so that each holds about ``limit`` bytes of ``column``; a longer row stands alone. At the end the worker, which Spark keeps, gives memory back."""
     for batch in batches:
         sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
         ends = np.cumsum(sizes)
@@ -80,3 +82,11 @@ def small_batches(batches, limit: int = 8 << 20, column: str = "text"):
             stop = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library hold in reserve."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -137,9 +137,8 @@ def postings(own: DataFrame) -> DataFrame:
     def run(batches):
         common, rank = shared.value
         for batch in batches:
-            sigs = batch.column("sig").to_pylist()
-            for b in range(0, len(sigs), 512):
-                firsts = [first_tokens(np.frombuffer(s, "<u8"), common, rank) for s in sigs[b : b + 512]]
+            for b in range(0, batch.num_rows, 512):
+                firsts = [first_tokens(np.frombuffer(s.as_buffer(), "<u8"), common, rank) for s in batch.column("sig").slice(b, 512)]
                 n = np.array([len(f) for f in firsts])
                 key = np.repeat(np.asarray(batch.column("key"))[b : b + 512], n)
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)

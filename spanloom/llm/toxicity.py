@@ -37,7 +37,7 @@ from spanloom.llm.common import small_batches, text_of
 
 WORD = re.compile(r"\w+")
 STRETCH, LEAD = 128, 24
-MEMO = 400_000
+MEMO = 200_000
 
 
 def features(word: str) -> list[str]:

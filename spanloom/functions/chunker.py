@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,33 +13,44 @@ HEADING = re.compile(r"#{1,6}\s+\S")
 SCHEMA = "seq int, start_line int, end_line int, chunk string"
 
 
-def chunks(text: str, most: int = 1600, overlap: int = 3):
-    """(first line, last line, text) of each chunk; lines count from 1, headings begin a chunk.
+def spans(weights: list[int], headings: list[int], blanks: list[int], most: int, overlap: int):
+    """(first, past the last) line of each chunk, by places alone.
 
-    A full buffer is cut after its last blank line (the fourth line or later), else its last
-    ``overlap`` lines begin the next chunk too. A line longer than ``most`` thus comes twice.
+    ``weights``: characters of each line with its end; ``headings`` and ``blanks``: ascending
+    places of such lines. A chunk ends before the next heading, or with the line at which its
+    weight reaches ``most``, whichever comes first. In the second case it ends after its last
+    blank line instead, if that has ``overlap`` lines before it; without one the next chunk
+    begins ``overlap`` lines earlier.
     """
-    held: list[str] = []
-    first, size = 1, 0
-
-    def told(lines):
-        body = "\n".join(lines).strip()
-        return [(first, first + len(lines) - 1, body)] if body else []
-
-    for number, line in enumerate(text.splitlines(), 1):
-        if held and HEADING.match(line):
-            yield from told(held)
-            held, first, size = [], number, 0
-        held.append(line)
-        size += len(line) + 1
-        if size >= most:
-            blank = next((k for k in range(len(held) - 1, overlap - 1, -1) if not held[k].strip()), None)
-            cut = len(held) if blank is None else blank + 1
-            yield from told(held[:cut])
-            rest = held[-overlap:] if blank is None else held[cut:]
-            first, held = number - len(rest) + 1, rest
-            size = sum(len(x) + 1 for x in rest)
-    yield from told(held)
+    before = list(accumulate(weights, initial=0))
+    first, new, n = 0, 0, len(weights)  # the lines before ``new`` are known not to end the chunk
+    while first < n:
+        full = bisect_left(before, before[first] + most, max(new, first) + 1) - 1
+        k = bisect_left(headings, max(new, first + 1))
+        heading = headings[k] if k < len(headings) else n
+        if heading <= full or full >= n:
+            yield first, heading
+            first = new = heading
+            continue
+        k = bisect_right(blanks, full) - 1
+        new = full + 1
+        if k >= 0 and blanks[k] >= first + overlap:
+            yield first, blanks[k] + 1
+            first = blanks[k] + 1
+        else:
+            yield first, new
+            first = max(first, new - overlap)
+
+
+def chunks(text: str, most: int = 1600, overlap: int = 3):
+    """(first line, last line, text) of each chunk that is not blank; lines count from 1. A line longer than ``most`` comes twice."""
+    lines = text.splitlines()
+    headings = [k for k, line in enumerate(lines) if HEADING.match(line)]
+    blanks = [k for k, line in enumerate(lines) if not line.strip()]
+    for first, stop in spans([len(line) + 1 for line in lines], headings, blanks, most, overlap):
+        body = "\n".join(lines[first:stop]).strip()
+        if body:
+            yield first + 1, stop, body
 
 
 def chunk_rows(docs: DataFrame, key: str, text: str = "text", most: int = 1600) -> DataFrame:

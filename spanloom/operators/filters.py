@@ -10,27 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Extensions, names and folders that are not worth reading.
-SKIP_EXTENSIONS = (
-    ".png .jpg .jpeg .gif .webp .ico .bmp .tiff .avif .svg .pdf .zip .gz .tar .bz2 .xz .7z .rar .mp3 .mp4 .avi .mov .wav .webm .flac .ogg "
-    ".woff .woff2 .ttf .otf .eot .so .dll .dylib .exe .bin .o .a .class .jar .pyc .pyo .wasm .node .db .sqlite .sqlite3 .lock .map .min.js .min.css .pack .idx"
-).split()
-SKIP_NAMES = "package-lock.json yarn.lock pnpm-lock.yaml bun.lockb poetry.lock Pipfile.lock composer.lock Cargo.lock go.sum gemfile.lock .DS_Store".split()
-SKIP_FOLDERS = (
-    ".git .svn .hg node_modules __pycache__ .venv venv env .env.d dist build out target .next .nuxt .cache .turbo .parcel-cache coverage .pytest_cache .mypy_cache .ruff_cache .gradle .idea .vscode"
-).split()
-#: Names of files that hold secrets; examples and templates do not.
-SECRET_NAMES = [
-    r"\.env([.-](?!example$|sample$|template$|dist$|tpl$)[\w-]+)*",
-    r"\.envrc",
-    r"\.?(npmrc|pypirc|netrc|pgpass)",
-    r"id_(rsa|dsa|ecdsa|ed25519)([_-][\w-]+)?",
-    r"\.?(credentials|auth|secrets?|service-account[\w-]*)\.json",
-    r"\.?(credentials|secrets?)\.ya?ml",
-    r"\.git-credentials",
-    r"[\w.-]*\.(tfstate(\.backup)?|tfvars(\.json)?)",
-    r"[\w.-]*(private|secret)[\w.-]*\.key",
-    r"(server|tls|ssl|client|master)\.key",
+SKIP_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".bmp", ".tiff", ".avif", ".svg", ".pdf", ".zip",
+    ".gz", ".tar", ".bz2", ".xz", ".7z", ".rar", ".mp3", ".mp4", ".avi", ".mov", ".wav", ".webm",
+    ".flac", ".ogg", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".so", ".dll", ".dylib", ".exe", ".bin",
+    ".o", ".a", ".class", ".jar", ".pyc", ".pyo", ".wasm", ".node", ".db", ".sqlite", ".sqlite3", ".lock",
+    ".map", ".min.js", ".min.css", ".pack", ".idx",
 ]
+SKIP_NAMES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "poetry.lock", "Pipfile.lock",
+    "composer.lock", "Cargo.lock", "go.sum", "gemfile.lock", ".DS_Store",
+]
+SKIP_FOLDERS = [
+    ".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv", "env", ".env.d", "dist",
+    "build", "out", "target", ".next", ".nuxt", ".cache", ".turbo", ".parcel-cache", "coverage", ".pytest_cache",
+    ".mypy_cache", ".ruff_cache", ".gradle", ".idea", ".vscode",
+]
+#: Fixed value: names of files that hold secrets; examples and templates do not.
+SECRET_NAME = r"(?i)^(\.env([.-](?!example$|sample$|template$|dist$|tpl$)[\w-]+)*|\.envrc|\.?(npmrc|pypirc|netrc|pgpass)|id_(rsa|dsa|ecdsa|ed25519)([_-][\w-]+)?|\.?(credentials|auth|secrets?|service-account[\w-]*)\.json|\.?(credentials|secrets?)\.ya?ml|\.git-credentials|[\w.-]*\.(tfstate(\.backup)?|tfvars(\.json)?)|[\w.-]*(private|secret)[\w.-]*\.key|(server|tls|ssl|client|master)\.key)$"
 SECRET_EXTENSIONS = [".pem", ".p12", ".pfx", ".keystore", ".jks"]
 SECRET_PLACES = [".aws/credentials", ".docker/config.json", ".kube/config", "gh/hosts.yml", "gh/hosts.yaml", "glab-cli/config.yml", "glab-cli/config.yaml"]
 
@@ -53,7 +50,7 @@ def name_of(path: Column) -> Column:
 def is_secret_name(path: Column) -> Column:
     name = name_of(path)
     last = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
-    return name.rlike("(?i)^(" + "|".join(SECRET_NAMES) + ")$") | last.isin(SECRET_EXTENSIONS) | F.substring_index(path, "/", -2).isin(SECRET_PLACES)
+    return name.rlike(SECRET_NAME) | last.isin(SECRET_EXTENSIONS) | F.substring_index(path, "/", -2).isin(SECRET_PLACES)
 
 
 def is_text_by_name(path: Column) -> Column:

@@ -51,10 +51,12 @@ def bm25(df: DataFrame, phrases: Sequence[Sequence[str]], k: int = CANDIDATES, k
     """key, score and rank. Each phrase is folded words that must stand together; a repeated one counts again.
 
     Numbers of documents, of those with a phrase and the mean length are of the whole table;
-    ``where`` only restricts the rows that are ranked. No phrases give no rows.
+    ``where`` only restricts the rows that are ranked. No phrases give no rows. The tokens come
+    out of a generator of one row, which the optimiser neither repeats nor pushes filters
+    through, so each of the two passes over the table cuts a text once.
     """
     names = [f"f{i}" for i in range(len(phrases))]
-    tokens = df.where(F.col(text).isNotNull()).withColumn("_tokens", search_tokens(text))
+    tokens = df.where(F.col(text).isNotNull()).select("*", F.explode(F.array(search_tokens(text))).alias("_tokens"))
     counted = tokens.withColumns({n: phrase_count(F.col("_tokens"), p) for n, p in zip(names, phrases)} | {"_length": F.size("_tokens")})
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.sum(F.when(F.col(n) > 0, 1).otherwise(0)).alias(f"_{n}") for n in names))
     hit = reduce(lambda a, b: a | b, (F.col(n) > 0 for n in names), F.lit(False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,12 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are no longer held: it does so when the driver's JVM collects them, which a small driver rarely does by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def light(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     """``df``, a few narrow columns already written, marked for broadcast if it has no more than ``most`` rows; beyond that both sides are shuffled."""
     return F.broadcast(df) if df.count() <= most else df

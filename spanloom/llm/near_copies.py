@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hash_share, keep, light, small_batches, text_of
+from spanloom.llm.common import hash_share, keep, let_go, light, small_batches, text_of
 from spanloom.llm.components import connected_components
 from spanloom.llm.simhash import anchor_links, crowd_links
 
@@ -166,7 +166,9 @@ def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
     needed = light(keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed"))
     sets = keep(own.select("key", "sig").join(needed, "key", "left_semi").groupBy("key").agg(F.first("sig").alias("sig")), "sets")
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
+    near = keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
+    let_go(own.sparkSession)
+    return near
 
 
 def may_be_alike(x: str, y: str) -> Column:
@@ -184,7 +186,7 @@ def pairs_of(met: DataFrame) -> DataFrame:
 def labelled(shared: DataFrame, near: DataFrame) -> DataFrame:
     """Postings with label, their class's component by the links ``near``."""
     label = light(connected_components(near.toDF("u", "v")))
-    return keep(shared.join(label, shared.key == label.node, "left").withColumn("label", F.coalesce("component", "key")).drop("node", "component"), "labelled")
+    return shared.join(label, shared.key == label.node, "left").withColumn("label", F.coalesce("component", "key")).drop("node", "component")
 
 
 def with_pivots(own: DataFrame, classes: DataFrame) -> DataFrame:
@@ -200,11 +202,12 @@ def with_pivots(own: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(may_be_alike("x", "y")).select("a", "b")
 
 
-def across(own: DataFrame, block: int) -> DataFrame:
+def across(own: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     """a, b: classes at one token, in different components, that may be alike."""
     by_label = own.groupBy("token", "label").agg(F.count("*").alias("n"))
     sums = by_label.groupBy("token").agg(F.sum("n").alias("n"), F.max_by("label", "n").alias("largest"), F.count("*").alias("labels")).where("labels > 1")
     dealt = own.join(sums.select("token", "largest", F.ceil(F.col("n") / block).cast("int").alias("parts")), "token")
+    dealt = keep(dealt.join(classes.select("key", "sketch"), "key"), "dealt")
     row = F.struct("key", "size", "place", "sketch", "label").alias("r")
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     homes = dealt.select("token", part.alias("part"), row)
@@ -228,11 +231,11 @@ def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFram
     # 2: shared first tokens; one shuffle serves both sides of the join
     listed = postings(own).repartition("token")
     tokens = listed.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
-    shared = listed.join(tokens, "token", "left_semi").distinct()
-    shared = keep(shared.join(classes.select("key", "size", "sketch"), "key"), "shared")
+    shared = keep(listed.join(tokens, "token", "left_semi").distinct().join(classes.select("key", "size"), "key"), "shared")
+    let_go(own.sparkSession)
     near = near.union(verify(with_pivots(labelled(shared, near), classes), own))
     # 3: the rest
-    near = near.union(verify(across(labelled(shared, near), block), own))
+    near = near.union(verify(across(labelled(shared, near), classes, block), own))
     return connected_components(near.toDF("u", "v")).toDF("key", "component")
 
 

@@ -43,7 +43,7 @@ from spanloom.llm.common import hash_share, keep, let_go, light, small_batches,
 from spanloom.llm.components import connected_components
 from spanloom.llm.simhash import anchor_links, crowd_links
 
-PIVOTS, LONGS = 6, 8
+PIVOTS, LONGS, SHORT = 6, 8, 300
 SEED, WORDS = 42, 5
 U = np.uint64
 
@@ -70,17 +70,21 @@ def majority(sig: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(sig), bitorder="little").view("<i8")[0])
 
 
+def parities(sig: np.ndarray, bits: int) -> np.ndarray:
+    """Whether an odd number of the set's hashes falls in each of 2**bits places, packed: sets whose parities differ in k places differ in k members at least."""
+    odd = np.bincount((sig >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """Parities of the set's hashes in 512 places, as signed longs: sets whose sketches differ in k bits differ in k members at least."""
-    odd = np.bincount((sig >> U(55)).astype(np.int64), minlength=64 * LONGS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return parities(sig, 9).view("<i8")
 
 
-SIGNATURES = "doc_id long, tag long, key long, fp long, size int, sketch array<long>, sig binary"
+SIGNATURES = "doc_id long, tag long, key long, fp long, size int, sketch array<long>, wide binary, sig binary"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (of the text), key (of the shingle set), fp, size, sketch and sig, the set's hashes."""
+    """doc_id, tag (of the text), key (of the shingle set), fp, size, sketch, wide (a sketch of 8192 bits, of sets of more than ``SHORT``) and sig, the set's hashes."""
 
     def run(batches):
         names = [x.split()[0] for x in SIGNATURES.split(", ")]
@@ -89,7 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             sigs = [s.astype("<u8").tobytes() for s in sets]
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in sigs]
             sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([sketch(s) for s in sets])), LONGS).cast(pa.list_(pa.int64()))
-            columns = [pa.array(keys, pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), sketches, pa.array(sigs, pa.binary())]
+            columns = [pa.array(keys, pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), sketches, pa.array([parities(s, 13).tobytes() if len(s) > SHORT else b"" for s in sets], pa.binary()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns], names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of().alias("tag"), text_of().alias("text")).where("doc_id is not null")
@@ -162,9 +166,24 @@ def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
             near = [alike(np.frombuffer(x[k].as_py(), "<u8"), np.frombuffer(y[k].as_py(), "<u8")) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+
+    def may(batches):  # long texts fill the short sketches
+        for batch in batches:
+            able = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))):
+                apart = np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum(dtype=np.int64) if x and y else 0
+                able.append(9 * int(apart) <= n + m)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(able, pa.bool_()))
+
+    def of_pairs(pairs: DataFrame, *columns: str) -> DataFrame:
+        needed = light(keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed"))
+        return own.select("key", *columns).join(needed, "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in columns))
+
     pairs = keep(pairs, "pairs")
-    needed = light(keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed"))
-    sets = keep(own.select("key", "sig").join(needed, "key", "left_semi").groupBy("key").agg(F.first("sig").alias("sig")), "sets")
+    wide = of_pairs(pairs, "wide", "size")
+    both = pairs.join(wide.toDF("a", "x", "n"), "a").join(wide.toDF("b", "y", "m"), "b")
+    pairs = keep(both.select("a", "b", "x", "y", "n", "m").mapInArrow(may, "a long, b long"), "able")
+    sets = keep(of_pairs(pairs, "sig"), "sets")
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     near = keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
     let_go(own.sparkSession)

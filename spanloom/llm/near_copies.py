@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import hash_share, keep, let_go, light, small_batches, text_of
+from spanloom.llm.common import give_back, hash_share, keep, let_go, light, small_batches, text_of
 from spanloom.llm.components import connected_components
 from spanloom.llm.simhash import anchor_links, crowd_links
 
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         names = [x.split()[0] for x in SIGNATURES.split(", ")]
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4 << 20):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
             sigs = [s.astype("<u8").tobytes() for s in sets]
             keys = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in sigs]
@@ -147,6 +147,7 @@ def postings(own: DataFrame) -> DataFrame:
                 key = np.repeat(np.asarray(batch.column("key"))[b : b + 512], n)
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(key), pa.array(place.astype(np.int32))], ["token", "key", "place"])
+        give_back()
 
     return own.select("key", "sig").mapInArrow(run, "token long, key long, place int")
 

@@ -3,6 +3,11 @@
 Every stage takes all rows that the one before it kept and returns the columns of documents,
 but the last, which returns packed pieces. ``run`` writes each stage's rows as Parquet to the
 shared folder and reads them again for the next.
+
+Cases, in every stage: a null text counts as the empty text and stays null where it is kept.
+Rows without a doc_id pass the first three stages and are not packed. Rows that share a doc_id
+are judged by their texts: copies go, unlike texts stay beside each other. An empty table gives
+an empty table. Other columns are carried along by the first three stages.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 over five-word shingles the one with the smallest doc_id stays; rows without a doc_id stay."""
+    """SimHash with anchor points, completed exactly: of each group of documents linked by a similarity of 0.8 over five-word shingles the one with the smallest doc_id stays; rows without a doc_id stay."""
     return near_copies.representatives(docs)
 
 

@@ -46,6 +46,11 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slim(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand rows with whole texts to Python by the thousand: JVM and worker each hold a batch as a whole, and at 10,000 rows that is tens of megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def light(df: DataFrame, most: int = 1 << 20) -> DataFrame:
     """``df``, a few narrow columns already written, marked for broadcast if it has no more than ``most`` rows; beyond that both sides are shuffled."""
     return F.broadcast(df) if df.count() <= most else df

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import small_batches, text_of, uint32
+from spanloom.llm.common import give_back, small_batches, text_of, uint32
 from spanloom.llm.subwords import byte_bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, ids array<int>"
@@ -157,6 +157,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_
                 found.extend(packer.add(doc_id, ids + end))
             yield rows(found)
         yield rows(list(packer.close(final=True)))
+        bpe.pretokens.forget()
+        give_back()
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     packed = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, PIECES)

@@ -33,6 +33,9 @@ class Memo:
     def __init__(self, entries: int):
         self.entries, self.now, self.older = entries, {}, {}
 
+    def forget(self) -> None:
+        self.now, self.older = {}, {}
+
     def missing(self, keys: set[str]) -> list[str]:
         """Those of ``keys`` that are not known; the others are in ``now`` afterwards."""
         new = keys - self.now.keys()
@@ -46,7 +49,7 @@ class Memo:
 class ByteBPE:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -100,5 +103,5 @@ class ByteBPE:
 
 @functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBPE:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, which Spark keeps: a task ends by ``pretokens.forget()``."""
     return ByteBPE(path)

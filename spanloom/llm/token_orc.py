@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import list_array, list_bytes, small_batches, text_of
+from spanloom.llm.common import give_back, list_array, list_bytes, small_batches, text_of
 from spanloom.llm.subwords import byte_bpe
 
 SCHEMA = "part int, doc_id long, n_tokens long, ids array<int>"
@@ -35,6 +35,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ids = [x + end for x in bpe.encode(batch.column("text"))]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, list_array(ids)], ["doc_id", "n_tokens", "ids"])
+        bpe.pretokens.forget()
+        give_back()
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import small_batches, text_of
+from spanloom.llm.common import give_back, small_batches, text_of
 
 WORD = re.compile(r"\w+")
 STRETCH, LEAD = 128, 24
@@ -297,6 +297,8 @@ def clean(docs: DataFrame, chain: Chain, most: float = 0.3) -> DataFrame:
         for batch in small_batches(batches, 4 << 20):
             texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(scorer.scores(texts) < most))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

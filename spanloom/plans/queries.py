@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import retrieval, sessions
+from spanloom.plans import reports, retrieval, sessions
 
-QUERIES = retrieval.QUERIES | sessions.QUERIES
-SQL = retrieval.SQL | sessions.SQL
+QUERIES = retrieval.QUERIES | sessions.QUERIES | reports.QUERIES
+SQL = retrieval.SQL | sessions.SQL | reports.SQL

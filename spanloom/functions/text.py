@@ -135,8 +135,9 @@ def is_check_command(c: Column | str) -> Column:
 
 
 def short_number(c: Column | str) -> Column:
-    """Thousands with one decimal and a k, below that the number itself."""
-    return F.when(col(c) >= 1000, F.concat(F.format_string("%.1f", col(c) / 1000), F.lit("k"))).otherwise(col(c).cast("long").cast("string"))
+    """Millions with two decimals and an M, thousands with one and a k, half up; below that the number itself."""
+    most = F.when(col(c) >= 1e6, F.format_string("%.2fM", col(c) / 1e6))
+    return most.when(col(c) >= 1000, F.format_string("%.1fk", col(c) / 1000)).otherwise(col(c).cast("long").cast("string"))
 
 
 def percent(part: Column, whole: Column) -> Column:

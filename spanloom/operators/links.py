@@ -39,12 +39,13 @@ def difference(desired: DataFrame, actual: DataFrame, key: str, value: str) -> D
 
 
 def env_keys(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="), F.lit(1))
+    """Names in capitals that an example of an environment file sets."""
+    return F.regexp_extract_all(text, F.lit(r"(?m)^\s*(?:export\s+)?([A-Z][A-Z0-9_]+)\s*="), F.lit(1))
 
 
 def front_paths(text: Column) -> Column:
     """The list under ``paths:`` of a text's front matter; null without one, empty if it is empty."""
-    front = F.regexp_extract(F.regexp_replace(text, "\r\n", "\n"), r"(?s)\A---\n(.*?)\n---", 1)
-    block = F.regexp_extract(front + F.lit("\n"), r"(?m)^paths:[ \t]*\n((?:[ \t]*-[^\n]*\n)*)", 1)
-    items = F.regexp_extract_all(block, F.lit(r"""-\s*["']?([^"'\n]+?)["']?\s*(?:\n|$)"""), F.lit(1))
-    return F.when(front.rlike(r"(?m)^paths:"), items)
+    front = F.regexp_extract(F.regexp_replace(text, "\r\n", "\n"), r"(?s)\A---\n(.*?)\n---\n", 1)
+    item = r"""[ \t]+-[ \t]+["']?([^"'#\n]+?)["']?[ \t]*"""
+    block = F.regexp_extract(F.concat(front, F.lit("\n")), rf"(?m)^paths:[ \t]*\n((?:{item}\n)*)", 1)
+    return F.when(front.rlike(r"(?m)^paths:[ \t]*$"), F.regexp_extract_all(block, F.lit(f"(?m)^{item}$"), F.lit(1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import reports, retrieval, sessions
+from spanloom.plans import reports, retrieval, sessions, transcripts
 
-QUERIES = retrieval.QUERIES | sessions.QUERIES | reports.QUERIES
-SQL = retrieval.SQL | sessions.SQL | reports.SQL
+QUERIES = retrieval.QUERIES | sessions.QUERIES | reports.QUERIES | transcripts.QUERIES
+SQL = retrieval.SQL | sessions.SQL | reports.SQL | transcripts.SQL

@@ -60,8 +60,8 @@ def ledger_today(spark, d):
 
 
 def multi_calls(spark, d):
-    own = events(spark, d).withColumn("minute", F.floor(F.unix_seconds("ts") / 60))
-    return reports.multi_calls(own, ["user_id", "minute"], "user_id", F.col("event_type").isin("click", "purchase"))
+    own = events(spark, d).withColumn("hour", F.floor(F.unix_seconds("ts") / 3600))
+    return reports.multi_calls(own, ["user_id", "hour"], "user_id", F.col("event_type").isin("click", "purchase"))
 
 
 def lost(spark, d):
@@ -133,7 +133,7 @@ def last_of_folder(spark, d):
 
 
 def oversized(spark, d):
-    prompt, plan = reports.oversized(F.col("text"), 2500, F.col("text"), 1500, r"[A-Z]un?\b", r"(?i)^la [^\n]*\bun\b")
+    prompt, plan = reports.oversized(F.col("text"), 2500, F.col("text"), 1500, r"[A-Z]un? ", r"(?im)^la [^\n]* un ")
     return table(spark, d, "documents").where("text is not null").select("doc_id", prompt.alias("prompt"), plan.alias("plan"))
 
 
@@ -183,7 +183,7 @@ select doc_id, pos::integer as pos from l where size <= 3000 or pos >= n - 4""",
 select conv_id, max(prompt) as prompt, count(*) filter (role <> 'user') as steps, (select md5(text) from k x where x.conv_id = k.conv_id order by turn desc, role desc, text desc limit 1) as last from k group by conv_id""",
     "ledger_period": f"with {LEDGER} select session, project, calls from le, nw where ended >= now_ - interval 86400 seconds and instr(project, '/p1') > 0",
     "ledger_today": f"with {LEDGER} select session, calls from le, nw where ended >= date_trunc('day', now_)",
-    "multi_calls": "with r as (select user_id, count(*) filter (event_type in ('click', 'purchase')) as n from events group by user_id, epoch_us(ts) // 60000000) select user_id, count(*) filter (n > 0) as tooled, count(*) filter (n > 1) as multi from r group by 1",
+    "multi_calls": "with r as (select user_id, count(*) filter (event_type in ('click', 'purchase')) as n from events group by user_id, epoch_us(ts) // 3600000000) select user_id, count(*) filter (n > 0) as tooled, count(*) filter (n > 1) as multi from r group by 1",
     "waste_argmax": f"with {LOST} select class, sum(tok)::bigint as tok, sum(usd)::bigint as usd, (select session from lo x where x.class = lo.class order by usd desc, session limit 1) as worst from lo group by class",
     "waste_top_class": f"with {LOST} select session, class from lo where usd > 0 qualify row_number() over (partition by session order by usd desc, class) = 1",
     "worst_sessions": f"with {LOST}, s as (select session, sum(tok)::bigint as tok, sum(usd)::bigint as usd from lo group by 1 order by usd desc, session limit 10) select * from s where tok > 0",
@@ -200,7 +200,7 @@ select user_id, string_agg(g, ',' order by g) as grants from m group by 1""",
     "pruned_files": f"with {FILES} select event_id from fi where not {DUE}",
     "first_seen": f"with {FILES} select path, min(mtime) as first_seen from fi group by 1",
     "last_of_folder": r"with p as (select regexp_extract(url, '^https?://([^?]*)', 1) as path from pages) select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, count(*) as files, max(regexp_extract(path, '([^/]*)$', 1)) as last from p group by 1",
-    "oversized": r"""select doc_id, case when length(text) > 2500 then 'long' end as prompt, case when len(regexp_extract_all(text, '(?m)^[A-Z]un?\b')) > 1 or regexp_matches(text, '(?i)^la [^\n]*\bun\b') then 'stacked' when length(text) > 1500 then 'long' end as plan from documents where text is not null""",
+    "oversized": r"""select doc_id, case when length(text) > 2500 then 'long' end as prompt, case when len(regexp_extract_all(text, '(?m)^[A-Z]un? ')) > 1 or regexp_matches(text, '(?im)^la [^\n]* un ') then 'stacked' when length(text) > 1500 then 'long' end as plan from documents where text is not null""",
     "names_word": r"select conv_id, turn, role from conversations where regexp_matches(replace(lower(text), 'ё', 'е'), '(^|[^\p{L}\p{N}_-])la([^\p{L}\p{N}_-]|$)')",
     "index_gaps": "select doc_id as id, 'absent' as side from documents where doc_id not in (select vec_id from embeddings) union all select vec_id, 'unlisted' from embeddings where vec_id not in (select doc_id from documents)",
     "report_merge": "with r as (" + retrieval.SQL["index_report"] + ") select " + ", ".join(f"2 * {c} as {c}" for c in ("added", "changed", "touched", "unchanged", "skipped", "error", "removed")) + " from r",

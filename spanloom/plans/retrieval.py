@@ -42,14 +42,9 @@ def bm25_phrase(spark, d):
     return rounded(search.bm25(table(spark, d, "documents"), WORDS), "score")
 
 
-def corpus(spark, d):
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return vectors, table(spark, d, "documents").select("doc_id", "text").join(vectors.select("doc_id"), "doc_id", "left_semi")
-
-
 def hybrid_rrf(spark, d):
-    vectors, texts = corpus(spark, d)
-    vectors = vectors.join(texts.select("doc_id"), "doc_id", "left_semi")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    texts = table(spark, d, "documents").select("doc_id", "text")
     return rounded(search.hybrid(vectors, texts, query_vector(spark, d), TEXT_WORDS, "doc_id"), "score")
 
 
@@ -81,9 +76,10 @@ def content_hash_groups(spark, d):
 
 
 def snapshots(spark, d):
+    """All documents twice: some renamed, some touched, some with other contents before."""
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.col("n_chars").cast("long").alias("size"), F.sha2("text", 256).alias("hash"), F.trim("text").alias("body"))
-    now = docs.where("path % 7 != 0").select("path", "size", F.lit(2).alias("mtime"), "hash", (F.col("body") == "").alias("blank"))
-    then = docs.where("path % 5 != 0").select("path", "size", F.when(F.col("path") % 2 == 0, 2).otherwise(1).alias("mtime"), F.when(F.col("path") % 3 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")).alias("hash"))
+    now = docs.select(F.when(F.col("path") % 7 == 0, -1 - F.col("path")).otherwise(F.col("path")).alias("path"), "size", F.lit(2).alias("mtime"), "hash", (F.col("body") == "").alias("blank"))
+    then = docs.select(F.when(F.col("path") % 5 == 0, -10_000_000 - F.col("path")).otherwise(F.col("path")).alias("path"), "size", F.when(F.col("path") % 2 == 0, 2).otherwise(1).alias("mtime"), F.when(F.col("path") % 3 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")).alias("hash"))
     return now, then
 
 
@@ -95,9 +91,14 @@ def index_report(spark, d):
     return index.report(index.snapshot_diff(*snapshots(spark, d)))
 
 
-def cache_of(spark, d, where="doc_id % 2 = 0"):
-    docs = table(spark, d, "documents").where(f"text is not null and {where}")
-    return docs.select(F.sha2("text", 256).alias("content_hash"), F.lit(0).alias("seq"), "text", (F.col("doc_id") * 3600 % 7_000_000).cast("double").alias("last_used"))
+def hashed(every):
+    """The hash of a text, of another one where doc_id is no multiple of ``every``."""
+    return F.sha2(F.concat("text", F.when(F.col("doc_id") % every == 0, "").otherwise(f"/{every}")), 256)
+
+
+def cache_of(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select(hashed(2).alias("content_hash"), F.lit(0).alias("seq"), "text", (F.col("doc_id") * 3600 % 7_000_000).cast("double").alias("last_used"))
 
 
 def cache_restore(spark, d):
@@ -113,7 +114,7 @@ def cache_gc_surplus(spark, d):
 
 
 def cache_gc_dead(spark, d):
-    live = table(spark, d, "documents").where("doc_id % 4 = 0 and text is not null").select(F.sha2("text", 256).alias("hash"))
+    live = table(spark, d, "documents").where("text is not null").select(hashed(4).alias("hash"))
     return index.gc_dead(cache_of(spark, d), live, ratio=0.5, least=10).select("content_hash", "chunks")
 
 
@@ -205,13 +206,13 @@ r as (select doc_id, {terms} as sc from c, s where ({hit}) and {where})
 select doc_id, round(sc, 6) as score, rank from (select *, cast(row_number() over (order by sc desc, doc_id) as integer) as rank from r) where rank <= {k}"""
 
 
-NOW = "now_ as (select doc_id as path, n_chars::bigint as size, 2 as mtime, sha256(text) as hash, trim(text) = '' as blank from documents where text is not null and doc_id % 7 != 0)"
-THEN = "then_ as (select doc_id as path, n_chars::bigint as size, case when doc_id % 2 = 0 then 2 else 1 end as mtime, case when doc_id % 3 = 0 then sha256(text) || 'x' else sha256(text) end as hash from documents where text is not null and doc_id % 5 != 0)"
+NOW = "now_ as (select case when doc_id % 7 = 0 then -1 - doc_id else doc_id end as path, n_chars::bigint as size, 2 as mtime, sha256(text) as hash, trim(text) = '' as blank from documents where text is not null)"
+THEN = "then_ as (select case when doc_id % 5 = 0 then -10000000 - doc_id else doc_id end as path, n_chars::bigint as size, case when doc_id % 2 = 0 then 2 else 1 end as mtime, case when doc_id % 3 = 0 then sha256(text) || 'x' else sha256(text) end as hash from documents where text is not null)"
 DIFF = f"""{NOW}, {THEN},
 diff as (select coalesce(a.path, b.path) as path, coalesce(a.hash, b.hash) as hash, b.path is not null as was_known,
 case when a.path is null then 'removed' when b.path is not null and a.size = b.size and a.mtime = b.mtime then 'unchanged' when b.path is not null and a.hash = b.hash then 'touched'
 when a.blank then 'empty' when b.path is not null then 'changed' else 'added' end as status from now_ a full join then_ b on a.path = b.path)"""
-CACHE = "cache as (select sha256(text) as content_hash, (doc_id * 3600 % 7000000)::double as last_used from documents where text is not null and doc_id % 2 = 0), v as (select content_hash, max(last_used) as last_used, count(*) as chunks from cache group by 1)"
+CACHE = "cache as (select sha256(case when doc_id % 2 = 0 then text else text || '/2' end) as content_hash, (doc_id * 3600 % 7000000)::double as last_used from documents where text is not null), v as (select content_hash, max(last_used) as last_used, count(*) as chunks from cache group by 1)"
 
 SQL = {
     "knn_topk": knn_sql("true"),
@@ -220,8 +221,8 @@ SQL = {
     "bm25_filtered_global_idf": bm25_sql(TEXT_WORDS, "lang = 'fr'"),
     "bm25_phrase": bm25_sql(WORDS),
     "hybrid_rrf": f"""
-with k as (select vec_id as doc_id, rank as v from ({knn_sql("vec_id in (select doc_id from documents)")})),
-b as (select doc_id, rank as t from ({bm25_sql(TEXT_WORDS, source="(select doc_id, text from documents where doc_id in (select vec_id from embeddings))")})),
+with k as (select vec_id as doc_id, rank as v from ({knn_sql("true")})),
+b as (select doc_id, rank as t from ({bm25_sql(TEXT_WORDS)})),
 f as (select coalesce(k.doc_id, b.doc_id) as doc_id, coalesce(1.0::double / (60 + v), 0) + coalesce(1.0::double / (60 + t), 0) as sc, coalesce(v, 1000000 + t) as tie from k full join b on k.doc_id = b.doc_id)
 select doc_id, round(sc, 6) as score, rank from (select *, cast(row_number() over (order by sc desc, tie) as integer) as rank from f) where rank <= 8""",
     "path_filter": "select page_id, url from pages where (instr(url, '/en/') > 0 or instr(url, '/fr/') > 0) and instr(url, 'utm_') = 0",
@@ -243,7 +244,7 @@ count(*) filter (status = 'unchanged') as unchanged, count(*) filter (status = '
     "cache_gc_age": f"with {CACHE} select content_hash, last_used from v where last_used >= 7000000 - 45 * 86400",
     "cache_gc_surplus": f"with {CACHE} select content_hash, last_used from v qualify row_number() over (order by last_used desc, content_hash desc) <= 50",
     "cache_gc_dead": f"""
-with {CACHE}, live as (select distinct sha256(text) as h from documents where doc_id % 4 = 0 and text is not null), a as (select * from v where content_hash in (select h from live)), b as (select * from v where content_hash not in (select h from live)),
+with {CACHE}, live as (select distinct sha256(case when doc_id % 4 = 0 then text else text || '/4' end) as h from documents where text is not null), a as (select * from v where content_hash in (select h from live)), b as (select * from v where content_hash not in (select h from live)),
 l as (select greatest(10.0, coalesce((select sum(chunks) from a), 0) * 0.5) as lim, coalesce((select sum(chunks) from b), 0) as dead),
 r as (select *, sum(chunks) over (order by last_used desc, content_hash rows unbounded preceding) as total from b)
 select content_hash, chunks from a union all select content_hash, chunks from r, l where dead <= lim or total <= lim / 2""",

@@ -129,6 +129,7 @@ select session, tool, case when tool = 'Read' then file end as path, count(*) as
     "text_contents": f"with {EVENTS} select event_id, target + 1 <= 60 and not (target % 4 = 0 and target < 40) as readable from ev",
     "secret_lines": f"with {EVENTS} select event_id, case when target % 7 > 0 then {listed([v[:12] for v in SECRETS])}[target % 7 + 1] || '…' end as secret from ev",
     "redacted_lines": f"with {EVENTS}, x as (select event_id, {MADE_LINE} as line from ev) select event_id, substring({masked(r"trim(regexp_replace(line, '\s+', ' ', 'g'))")}, 1, 60) as short, {masked('line')} as whole from x",
+    "redact": f"select doc_id, sha256({masked('text')}) as redacted from documents where text is not null",
     "check_commands": f"""with {EVENTS} select event_id, target % 8 not in (1, 4, 6) as checks, case user_id % 4 when 0 then case when target % 8 = 6 then 'grep' else 'bash' end when 1 then 'read' when 2 then 'edit' end as tools from ev""",
     "scalar_texts": f"""with {EVENTS}, x as (select *, '/home/a_b/' || event_type || '-x' as path from ev)
 select event_id, 's' || target as skill, substr(sha256(path), 1, 16) as project, substr(sha1(path), 1, 12) as item, replace(path, '/', ' ') || chr(10) || props as search, ' / home / a b / ' || event_type || ' x' || chr(10) || chr(10) || props as embedding,

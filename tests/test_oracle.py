@@ -12,6 +12,13 @@ from spanloom.plans.queries import QUERIES, SQL
 SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 
+#: Queries that SQL does not express: where their functions are tested on literals or against a brute force.
+ELSEWHERE = {
+    "chunk_documents": "test_chunker", "pending_question": "test_questions", "prose_lines": "test_questions", "secret_values": "test_literals", "literals": "test_literals", "literal_groups": "test_literals",
+    "stream_threshold_notice": "test_streams", "breaker_window": "test_streams", "stream_failure_streak": "test_streams",
+}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -31,7 +38,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
     if name not in SQL:
-        assert len(df.columns) > 0
+        assert name in ELSEWHERE
         return
     out = duck.execute(SQL[name])
     names = [c[0] for c in out.description]

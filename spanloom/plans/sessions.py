@@ -295,6 +295,10 @@ select parent, last, hops from r where last not in (select parent from ne)""",
 with m as (select *, event_type in ('error', 'view') as bad, sum((event_type not in ('error', 'view'))::integer) over {PAST} as run from events),
 s as (select user_id, row_number() over (partition by user_id, run order by ts, event_id) as streak from m where bad)
 select user_id, max(streak)::integer as longest, count(*) filter (streak = 3) as hints from s group by 1""",
+    "stream_failure_streak": f"""
+with m as (select *, event_type in ('error', 'view') as bad, sum((event_type not in ('error', 'view'))::integer) over {PAST} as run from events),
+s as (select *, row_number() over (partition by user_id, run order by ts, event_id) as streak from m where bad)
+select user_id::varchar as key, ts as at, 3::integer as failures from s where streak = 3 qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
     "decisions_by_hook": f"with {EVENTS} select target, event_type, count(*) as n, max(value) as most from ev group by 1, 2",
     "uniq_collapse": f"select event_id from events qualify lag(event_type) over {W} is null or lag(event_type) over {W} <> event_type",
     "verdict_merge": f"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import redact, secret_value, short_number
+from spanloom.functions.text import literal_of, redact, secret_value, short_number
 from spanloom.operators import reports, verdicts
 from spanloom.sources import transcripts
 
@@ -31,6 +31,11 @@ def test_secret_and_redacted(spark):
     assert hidden == "Bearer *** and redis://u:***@h"
 
 
+def test_literal_of(spark):
+    lines = ("a(process.env.SMTP_HOST, 'x')", "emit('order.paid', x)", "throw FORBIDDEN_ZONE", "a('1') + b")
+    assert [one(spark, literal_of(F.lit(x))) for x in lines] == ["SMTP_HOST", "order.paid", "FORBIDDEN_ZONE", ""]
+
+
 def test_short_number(spark):
     assert [one(spark, short_number(F.lit(n))) for n in (7, 999, 1000, 40_000, 2_500_000)] == ["7", "999", "1.0k", "40.0k", "2.50M"]
 

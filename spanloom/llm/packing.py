@@ -136,8 +136,11 @@ class Packer:
         self.open, self.tokens = rest, sum(len(x[3]) // 4 for x in rest)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_ids: bool = True, **rule) -> DataFrame:
-    """One row for each piece, with its window's number (unique over all ranges), its offset there, and its ids if asked for."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_ids: bool = True, lean: bool = False, **rule) -> DataFrame:
+    """One row for each piece, with its window's number (unique over all ranges), its offset there, and its ids if asked for.
+
+    ``lean``: workers forget the pre-tokens they met at the end of a task, for more work and less memory.
+    """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def rows(pieces):
@@ -157,8 +160,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, with_
                 found.extend(packer.add(doc_id, ids + end))
             yield rows(found)
         yield rows(list(packer.close(final=True)))
-        bpe.pretokens.forget()
-        give_back()
+        if lean:
+            bpe.pretokens.forget()
+            give_back()
 
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     packed = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, PIECES)

@@ -49,7 +49,7 @@ class Memo:
 class ByteBPE:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, entries: int = 200_000):
+    def __init__(self, path: str, entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -103,5 +103,5 @@ class ByteBPE:
 
 @functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBPE:
-    """One encoder for each Python worker, which Spark keeps: a task ends by ``pretokens.forget()``."""
+    """One encoder for each Python worker, which Spark keeps; its memo goes on to the next task unless that task's user forgets it."""
     return ByteBPE(path)

@@ -42,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of 2048 ids, with their ids."""
     slim(spark)
-    return packing.pack(docs, BYTE_BPE, end_id=1, window=2048)
+    return packing.pack(docs, BYTE_BPE, end_id=1, window=2048, lean=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("suffix_array", cut_repeats), ("packing", pack_windows)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import cross_polytope, hilbert, lattice, lm, packing, prefix_free, simhash, token_orc, toxicity, warc
+from spanloom.llm import cross_polytope, hilbert, lattice, lm, packing, prefix_free, simhash, tandem, token_orc, toxicity, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,5 +64,9 @@ def op10_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), BYTE_PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention)}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tandem.summaries(table(spark, sf_dir, "documents"), least=6, ratio=4, change=tandem.planted)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention, op11_runs)}
 SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import cross_polytope, hilbert, lattice, lm, packing, prefix_free, simhash, tandem, token_orc, toxicity, warc
+from spanloom.llm import collocations, cross_polytope, hilbert, lattice, lm, packing, prefix_free, simhash, tandem, token_orc, toxicity, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,5 +68,28 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tandem.summaries(table(spark, sf_dir, "documents"), least=6, ratio=4, change=tandem.planted)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention, op11_runs)}
-SQL: dict[str, str] = {}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, longest=3, percent=50, most=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention, op11_runs, op12_collocations)}
+SQL: dict[str, str] = {
+    "op12_collocations": r"""
+with w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+totals as (select lang, sum(len(ws))::bigint as n from w group by 1),
+grams as (
+  select lang, 1 as size, unnest(ws) as phrase from w
+  union all select lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w
+  union all select lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) from w),
+f as (select lang, size, phrase, count(*) as a from grams group by all),
+c as (select lang, size, phrase, a, string_split(phrase, ' ') as ws from f where size > 1 and a >= 10),
+cuts as (select lang, size, phrase, a, ws, k, array_to_string(ws[1:k], ' ') as head, array_to_string(ws[k + 1:], ' ') as tail from c, (values (1), (2)) as v(k) where k < size),
+s as (
+  select cuts.*, x.a as l, y.a as r, (1000000::hugeint * cuts.a * cuts.a // (x.a::hugeint * y.a))::bigint as score
+  from cuts join f x on x.lang = cuts.lang and x.phrase = head and x.size = k join f y on y.lang = cuts.lang and y.phrase = tail and y.size = cuts.size - k
+  qualify row_number() over (partition by cuts.lang, cuts.phrase order by score, k) = 1),
+longer as (select lang, part, max(a) as most from (select lang, a, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) as part from c where size = 3) group by 1, 2),
+kept as (select s.* from s left join longer o on o.lang = s.lang and o.part = s.phrase where o.most is null or 100 * o.most < 50 * s.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from kept join totals using (lang) qualify rank <= 2000""",
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import collocations, cross_polytope, hilbert, lattice, lm, packing, prefix_free, simhash, tandem, token_orc, toxicity, warc
+from spanloom.llm import collocations, cross_polytope, hilbert, lattice, lm, packing, prefix_free, quality, simhash, tandem, token_orc, toxicity, warc
 from spanloom.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,7 +72,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=10, longest=3, percent=50, most=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention, op11_runs, op12_collocations)}
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention, op11_runs, op12_collocations, op13_quality)}
 SQL: dict[str, str] = {
     "op12_collocations": r"""
 with w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.shared import written
+
 STATUSES = ("unchanged", "touched", "binary", "empty", "error", "changed", "added", "removed")
 
 
@@ -78,13 +80,17 @@ def versions(cache: DataFrame) -> DataFrame:
 
 
 def running_total(rows: DataFrame, order: list, value: str, name: str) -> DataFrame:
-    """Adds a running sum over all rows in ``order``: sums inside sorted partitions, and of partitions before."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """Adds a running sum over all rows in ``order``: sums inside sorted ranges, and of the ranges before.
+
+    Each row is written once with the number of its range. Bounds of ranges come from a sample, so
+    a second plan over the same rows may draw others; the stored numbers fit each other.
+    """
+    stored = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = dealt.withColumn("_inside", F.sum(value).over(inside))
-    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    sums = stored.groupBy("_part").agg(F.sum(value).alias("_sum"))  # one row for each range
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    local = stored.withColumn("_inside", F.sum(value).over(inside))
     return local.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")
 
 
@@ -95,9 +101,7 @@ def gc_age(cache: DataFrame, now, days: float = 45) -> DataFrame:
 
 def gc_surplus(cache: DataFrame, most: int = 20_000) -> DataFrame:
     """Content that stays: the ``most`` versions used last; of equals the larger hashes."""
-    one = versions(cache).withColumn("_one", F.lit(1))
-    placed = running_total(one, [F.col("last_used").desc(), F.col("content_hash").desc()], "_one", "_place")
-    return placed.where(F.col("_place") <= most).drop("_one", "_place")
+    return versions(cache).orderBy(F.col("last_used").desc(), F.col("content_hash").desc()).limit(most)
 
 
 def gc_dead(cache: DataFrame, live: DataFrame, ratio: float = 1.0, least: int = 2000) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.shared import written
+
 
 def ordered(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -95,15 +97,25 @@ def handoff_edges(exits: DataFrame, starts: DataFrame, keys: list[str], seconds:
 
 
 def chain_ends(edges: DataFrame, most: int = 50) -> DataFrame:
-    """parent, last and hops: edges (parent, child; one child each) followed to their end by doubling; cycles end after ``most`` hops."""
-    jump = edges.select("parent", F.col("child").alias("last"), F.lit(1).alias("hops"))
-    reach = 1
-    while reach < most:
-        onward = jump.select(F.col("parent").alias("last"), F.col("last").alias("_next"), F.col("hops").alias("_more"))
-        far = jump.join(onward, "last", "left")
-        jump = far.select("parent", F.coalesce("_next", "last").alias("last"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
-        reach *= 2
-    return jump.where(F.col("hops") <= most)
+    """parent, last and hops: edges (parent, child; one child each) followed to their end, for ``most`` hops, or to the last link before one that was there already.
+
+    The way of each parent, at most ``most`` links, doubles in each round; a round joins only the
+    ways that can still grow, and its rows are written before the next one reads them twice.
+    """
+    joined = F.slice(F.concat("way", F.coalesce("more", F.array().cast("array<long>"))), 1, most)
+    nth = F.filter(F.sequence(F.lit(1), F.size("way")), lambda i: (F.get("way", i - 1) == F.col("parent")) | (F.array_position("way", F.get("way", i - 1)) < i))
+    first = F.array_min(nth)
+    cut = F.when(first.isNull(), F.col("way")).otherwise(F.slice("way", 1, first - 1))
+    step = edges.where("parent != child").select(F.col("parent").cast("long").alias("parent"), F.array(F.col("child").cast("long")).alias("way"), F.lit(True).alias("open"))
+    full = 1
+    while full < most:
+        step = written(step, "ways")
+        onward = step.select(F.col("parent").alias("_at"), F.col("way").alias("more"))
+        grown = step.where("open").withColumn("_at", F.element_at("way", -1)).join(onward, "_at", "left").select("parent", joined.alias("way"))
+        full = min(2 * full, most)
+        grown = grown.select("parent", "way", first.isNotNull().alias("_back"), cut.alias("_cut")).select("parent", F.col("_cut").alias("way"), (~F.col("_back") & (F.size("way") == full)).alias("open"))
+        step = step.where("not open").unionByName(grown)
+    return step.select("parent", F.element_at("way", -1).alias("last"), F.size("way").alias("hops"))
 
 
 def level(tokens: Column, soft: int = 100_000, hand: int = 150_000, hard: int = 220_000) -> Column:

@@ -118,6 +118,12 @@ def cache_gc_dead(spark, d):
     return index.gc_dead(cache_of(spark, d), live, ratio=0.5, least=10).select("content_hash", "chunks")
 
 
+def cache_gc_chain(spark, d):
+    """Age, surplus and dead content one after the other."""
+    live = table(spark, d, "documents").where("text is not null").select(hashed(4).alias("hash"))
+    return index.collect_garbage(cache_of(spark, d), live, 7_000_000, days=60, most=600, ratio=0.5, least=10).groupBy("content_hash").agg(F.count("*").alias("chunks"))
+
+
 def index_stats(spark, d):
     return index.stats(table(spark, d, "documents").select(F.col("source").alias("path")))
 
@@ -171,7 +177,7 @@ def head_tail_lines(spark, d):
 NAMES = {
     "path_filter": path_filter_pages, "redact": redact_documents, "head_tail": head_tail_lines, "literals": first_literals,
 }
-QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, bm25_topk, bm25_filtered_global_idf, bm25_phrase, hybrid_rrf, fts_postings, fts_query_terms, chunk_documents, chunk_headings_lines, content_hash_groups, snapshot_diff, index_report, cache_restore, cache_gc_age, cache_gc_surplus, cache_gc_dead, index_stats, token_estimate_mixed, secret_values, literal_groups, mention_join, glob_match, settings_diff)} | NAMES
+QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, bm25_topk, bm25_filtered_global_idf, bm25_phrase, hybrid_rrf, fts_postings, fts_query_terms, chunk_documents, chunk_headings_lines, content_hash_groups, snapshot_diff, index_report, cache_restore, cache_gc_age, cache_gc_surplus, cache_gc_dead, cache_gc_chain, index_stats, token_estimate_mixed, secret_values, literal_groups, mention_join, glob_match, settings_diff)} | NAMES
 
 FOLDED = "strip_accents(lower(text))"
 TOKENS = rf"regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}]+')"
@@ -247,6 +253,12 @@ count(*) filter (status = 'unchanged') as unchanged, count(*) filter (status = '
 with {CACHE}, live as (select distinct sha256(case when doc_id % 4 = 0 then text else text || '/4' end) as h from documents where text is not null), a as (select * from v where content_hash in (select h from live)), b as (select * from v where content_hash not in (select h from live)),
 l as (select greatest(10.0, coalesce((select sum(chunks) from a), 0) * 0.5) as lim, coalesce((select sum(chunks) from b), 0) as dead),
 r as (select *, sum(chunks) over (order by last_used desc, content_hash rows unbounded preceding) as total from b)
+select content_hash, chunks from a union all select content_hash, chunks from r, l where dead <= lim or total <= lim / 2""",
+    "cache_gc_chain": f"""
+with {CACHE}, live as (select distinct sha256(case when doc_id % 4 = 0 then text else text || '/4' end) as h from documents where text is not null),
+y as (select * from v where last_used >= 7000000 - 60 * 86400 qualify row_number() over (order by last_used desc, content_hash desc) <= 600), a as (select * from y where content_hash in (select h from live)), b as (select * from y where content_hash not in (select h from live)),
+l as (select greatest(10.0, coalesce((select sum(chunks) from a), 0) * 0.5) as lim, coalesce((select sum(chunks) from b), 0) as dead),
+r as (select *, sum(chunks) over (order by last_used desc, content_hash rows unbounded preceding) as total from b)
 select content_hash, chunks from a union all select content_hash, chunks from r, l where dead <= lim or total <= lim / 2""",
     "index_stats": "select count(distinct source) as files, count(*) as chunks from documents",
     "token_estimate_mixed": "select doc_id, floor(len(regexp_extract_all(text, '[Ѐ-ӿ]')) / 2.2::double + (length(text) - len(regexp_extract_all(text, '[Ѐ-ӿ]'))) / 4.0::double + 0.5)::bigint as n_tokens from documents where text is not null",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from spanloom.functions.money import cost, month_key, price_schema, priced
 from spanloom.functions.text import percent, tokens_by_length
 from spanloom.operators import order, usage, verdicts
-from spanloom.plans.tables import events, shared_path, table
+from spanloom.plans.tables import events, table
+from spanloom.shared import shared_path
 
 USER, TIME = ["user_id"], ["ts", "event_id"]
 PRICES = [(0, "PROMO", 2.0, 10.0, 0.2, 2.5, 4.0), (1, "PRO", 3.0, 15.0, 0.3, 3.75, 6.0), (2, "ECONOMY", 1.0, 5.0, 0.1, 1.25, 2.0), (3, "STANDARD", 5.0, 25.0, 0.5, 6.25, 10.0)]
@@ -155,8 +156,10 @@ def handoff_asof(spark, d):
 
 
 def handoff_chain(spark, d):
-    own = table(spark, d, "nation").select(F.col("n_nationkey").alias("parent"), (F.col("n_nationkey") + 3).alias("child")).where("child <= 24")
-    return order.chain_ends(own)
+    """Users as sessions: the last error of each hands on to another user's nearest sign-up within six hours."""
+    own = events(spark, d).withColumn("session", F.col("user_id")).withColumn("key", F.col("user_id") % 3)
+    exits = usage.wins(own.where("event_type = 'error'"), USER, [F.col("ts"), F.col("event_id")], last=True)
+    return order.chain_ends(order.handoff_edges(exits, own.where("event_type = 'signup'"), ["key"], 6 * 3600))
 
 
 def failure_streak(spark, d):
@@ -239,7 +242,9 @@ coalesce(sum((event_type = 'purchase')::integer) over (partition by user_id, tar
 rr as (select *, row_number() over (partition by user_id, target, epoch order by ts, event_id) > 1 as again from rd where event_type = 'click')"""
 MINUTES = "mm as (select *, row_number() over (partition by user_id, epoch_us(ts) // 60000000 order by ts desc, event_id desc) as l, row_number() over (partition by user_id, epoch_us(ts) // 60000000 order by ts, event_id) as f from events)"
 TURNS = "tn as (select *, floor(length(text) / 4.0::double + 0.5)::bigint as tokens from conversations)"
-CHILDREN = "ne as (select n_nationkey as parent, n_nationkey + 3 as child from nation where n_nationkey + 3 <= 24)"
+CHILDREN = """x as (select user_id as parent, epoch_us(ts) as t from events where event_type = 'error' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1),
+s as (select user_id as child, epoch_us(ts) as u from events where event_type = 'signup'),
+ne as (select parent, child from x join s on parent % 3 = child % 3 and parent <> child and abs(t - u) <= 21600000000 qualify row_number() over (partition by parent order by abs(t - u), u, child) = 1)"""
 
 SQL = {
     "ledger_by_session": f"with {MINUTES} select user_id, count(*) as messages, round(sum(value), 4) as cost, min(ts) as started, max(ts) as ended from mm where l = 1 group by 1",
@@ -289,8 +294,8 @@ select tn.conv_id as session, role as layer, sum(tokens)::bigint as tokens from
 with {EVENTS}, x as (select event_id as parent, target % 10 as k, epoch_us(ts) as t from ev where event_type = 'error'), s as (select event_id as child, target % 10 as k, epoch_us(ts) as u from ev where event_type = 'signup')
 select parent, child, abs(t - u) as gap_us from x join s on x.k = s.k and abs(t - u) <= 600000000 qualify row_number() over (partition by parent order by abs(t - u), u, child) = 1""",
     "handoff_chain": f"""
-with recursive {CHILDREN}, r as (select parent, child as last, 1 as hops from ne union all select r.parent, ne.child, hops + 1 from r join ne on ne.parent = r.last)
-select parent, last, hops from r where last not in (select parent from ne)""",
+with recursive {CHILDREN}, r as (select parent, child as last, 1 as hops, [parent, child] as seen from ne union all select r.parent, ne.child, hops + 1, list_append(seen, ne.child) from r join ne on ne.parent = r.last where hops < 50 and not list_contains(seen, ne.child))
+select parent, arg_max(last, hops) as last, max(hops) as hops from r group by 1""",
     "failure_streak": f"""
 with m as (select *, event_type in ('error', 'view') as bad, sum((event_type not in ('error', 'view'))::integer) over {PAST} as run from events),
 s as (select user_id, row_number() over (partition by user_id, run order by ts, event_id) as streak from m where bad)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +14,3 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a zoned ts and target, the number in their properties."""
     own = table(spark, sf_dir, "events")
     return own.withColumns({"ts": F.col("ts").cast("timestamp"), "target": F.get_json_object("props", "$.k").cast("int")})
-
-
-def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new path in the folder that the driver and the executors share; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

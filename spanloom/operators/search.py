@@ -47,6 +47,17 @@ def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
     return F.size(F.filter(tokens, lambda t, i: F.coalesce(here(t, i), F.lit(False))))
 
 
+def bm25_score(names: Sequence[str]) -> Column:
+    """The sum over phrases, from their counts (``f0``), the texts that hold them (``_f0``), ``_length``, ``_mean`` and ``_n``."""
+
+    def part(n):
+        raw = F.ln((F.col("_n") - F.col(f"_{n}") + 0.5) / (F.col(f"_{n}") + 0.5))
+        idf = F.when(raw > 0, raw).otherwise(1e-6)
+        return idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
+
+    return reduce(lambda a, b: a + b, map(part, names), F.lit(0.0))
+
+
 def bm25(df: DataFrame, phrases: Sequence[Sequence[str]], k: int = CANDIDATES, key: str = "doc_id", text: str = "text", where: Column | None = None) -> DataFrame:
     """key, score and rank. Each phrase is folded words that must stand together; a repeated one counts again.
 
@@ -63,13 +74,7 @@ def bm25(df: DataFrame, phrases: Sequence[Sequence[str]], k: int = CANDIDATES, k
     own = counted if where is None else counted.where(where)
     joined = own.where(hit).crossJoin(F.broadcast(stats))  # one row of totals
 
-    def part(n):
-        raw = F.ln((F.col("_n") - F.col(f"_{n}") + 0.5) / (F.col(f"_{n}") + 0.5))
-        idf = F.when(raw > 0, raw).otherwise(1e-6)
-        return idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
-
-    score = reduce(lambda a, b: a + b, map(part, names), F.lit(0.0))
-    return ranked(joined.select(key, score.alias("score")), [F.col("score").desc(), F.col(key)], k)
+    return ranked(joined.select(key, bm25_score(names).alias("score")), [F.col("score").desc(), F.col(key)], k)
 
 
 def fuse(vectors: DataFrame, texts: DataFrame, key: str, top: int = TOP) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.chunker import chunk_rows
 from spanloom.functions.text import fold_marks, literal_of, query_words, quoted_query, redact, secret_value, tokens_mixed
-from spanloom.operators import index, links, search
+from spanloom.operators import index, links, search, textindex
 from spanloom.operators.filters import path_filter
 from spanloom.plans.tables import table
+from spanloom.shared import shared_path
 
 WORDS = [["the"], ["tion"], ["de", "la"], ["the"]]
 TEXT_WORDS = [["the"], ["la"], ["und"]]
@@ -48,6 +49,43 @@ def hybrid_rrf(spark, d):
     return rounded(search.hybrid(vectors, texts, query_vector(spark, d), TEXT_WORDS, "doc_id"), "score")
 
 
+INDEXES: dict[tuple[str, str], textindex.TextIndex] = {}
+
+
+def text_index(spark, d):
+    """The stored index of a folder's documents, made once for each application."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in INDEXES:
+        INDEXES[at] = textindex.build(table(spark, d, "documents"), shared_path(spark, "textindex"), carry=["lang"])
+    return INDEXES[at]
+
+
+def index_bm25_topk(spark, d):
+    return rounded(textindex.bm25(spark, text_index(spark, d), TEXT_WORDS), "score")
+
+
+def index_bm25_filtered(spark, d):
+    return rounded(textindex.bm25(spark, text_index(spark, d), TEXT_WORDS, where=F.col("lang") == "fr"), "score")
+
+
+def index_bm25_phrase(spark, d):
+    return rounded(textindex.bm25(spark, text_index(spark, d), [["of", "the"], *WORDS, ["of", "the", "and"]]), "score")
+
+
+def index_hybrid(spark, d):
+    """Vectors and the stored index, fused."""
+    vectors = search.knn(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), query_vector(spark, d), key="doc_id")
+    return rounded(search.fuse(vectors, textindex.bm25(spark, text_index(spark, d), TEXT_WORDS), "doc_id"), "score")
+
+
+def index_replaced(spark, d):
+    """The index after French texts got other words and all texts of one source went."""
+    docs = table(spark, d, "documents")
+    changed = docs.where("lang = 'fr'").withColumn("text", F.concat("text", F.lit(" of the, und la")))
+    made = textindex.forget(textindex.replace(text_index(spark, d), changed), docs.where("source = 'src3'"))
+    return rounded(textindex.bm25(spark, made, WORDS), "score")
+
+
 def path_filter_pages(spark, d):
     return table(spark, d, "pages").where(path_filter(F.col("url"), ["/en/", "/fr/"], ["utm_"])).select("page_id", "url")
 
@@ -177,7 +215,7 @@ def head_tail_lines(spark, d):
 NAMES = {
     "path_filter": path_filter_pages, "redact": redact_documents, "head_tail": head_tail_lines, "literals": first_literals,
 }
-QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, bm25_topk, bm25_filtered_global_idf, bm25_phrase, hybrid_rrf, fts_postings, fts_query_terms, chunk_documents, chunk_headings_lines, content_hash_groups, snapshot_diff, index_report, cache_restore, cache_gc_age, cache_gc_surplus, cache_gc_dead, cache_gc_chain, index_stats, token_estimate_mixed, secret_values, literal_groups, mention_join, glob_match, settings_diff)} | NAMES
+QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, bm25_topk, bm25_filtered_global_idf, bm25_phrase, hybrid_rrf, index_bm25_topk, index_bm25_filtered, index_bm25_phrase, index_hybrid, index_replaced, fts_postings, fts_query_terms, chunk_documents, chunk_headings_lines, content_hash_groups, snapshot_diff, index_report, cache_restore, cache_gc_age, cache_gc_surplus, cache_gc_dead, cache_gc_chain, index_stats, token_estimate_mixed, secret_values, literal_groups, mention_join, glob_match, settings_diff)} | NAMES
 
 FOLDED = "strip_accents(lower(text))"
 TOKENS = rf"regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}]+')"
@@ -226,10 +264,19 @@ SQL = {
     "bm25_topk": bm25_sql(TEXT_WORDS),
     "bm25_filtered_global_idf": bm25_sql(TEXT_WORDS, "lang = 'fr'"),
     "bm25_phrase": bm25_sql(WORDS),
+    "index_bm25_topk": bm25_sql(TEXT_WORDS),
+    "index_bm25_filtered": bm25_sql(TEXT_WORDS, "lang = 'fr'"),
+    "index_bm25_phrase": bm25_sql([["of", "the"], *WORDS, ["of", "the", "and"]]),
+    "index_replaced": bm25_sql(WORDS, source="(select doc_id, case when lang = 'fr' then text || ' of the, und la' else text end as text from documents where source <> 'src3' or source is null)"),
     "hybrid_rrf": f"""
 with k as (select vec_id as doc_id, rank as v from ({knn_sql("true")})),
 b as (select doc_id, rank as t from ({bm25_sql(TEXT_WORDS)})),
 f as (select coalesce(k.doc_id, b.doc_id) as doc_id, coalesce(1.0::double / (60 + v), 0) + coalesce(1.0::double / (60 + t), 0) as sc, coalesce(v, 1000000 + t) as tie from k full join b on k.doc_id = b.doc_id)
+select doc_id, round(sc, 6) as score, rank from (select *, cast(row_number() over (order by sc desc, tie) as integer) as rank from f) where rank <= 8""",
+    "index_hybrid": f"""
+with k as (select vec_id as doc_id, rank as v from ({knn_sql("true")})),
+b as (select doc_id, rank as t from ({bm25_sql(TEXT_WORDS)})),
+f as (select coalesce(k.doc_id, b.doc_id) as doc_id, coalesce(1.0::double / (60 + v), 0) + coalesce(1.0::double / (60 + t), 0) as sc, coalesce(v, 1000000 + t) as tie from k full join b on k.doc_id = b.doc_id)
 select doc_id, round(sc, 6) as score, rank from (select *, cast(row_number() over (order by sc desc, tie) as integer) as rank from f) where rank <= 8""",
     "path_filter": "select page_id, url from pages where (instr(url, '/en/') > 0 or instr(url, '/fr/') > 0) and instr(url, 'utm_') = 0",
     "fts_postings": f"""

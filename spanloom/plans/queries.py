@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import reports, retrieval, sessions, transcripts
+from spanloom.plans import reports, retrieval, sessions, transcripts, waste
 
-QUERIES = retrieval.QUERIES | sessions.QUERIES | reports.QUERIES | transcripts.QUERIES
-SQL = retrieval.SQL | sessions.SQL | reports.SQL | transcripts.SQL
+QUERIES = retrieval.QUERIES | sessions.QUERIES | reports.QUERIES | transcripts.QUERIES | waste.QUERIES
+SQL = retrieval.SQL | sessions.SQL | reports.SQL | transcripts.SQL | waste.SQL

@@ -72,6 +72,19 @@ def streaks(events: DataFrame, by: list[str], order: list[str], fails: Column) -
     return events.withColumns({"fails": fails, "run": run}).where("fails").withColumn("streak", F.row_number().over(ordered([*by, "run"], order))).drop("fails")
 
 
+def attempts(events: DataFrame, by: list[str], order: list[str], command: str, is_edit: Column, is_pass: Column, is_fail: Column) -> DataFrame:
+    """Failures of a command with their number since its last pass, and counted: those without an edit since the one before have that one's number and are not counted.
+
+    Two counters make the islands: passes of the command, and edits of the whole group.
+    """
+    past = ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)
+    own = events.withColumns({"_edits": F.sum(is_edit.cast("int")).over(past), "_fail": is_fail, "_pass": is_pass}).where("_fail or _pass")
+    run = F.sum(F.col("_pass").cast("int")).over(ordered([*by, command], order).rowsBetween(Window.unboundedPreceding, 0))
+    failed = own.withColumn("_run", run).where("_fail")
+    nth = F.row_number().over(ordered([*by, command, "_run", "_edits"], order))
+    return failed.withColumns({"failures": F.dense_rank().over(ordered([*by, command, "_run"], ["_edits"])), "counted": nth == 1}).drop("_edits", "_run", "_fail", "_pass")
+
+
 def first_and_last(lines: DataFrame, by: list[str], order: str, head: int = 40, tail: int = 120) -> DataFrame:
     """The first and last lines, with how many are left out between."""
     w = Window.partitionBy(*by)

@@ -230,7 +230,47 @@ def stream_failure_streak(spark, d):
     return streamed(spark, d, lambda s: failure_streaks(s.withColumn("failed", F.col("event_type").isin("error", "view"))), "streaks")
 
 
-QUERIES = {f.__name__: f for f in (ledger_by_session, ledger_first_wins, price_prefix_join, cost_rollup_4dp, usage_by_project, usage_top_tools, usage_skills, context_sources, shares_grouping_sets, batch_and_steps, segments, reread_events, fullread_no_later_edit, waste_next_call, waste_carry, deny_repeat, gap_open_close, context_levels, start_cost_layers, monthly_rollup, handoff_asof, handoff_chain, failure_streak, decisions_by_hook, uniq_collapse, verdict_merge, pending_question, prose_lines, stream_threshold_notice, breaker_window, stream_failure_streak)}
+#: What events stand for in attempts: purchases are edits, clicks passes, errors and views failures, sign-ups interrupted ones.
+KIND = "case event_type when 'purchase' then 'edit' when 'click' then 'pass' when 'signup' then 'skip' else 'fail' end"
+
+
+def failure_attempts(spark, d):
+    """The first third failure of a command with edits between, for each user, where the value lets it be told."""
+    own = events(spark, d).withColumns({"kind": F.expr(KIND), "command": F.col("event_id") % 3})
+    found = order.attempts(own, USER, TIME, "command", F.col("kind") == "edit", F.col("kind") == "pass", F.col("kind") == "fail")
+    first = usage.wins(found.where((F.col("failures") >= 3) & F.col("counted") & (F.col("value") > 20)), USER, [F.col("ts"), F.col("event_id")], last=False)
+    return first.select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.col("command").cast("string").alias("command"), "failures")
+
+
+def stream_failure_attempts(spark, d):
+    from spanloom.streaming.sessions import attempts
+
+    return streamed(spark, d, lambda s: attempts(s.withColumns({"kind": F.expr(KIND), "command": (F.col("event_id") % 3).cast("string"), "hints": F.col("value") > 20, "ord": F.col("event_id")}), keep=10**12), "attempts")
+
+
+def stream_commit_gate(spark, d):
+    """Sign-ups ask; views are reads, purchases edits, clicks reviews, each for an hour and a half."""
+    from spanloom.streaming.sessions import commit_gate
+
+    mark = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    rule = {"needs": ["click"], "reads": "view", "changes": ["purchase", "click"], "keep": 5_400_000}
+    return streamed(spark, d, lambda s: commit_gate(s.withColumns({"mark": mark, "asks": F.col("event_type") == "signup", "ord": F.col("event_id")}), **rule), "gate")
+
+
+def stream_context_notes(spark, d):
+    """Values as usage; clicks are prompts, views steps, purchases work, sign-ups stops."""
+    from spanloom.streaming.sessions import context_notes
+
+    kind = F.expr("case event_type when 'click' then 'prompt' when 'view' then 'step' when 'purchase' then 'work' when 'signup' then 'stop' end")
+
+    def notes(s):
+        own = s.withColumns({"ord": F.col("event_id"), "tokens": F.floor("value").cast("long") * 3000, "kind": kind})
+        return context_notes(own, own.where("kind is not null"))
+
+    return streamed(spark, d, notes, "context")
+
+
+QUERIES = {f.__name__: f for f in (ledger_by_session, ledger_first_wins, price_prefix_join, cost_rollup_4dp, usage_by_project, usage_top_tools, usage_skills, context_sources, shares_grouping_sets, batch_and_steps, segments, reread_events, fullread_no_later_edit, waste_next_call, waste_carry, deny_repeat, gap_open_close, context_levels, start_cost_layers, monthly_rollup, handoff_asof, handoff_chain, failure_streak, decisions_by_hook, uniq_collapse, verdict_merge, pending_question, prose_lines, stream_threshold_notice, breaker_window, stream_failure_streak, failure_attempts, stream_failure_attempts, stream_commit_gate, stream_context_notes)}
 
 EVENTS = "ev as (select *, json_extract_string(props, '$.k')::integer as target from events)"
 W = "(partition by user_id order by ts, event_id)"
@@ -245,6 +285,11 @@ TURNS = "tn as (select *, floor(length(text) / 4.0::double + 0.5)::bigint as tok
 CHILDREN = """x as (select user_id as parent, epoch_us(ts) as t from events where event_type = 'error' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1),
 s as (select user_id as child, epoch_us(ts) as u from events where event_type = 'signup'),
 ne as (select parent, child from x join s on parent % 3 = child % 3 and parent <> child and abs(t - u) <= 21600000000 qualify row_number() over (partition by parent order by abs(t - u), u, child) = 1)"""
+ATTEMPTS = f"""
+with k as (select *, event_id % 3 as command, {KIND} as kind from events), e as (select *, sum((kind = 'edit')::integer) over (partition by user_id order by ts, event_id) as edits from k),
+r as (select *, sum((kind = 'pass')::integer) over (partition by user_id, command order by ts, event_id) as run from e where kind in ('pass', 'fail')),
+f as (select *, dense_rank() over (partition by user_id, command, run order by edits) as failures, row_number() over (partition by user_id, command, run, edits order by ts, event_id) as nth from r where kind = 'fail')
+select user_id::varchar as key, ts as at, command::varchar as command, failures::integer as failures from f where failures >= 3 and nth = 1 and value > 20 qualify row_number() over (partition by user_id order by ts, event_id) = 1"""
 
 SQL = {
     "ledger_by_session": f"with {MINUTES} select user_id, count(*) as messages, round(sum(value), 4) as cost, min(ts) as started, max(ts) as ended from mm where l = 1 group by 1",
@@ -304,6 +349,12 @@ select user_id, max(streak)::integer as longest, count(*) filter (streak = 3) as
 with m as (select *, event_type in ('error', 'view') as bad, sum((event_type not in ('error', 'view'))::integer) over {PAST} as run from events),
 s as (select *, row_number() over (partition by user_id, run order by ts, event_id) as streak from m where bad)
 select user_id::varchar as key, ts as at, 3::integer as failures from s where streak = 3 qualify row_number() over (partition by user_id order by ts, event_id) = 1""",
+    "failure_attempts": ATTEMPTS,
+    "stream_failure_attempts": ATTEMPTS,
+    "stream_commit_gate": """
+with m as (select *, max(ts) filter (event_type = 'click') over w as c, max(ts) filter (event_type = 'view') over w as v, max(ts) filter (event_type = 'purchase') over w as p from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)),
+l as (select user_id, ts, case when ts - c <= interval 90 minute then c end as c, case when ts - v <= interval 90 minute then v end as v, case when ts - p <= interval 90 minute then p end as p from m where event_type = 'signup')
+select user_id::varchar as key, ts as at, c is not null and v is not null and v > greatest(c, p) as allowed, case when c is null then 'click' when v is null or v <= greatest(c, p) then 'view' end as missing from l""",
     "decisions_by_hook": f"with {EVENTS} select target, event_type, count(*) as n, max(value) as most from ev group by 1, 2",
     "uniq_collapse": f"select event_id from events qualify lag(event_type) over {W} is null or lag(event_type) over {W} <> event_type",
     "verdict_merge": f"""

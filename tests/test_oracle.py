@@ -15,7 +15,7 @@ SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 #: Queries that SQL does not express: where their functions are tested on literals or against a brute force.
 ELSEWHERE = {
     "chunk_documents": "test_chunker", "pending_question": "test_questions", "prose_lines": "test_questions", "secret_values": "test_literals", "literals": "test_literals", "literal_groups": "test_literals",
-    "stream_threshold_notice": "test_streams", "breaker_window": "test_streams",
+    "stream_threshold_notice": "test_streams", "breaker_window": "test_streams", "stream_context_notes": "test_sessions",
 }
 
 

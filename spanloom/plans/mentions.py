@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import containment
 from spanloom.plans.tables import table
+from spanloom.shared import shared_path
+from spanloom.sources import files
 
 PATH = r"^https?://[^/]+/([^?#]*)"
 
@@ -39,7 +41,17 @@ def path_mentions(spark, d):
     return found.groupBy("item_id").agg(F.count("*").alias("n_paths"), F.min("path").alias("first_path"))
 
 
-QUERIES = {f.__name__: f for f in (literal_containment, note_items, path_mentions)}
+def files_scan(spark, d):
+    """Documents written as text files by language and source, listed, opened and summed by folder."""
+    path = shared_path(spark, "texts")
+    own = table(spark, d, "documents").where("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), "text")
+    own.write.partitionBy("lang", "source").text(path)
+    read = files.scan(spark, path, most=1 << 31)
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return read.groupBy(folder.alias("folder")).agg(F.sum("size").alias("bytes"), F.sum(F.length("text")).alias("chars"), F.count_if("binary").alias("binaries"))
+
+
+QUERIES = {f.__name__: f for f in (literal_containment, note_items, path_mentions, files_scan)}
 
 NOTES = r"""p as (select page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) as path from pages), q as (select *, regexp_extract(path, '^([^/]*)/', 1) as dir, regexp_extract(path, '([^/]*)/?$', 1) as last from p),
 i as (
@@ -52,6 +64,7 @@ SQL = {
     "literal_containment": r"""
 with w as (select distinct literal from (select unnest(string_split_regex(text, '\s+')) as literal from benchmark) where literal <> '')
 select literal, count(*) as n_docs, min(doc_id) as first_doc from w join documents on contains(text, literal) group by 1""",
+    "files_scan": "select 'lang=' || coalesce(lang, 'und') || '/source=' || coalesce(source, 'none') as folder, sum(strlen(text) + 1)::bigint as bytes, sum(length(text) + 1)::bigint as chars, 0::bigint as binaries from documents where text is not null group by 1",
     "note_items": f"with {NOTES} select page_id, item, heading, sha256(body) as body from i",
     "path_mentions": rf"""
 with {NOTES}, paths as (select distinct path from p where path <> ''), dirs as (select path, array_to_string(ps[1:n], '/') as dir from (select path, string_split(path, '/') as ps from paths), range(1, 20) as r(n) where n < len(ps)),

@@ -2,35 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import trim_text
 from spanloom.operators.filters import in_skipped_folder, is_text_by_content, is_text_by_name
+from spanloom.operators.index import snapshot_diff
+
+
+def below(path: Column, root: str) -> Column:
+    """The part of a file's path below ``root``."""
+    plain = "/" + root.split("://")[-1].removeprefix("file:").strip("/") + "/"
+    return F.substring(path, F.locate(plain, path) + len(plain), F.length(path))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """path (below ``root``), size and mtime; contents are not read."""
+def listing(spark: SparkSession, root: str, listed: DataFrame | None = None) -> DataFrame:
+    """path (below ``root``), size, mtime and file (the whole path); no file is opened.
+
+    ``listed``: rows with a path, as version control lists them; only these count then. Without
+    it, folders whose names begin with a dot are left out.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
-    return read.select(below.alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+    every = read.select(below(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), F.col("path").alias("file"))
+    return every.where(~F.col("path").rlike(r"(^|/)\.[^/]*/")) if listed is None else every.join(listed.select("path").distinct(), "path", "left_semi")
 
 
 def candidates(files: DataFrame) -> DataFrame:
     return files.where(is_text_by_name(F.col("path")) & ~in_skipped_folder(F.col("path")))
 
 
-def scan(spark: SparkSession, root: str, known: DataFrame | None = None, most: int = 1_000_000) -> DataFrame:
-    """path, size, mtime, hash, binary, blank and text of text files by name; files that ``known`` has with equal size and mtime are not read."""
-    listed = candidates(listing(spark, root)).where(F.col("size") <= most)
-    if known is not None:
-        listed = listed.join(known.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most)
-    below = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
-    content = read.select(below.alias("path"), "content")
-    text = F.decode("content", "UTF-8")
-    joined = listed.join(content, "path")
-    return joined.select("path", "size", "mtime", F.sha2("content", 256).alias("hash"), (~is_text_by_content(F.col("content"))).alias("binary"), (F.trim(text) == "").alias("blank"), text.alias("text"))
+def due(files: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Files that ``known`` does not have with the same size and mtime."""
+    return files if known is None else files.join(known.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
+
+
+def contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """path, size, mtime, hash, binary, blank and text of ``files``, rows of a listing; no other file is opened.
+
+    The driver, which holds the list of all files of a folder when Spark reads one, holds the
+    names of these. Files that are gone by now are left out; bytes that are no UTF-8 are read as Latin-1.
+    """
+    names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.file) for r in files.select("file").distinct().collect()]
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(names) if names else spark.createDataFrame([], schema)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    lossy = F.coalesce(text, F.decode("content", "ISO-8859-1"))
+    return read.select(
+        below(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"),
+        (~is_text_by_content(F.col("content"))).alias("binary"), (~lossy.rlike(r"\S")).alias("blank"), lossy.alias("text"),
+    )
+
+
+def scan(spark: SparkSession, root: str, known: DataFrame | None = None, most: int = 1_000_000, listed: DataFrame | None = None) -> DataFrame:
+    """The contents of text files by name, at most ``most`` bytes, that ``known`` (path, size, mtime) does not have as they are."""
+    return contents(spark, due(candidates(listing(spark, root, listed)).where(F.col("size") <= most), known), root)
+
+
+def sync(spark: SparkSession, root: str, known: DataFrame, most: int = 1_000_000, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The status of each file of either side, against ``known`` (path, size, mtime, hash), and the contents that were read for it."""
+    files = candidates(listing(spark, root, listed)).where(F.col("size") <= most)
+    read = contents(spark, due(files, known), root)
+    now = files.select("path", "size", "mtime").join(read.select("path", "hash", "binary", "blank"), "path", "left")
+    same = known.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
+    current = now.join(same, "path", "left").withColumn("_same", F.coalesce((F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")), F.lit(False)))
+    current = current.select("path", "size", "mtime", F.when(F.col("_same"), F.col("_hash")).otherwise(F.col("hash")).alias("hash"), (F.col("_same") | F.col("hash").isNotNull()).alias("readable"), F.coalesce("binary", F.lit(False)).alias("binary"), F.coalesce("blank", F.lit(False)).alias("blank"))
+    return snapshot_diff(current, known), read
 
 
 def error_entries(spark: SparkSession, path: str, keep: int = 25, width: int = 200) -> DataFrame:

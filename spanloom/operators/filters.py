@@ -61,10 +61,10 @@ def is_text_by_name(path: Column) -> Column:
     return ~(named | is_secret_name(path) | last.isin(SKIP_EXTENSIONS) | two.isin(SKIP_EXTENSIONS))
 
 
-def in_skipped_folder(path: Column) -> Column:
-    """A folder on the way is skipped by name or begins with a point."""
+def in_skipped_folder(path: Column, hidden: bool = True) -> Column:
+    """A folder on the way is skipped by name, or with ``hidden`` begins with a point."""
     folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
-    return F.exists(folders, lambda x: x.isin(SKIP_FOLDERS) | x.rlike(r"^\.[^.]"))
+    return F.exists(folders, lambda x: x.isin(SKIP_FOLDERS) | (F.lit(hidden) & x.rlike(r"^\.[^.]")))
 
 
 def is_text_by_content(content: Column, most: int = 1_000_000, probe: int = 8192) -> Column:

@@ -46,9 +46,10 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def slim(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Spark hand rows with whole texts to Python by the thousand: JVM and worker each hold a batch as a whole, and at 10,000 rows that is tens of megabytes."""
+def slim(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Has Spark hand rows with whole texts or sets to Python by the thousand and by 4 MB: JVM and worker each hold a batch as a whole, and at 64 MB, Spark's own bound, a worker with both sides of a join takes hundreds of megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def light(df: DataFrame, most: int = 1 << 20) -> DataFrame:

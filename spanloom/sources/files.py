@@ -21,17 +21,16 @@ def below(path: Column, root: str) -> Column:
 def listing(spark: SparkSession, root: str, listed: DataFrame | None = None) -> DataFrame:
     """path (below ``root``), size, mtime and file (the whole path); no file is opened.
 
-    ``listed``: rows with a path, as version control lists them; only these count then. Without
-    it, folders whose names begin with a dot are left out.
+    ``listed``: rows with a path, as version control lists them; only these count then. Files and
+    folders whose names begin with a dot or an underscore are left out, as Spark lists none.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     every = read.select(below(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), F.col("path").alias("file"))
-    return every.where(~F.col("path").rlike(r"(^|/)\.[^/]*/")) if listed is None else every.join(listed.select("path").distinct(), "path", "left_semi")
+    return every if listed is None else every.join(listed.select("path").distinct(), "path", "left_semi")
 
 
-def candidates(files: DataFrame, hidden: bool = True) -> DataFrame:
-    """Text files by name, outside of skipped folders; ``hidden``: folders that begin with a dot are skipped too."""
-    return files.where(is_text_by_name(F.col("path")) & ~in_skipped_folder(F.col("path"), hidden))
+def candidates(files: DataFrame) -> DataFrame:
+    return files.where(is_text_by_name(F.col("path")) & ~in_skipped_folder(F.col("path")))
 
 
 def due(files: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -58,12 +57,12 @@ def contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, known: DataFrame | None = None, most: int = 1_000_000, listed: DataFrame | None = None) -> DataFrame:
     """The contents of text files by name, at most ``most`` bytes, that ``known`` (path, size, mtime) does not have as they are."""
-    return contents(spark, due(candidates(listing(spark, root, listed), listed is None).where(F.col("size") <= most), known), root)
+    return contents(spark, due(candidates(listing(spark, root, listed)).where(F.col("size") <= most), known), root)
 
 
 def sync(spark: SparkSession, root: str, known: DataFrame, most: int = 1_000_000, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The status of each file of either side, against ``known`` (path, size, mtime, hash), and the contents that were read for it."""
-    files = candidates(listing(spark, root, listed), listed is None).where(F.col("size") <= most)
+    files = candidates(listing(spark, root, listed)).where(F.col("size") <= most)
     read = contents(spark, due(files, known), root)
     now = files.select("path", "size", "mtime").join(read.select("path", "hash", "binary", "blank"), "path", "left")
     same = known.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))

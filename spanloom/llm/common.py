@@ -40,6 +40,15 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``keep`` wrote, once nothing that is still to be computed reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def let_go(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that are no longer held: it does so when the driver's JVM collects them, which a small driver rarely does by itself."""
     gc.collect()

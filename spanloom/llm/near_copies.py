@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import give_back, hash_share, keep, let_go, light, small_batches, text_of
+from spanloom.llm.common import forget, give_back, hash_share, keep, let_go, light, small_batches, text_of
 from spanloom.llm.components import connected_components
 from spanloom.llm.simhash import anchor_links, crowd_links
 
@@ -167,7 +167,6 @@ def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
             near = [alike(np.frombuffer(x[k].as_py(), "<u8"), np.frombuffer(y[k].as_py(), "<u8")) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-
     def may(batches):  # long texts fill the short sketches
         for batch in batches:
             able = []
@@ -177,16 +176,19 @@ def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(able, pa.bool_()))
 
     def of_pairs(pairs: DataFrame, *columns: str) -> DataFrame:
-        needed = light(keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed"))
-        return own.select("key", *columns).join(needed, "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in columns))
+        made.append(keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed"))
+        return own.select("key", *columns).join(light(made[-1]), "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in columns))
 
-    pairs = keep(pairs, "pairs")
+    made = [keep(pairs, "pairs")]  # what nothing reads once the links are written
+    pairs = made[0]
     wide = of_pairs(pairs, "wide", "size")
     both = pairs.join(wide.toDF("a", "x", "n"), "a").join(wide.toDF("b", "y", "m"), "b")
     pairs = keep(both.select("a", "b", "x", "y", "n", "m").mapInArrow(may, "a long, b long"), "able")
     sets = keep(of_pairs(pairs, "sig"), "sets")
+    let_go(own.sparkSession)
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     near = keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
+    forget(*made, pairs, sets)
     let_go(own.sparkSession)
     return near
 
@@ -256,7 +258,9 @@ def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFram
     near = near.union(verify(with_pivots(labelled(shared, near), classes), own))
     # 3: the rest
     near = near.union(verify(across(labelled(shared, near), classes, block), own))
-    return connected_components(near.toDF("u", "v")).toDF("key", "component")
+    found = connected_components(near.toDF("u", "v")).toDF("key", "component")
+    forget(classes, shared)
+    return found
 
 
 def representatives(docs: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFrame:
@@ -267,6 +271,7 @@ def representatives(docs: DataFrame, block: int = 1024, crowd: int = 2000) -> Da
     winners = each.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("w"))
     texts = each.groupBy("doc_id", "tag").agg(F.first("component").alias("component"), F.count("*").alias("n"))
     texts = keep(texts.join(winners, "component").select("doc_id", "tag", "n", (F.struct("doc_id", "tag") == F.col("w")).alias("stays")), "texts")
+    forget(own, each)
     tagged = docs.withColumns({"_tag": tag_of(), "_id": F.col("doc_id").cast("long")})
 
     def having(kind: str, where: str) -> DataFrame:

@@ -19,7 +19,8 @@ vector are one class and count by their number.
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and keep a row with no links, their own component. So do rows without an id, with a
 null component. Vectors of unequal length compare as if filled up with zeros. Rows that
-repeat an id are vectors of their own. Other columns are not read.
+repeat an id are vectors of their own: links and components are those of the vector, so that
+two rows of one id may differ in both. Doubles stay doubles. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import keep
 from spanloom.llm.components import connected_components, forest
-from spanloom.llm.vectors import content, usable, width_of
+from spanloom.llm.vectors import content, numbers, raw_type, usable, width_of
 
 SEED = 20240
+#: Into how many parts the vectors of a component are dealt for the join with its smallest id.
+SALTS = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -108,10 +111,10 @@ def counted(here: int, table: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ~before & (also == here)
 
 
-def links(frame: pd.DataFrame, least: float, tables: int, probes: int, width: int, parts: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links(frame: pd.DataFrame, least: float, tables: int, probes: int, width: int, kind: str = "<f4", parts: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links first met in this bucket: number of partners of each row (copies counted), and a spanning forest."""
     table, here = int(frame["tab"].iloc[0]), int(frame["bucket"].iloc[0])
-    x = np.frombuffer(b"".join(frame["vector"]), dtype="<f4").reshape(len(frame), width).astype(np.float64)
+    x = np.frombuffer(b"".join(frame["vector"]), dtype=kind).reshape(len(frame), width).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     codes = np.frombuffer(b"".join(frame["codes"]), dtype="<i8").reshape(len(frame), tables, probes)
     rep, size, own = frame["rep"].to_numpy(), frame["size"].to_numpy(), frame["own"].to_numpy()
@@ -145,20 +148,22 @@ def found(frame: pd.DataFrame, *rule, parts=None) -> pd.DataFrame:
 
 def near_vectors(rows: DataFrame, least: float = 0.9, miss: float = 0.0005, probes: int = 3, axes: int | None = None, block: int = 2048) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``rows`` (vec_id, embedding)."""
-    every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    every = rows.select(F.col("vec_id").cast("long").alias("vec_id"), numbers(rows))
     every = every.withColumn("key", F.when(F.col("vec_id").isNotNull() & usable(), content()))
     part_taking = every.where("key is not null")
-    classes = keep(part_taking.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding")), "classes")
+    one = part_taking.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("embedding").alias("embedding"))
+    classes = keep(one.withColumn("rep", F.monotonically_increasing_id()), "classes")  # a number of the vector: its id may be another's too
+    kind = raw_type(classes)
     width = 1 << max(0, width_of(classes) - 1).bit_length()
     axes = axes or max(1, round(math.log(max(classes.count(), 2)) / math.log(2 * width)))
     tables = tables_for(width, axes, probes, least, miss)
-    rule = (least, tables, probes, width)
+    rule = (least, tables, probes, width, kind)
 
     def deal(batches):
         for batch in batches:
             for k in range(0, len(batch), 2048):
                 some = batch.iloc[k : k + 2048]
-                raw = np.zeros((len(some), width), dtype="<f4")
+                raw = np.zeros((len(some), width), dtype=kind)
                 for r, v in enumerate(some["embedding"]):
                     raw[r, : len(v)] = v
                 unit = raw.astype(np.float64)
@@ -205,7 +210,11 @@ def near_vectors(rows: DataFrame, least: float = 0.9, miss: float = 0.0005, prob
     counts = result.groupBy("u").agg(F.sum("n").alias("n"))
     component = connected_components(result.where("v is not null").select("u", "v"))
     labelled = classes.join(counts, classes.rep == counts.u, "left").join(component, classes.rep == component.node, "left")
-    labelled = labelled.select("key", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("smallest"))
+    labelled = labelled.select("key", "least", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("label"), F.pmod("rep", F.lit(SALTS)).alias("salt"))
+    labelled = keep(labelled, "labelled")
+    lowest = labelled.groupBy("label").agg(F.min("least").alias("smallest"), F.count("*").alias("m")).where("m > 1")
+    lowest = lowest.select("label", "smallest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a component may hold a third of all
+    labelled = labelled.join(lowest, ["label", "salt"], "left").select("key", "links", F.coalesce("smallest", "least").alias("smallest"))
     joined = every.select("vec_id", "key").join(labelled, "key", "left")
     joined = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))
     return joined.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

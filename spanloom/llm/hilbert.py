@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import keep
-from spanloom.llm.vectors import content, matrix, usable_rows, width_of
+from spanloom.llm.vectors import content, matrix, raw_type, usable_rows, width_of
 
 SEED = 77
 NEAREST = "query_id long, vec_id long, score double"
@@ -142,6 +142,7 @@ def brute_force(queries: pd.DataFrame, rows: DataFrame, width: int, k: int) -> D
 def ranked(candidates: DataFrame, width: int, curves: int, dims: int, bits: int) -> DataFrame:
     """curve, rank, vec_id, asks and vector of each candidate on each curve; ranks run on over the curves."""
     spark = candidates.sparkSession
+    kind = raw_type(candidates)
     radius = candidates.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v))).first()[0]
     radius = math.sqrt(radius or 1.0) * (1 + 1e-9)
 
@@ -150,7 +151,7 @@ def ranked(candidates: DataFrame, width: int, curves: int, dims: int, bits: int)
             for b in range(0, len(batch), 4096):
                 some = batch.iloc[b : b + 4096]
                 x = matrix(some["embedding"], width)
-                vector = [v.tobytes() for v in x.astype("<f4")]
+                vector = [v.tobytes() for v in x.astype(kind)]
                 for c, key in enumerate(curve_keys(x, radius, curves, dims, bits)):
                     yield pd.DataFrame({"curve": c, "key": key, "vec_id": some["vec_id"].to_numpy(), "asks": some["asks"].to_numpy(), "vector": vector})
 
@@ -217,7 +218,7 @@ def search(rows: DataFrame, k: int = 20, every: int = 20, curves: int = 12, dims
 
 def near_units(candidates: DataFrame, k: int, curves: int, dims: int, bits: int, block: int, recall: float, sample: int) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest other units found of each unit that asks."""
-    width = width_of(candidates)
+    width, kind = width_of(candidates), raw_type(candidates)
     order = ranked(candidates, width, curves, dims, bits)
     half = fit_window(order, candidates, width, k, recall, sample, block // 2)
     ends = order.groupBy("curve").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
@@ -228,7 +229,7 @@ def near_units(candidates: DataFrame, k: int, curves: int, dims: int, bits: int,
     asking = asking.select(F.col("curve").alias("on"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.explode(F.sequence(low, high)).alias("into"))
 
     def vectors(column):
-        return np.frombuffer(b"".join(column), dtype="<f4").reshape(len(column), width).astype(np.float64)
+        return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), width).astype(np.float64)
 
     def meet(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         if there.empty or here.empty:

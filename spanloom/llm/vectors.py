@@ -7,6 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def numbers(rows: DataFrame, column: str = "embedding"):
+    """The column as an array of floats, or of doubles where its elements are not single-precision already."""
+    single = rows.schema[column].dataType.simpleString() in ("array<float>", "void")
+    return F.col(column).cast("array<float>" if single else "array<double>").alias(column)
+
+
+def raw_type(rows: DataFrame, column: str = "embedding") -> str:
+    """The numpy type of the column's components."""
+    return "<f8" if rows.schema[column].dataType.simpleString() == "array<double>" else "<f4"
+
+
 def usable(column: str = "embedding"):
     """Not null, not empty, all components finite, not all zero."""
     bad = F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -15,7 +26,7 @@ def usable(column: str = "embedding"):
 
 def usable_rows(rows: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """id and embedding of the rows that take part; others, and rows without an id, are left out."""
-    own = rows.select(F.col(id_column).cast("long").alias(id_column), F.col(column).cast("array<float>").alias(column))
+    own = rows.select(F.col(id_column).cast("long").alias(id_column), numbers(rows, column))
     return own.where(F.col(id_column).isNotNull() & usable(column))
 
 

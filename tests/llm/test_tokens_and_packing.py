@@ -55,6 +55,19 @@ def test_orc_round_trip(spark, hard_docs, no_docs, library):
     assert token_orc.lookup(spark, path, [5]).count() == 0
 
 
+def test_starts_of_repeated_ids(spark, library):
+    texts = ["one two three", "x", "many more words than that", "", "one two three"]
+    docs = spark.createDataFrame([(i // 5, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    path = shared_folder(spark, "t")
+    token_orc.write_tokens(docs, path, PATH, 2)
+    tokens = token_orc.read_tokens(spark, path)
+    rows = token_orc.positions(token_orc.digests(tokens), tokens).collect()
+    corpus = [x for r in sorted(tokens.collect(), key=lambda r: (r.part, r.before)) for x in r.ids]
+    assert len(rows) == 15 and all(crc(corpus[r.start : r.start + r.n_tokens]) == r.ids_crc32 for r in rows)
+    assert sorted(r.start for r in rows) == [0, *np.cumsum([r.n_tokens for r in sorted(rows, key=lambda r: r.start)])[:-1]]
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == sorted(r.doc_id for r in rows)
+
+
 def test_lookup_and_pushdown(spark, hard_docs, library):
     path = shared_folder(spark, "t")
     token_orc.write_tokens(hard_docs, path, PATH, 2)

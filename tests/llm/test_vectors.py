@@ -47,6 +47,24 @@ def test_link_query(spark):
     assert sorted(tuple(r) for r in queries.op1_near_vectors(spark, SF).collect()) == brute_links(rows)
 
 
+@pytest.mark.parametrize("block", [2048, 2])
+def test_ids_of_several_vectors(spark, block):
+    x, y = [1.0, 0.0, 0.0, 0.01], [0.0, 1.0, 0.01, 0.0]
+    rows = [(1, x), (1, y), (2, [1.0, 0.0, 0.05, 0.0]), (3, [0.05, 1.0, 0.0, 0.0]), (4, y), (0, [0.0, 0.0, 0.0, 1.0])]
+    got = sorted(tuple(r) for r in cross_polytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block).collect())
+    assert got == [(0, 0, 0, True), (1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False)]
+
+
+def test_doubles(spark):
+    """Near 0.9, below what single precision tells apart."""
+    angle = np.arccos(0.9)
+    rows = [(0, [1.0, 0.0]), (1, [float(np.cos(angle - 1e-10)), float(np.sin(angle - 1e-10))]), (2, [float(np.cos(angle + 1e-10)), float(-np.sin(angle + 1e-10))])]
+    got = sorted(tuple(r) for r in cross_polytope.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True)]
+    best = hilbert.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=1).collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in best] == [(0, 1, rows[1][1][0])]
+
+
 def test_null_id(spark):
     frame = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert {tuple(r) for r in cross_polytope.near_vectors(frame).collect()} == {(None, 0, None, True), (1, 0, 1, True)}

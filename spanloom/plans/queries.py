@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import mentions, reports, retrieval, sessions, transcripts, waste
+from spanloom.plans import mentions, prompts, reports, retrieval, sessions, transcripts, waste
 
-QUERIES = retrieval.QUERIES | sessions.QUERIES | reports.QUERIES | transcripts.QUERIES | waste.QUERIES | mentions.QUERIES
-SQL = retrieval.SQL | sessions.SQL | reports.SQL | transcripts.SQL | waste.SQL | mentions.SQL
+QUERIES = retrieval.QUERIES | sessions.QUERIES | reports.QUERIES | transcripts.QUERIES | waste.QUERIES | mentions.QUERIES | prompts.QUERIES
+SQL = retrieval.SQL | sessions.SQL | reports.SQL | transcripts.SQL | waste.SQL | mentions.SQL | prompts.SQL

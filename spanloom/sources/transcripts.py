@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import trim_space
+
 USAGE = (
     "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,"
     "cache_creation:struct<ephemeral_5m_input_tokens:bigint,ephemeral_1h_input_tokens:bigint>>"
@@ -75,3 +77,30 @@ def content_chars(content: Column) -> Column:
 def upsert(ledger: DataFrame, rows: DataFrame, key: str = "session") -> DataFrame:
     """The ledger with ``rows`` in place of those of the same key."""
     return ledger.where(F.col(key).isNotNull()).join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
+def prompts(lines: DataFrame) -> DataFrame:
+    """session, pos, text, human and typed of each record of the user's side that is no marginal note.
+
+    ``text``: a text itself, or the text blocks of an array, one to a line. ``human``: the record names a
+    human as its origin. ``typed``: all blocks are texts, and they are neither empty, nor an
+    interruption, nor an insertion that begins with ``<``.
+    """
+    parsed = lines.withColumn("v", F.try_parse_json("line")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    get = lambda p, t: F.try_variant_get("v", f"$.{p}", t)
+    own = parsed.where((get("type", "string") == "user") & ~F.coalesce(get("isMeta", "boolean"), F.lit(False)))
+    own = own.withColumns({"content": get("message.content", "variant"), "human": F.coalesce(get("origin.kind", "string") == "human", F.lit(False))})
+    plain = F.schema_of_variant("content") == "STRING"
+    parts = F.when(F.schema_of_variant("content").startswith("ARRAY"), F.try_variant_get("content", "$", "array<variant>"))
+    of = lambda b, name: F.coalesce(F.try_variant_get(b, f"$.{name}", "string"), F.lit(""))
+    texts = F.transform(F.filter(parts, lambda b: of(b, "type") == "text"), lambda b: of(b, "text"))
+    said = F.when(plain, F.try_variant_get("content", "$", "string"))
+    whole = trim_space(F.coalesce(said, F.when(F.forall(parts, lambda b: of(b, "type") == "text"), F.array_join(texts, "")), F.lit("")))
+    typed = (whole != "") & ~whole.startswith("[Request interrupted") & ~whole.startswith("<")
+    return own.select("session", "pos", F.coalesce(said, F.array_join(texts, "\n"), F.lit("")).alias("text"), "human", typed.alias("typed"))
+
+
+def last_prompts(lines: DataFrame) -> DataFrame:
+    """session and text of each session's last prompt of a human; the empty text without one."""
+    told = prompts(lines).where("human").groupBy("session").agg(F.max(F.struct("pos", "text"))["text"].alias("text"))
+    return lines.select("session").distinct().join(told, "session", "left").select("session", F.coalesce("text", F.lit("")).alias("text"))

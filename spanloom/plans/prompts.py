@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.grants import Vocabulary, grants
-from spanloom.operators import linkmine
+from spanloom.operators import linkmine, settings
 from spanloom.plans.tables import table
 from spanloom.sources import transcripts
 
@@ -60,7 +61,20 @@ def linked_sides(spark, d):
     return linkmine.literal_sides(linkmine.linked_lines(page_lines(spark, d), kinds=TAGS, decoration=ITEMS))
 
 
-QUERIES = {f.__name__: f for f in (prompt_grants, typed_prompts, linked_lines, linked_sides)}
+def order_settings(spark, d, before: bool):
+    """Nested settings from each order, or from the customer's order before."""
+    own = table(spark, d, "orders").withColumn("year", F.year("o_orderdate")).select("o_orderkey", *(F.lag(c).over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias(c) if before else c for c in ("o_orderstatus", "year", "o_orderpriority")))
+    still = F.struct(F.struct(F.col("o_orderstatus").alias("status"), F.col("year").alias("model")).alias("still"))
+    made = F.struct(F.col("year").alias("model"), F.struct(F.col("year").alias("YEAR")).alias("env"), F.struct(still.alias("er")).alias("deep"), F.array_compact(F.array("o_orderpriority", "o_orderstatus")).alias("tags"))
+    return settings.settings_items(own.select("o_orderkey", F.to_json(made).alias("text")), "o_orderkey", "text")
+
+
+def settings_lost(spark, d):
+    """What the settings of an order hold and those of the customer's order before do not."""
+    return settings.settings_difference(order_settings(spark, d, False), order_settings(spark, d, True), "o_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (prompt_grants, typed_prompts, linked_lines, linked_sides, settings_lost)}
 
 USER = "us as (select conv_id as session, turn, text, length(text) as n from conversations where role = 'user' and length(text) % 5 <> 0)"
 LINES = r"""raw as (select page_id::varchar as path, unnest(ls) as x, generate_subscripts(ls, 1) as line from (select page_id, string_split(replace(html, '<', chr(10) || '<'), chr(10)) as ls from pages)),
@@ -91,6 +105,12 @@ gr as (
   union select session, k from ph where not list_has_any(list_slice(ahead, greatest(len(ahead) - 2, 1), len(ahead)), ['of', 'is', 'et'])),
 al as (select * from gr union select session, 'push' from gr where g = 'mr' union select session, 'revert' from gr where g = 'delete')
 select o.session, sha256(o.text) as prompt, coalesce(x.grants, '') as grants from ow o left join (select session, string_agg(g, ' ' order by g) as grants from al group by 1) x using (session)""",
+    "settings_lost": """
+with o as (select o_orderkey, o_orderstatus as s, year(o_orderdate) as c, o_orderpriority as p, lag(o_orderstatus) over w as ls, lag(year(o_orderdate)) over w as lc, lag(o_orderpriority) over w as lp from orders window w as (partition by o_custkey order by o_orderkey)),
+d as (
+  select o_orderkey, v.path, case when v.was is null then 'missing' else 'different' end as state, null::varchar as value from o, lateral (values ('env.YEAR', c::varchar, lc::varchar), ('deep.er.still.status', s, ls), ('deep.er.still.model', c::varchar, lc::varchar)) as v(path, is_, was) where v.is_ is distinct from v.was
+  union select o_orderkey, 'tags', 'missing', v.tag from o, lateral (values (p), (s)) as v(tag) where not coalesce(v.tag in (ls, lp), false))
+select * from d""",
     "linked_lines": f"with {LINES} select path, line::int as line, kind, sha256(code) as code, symbol, literal from ll",
     "linked_sides": f"with {LINES} select kind, literal, count(*) as sides, arg_min(path || ':' || line, (path, line)) as first from ll where literal <> '' group by 1, 2",
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import tempfile
 import uuid
 
@@ -32,11 +31,30 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends, not when the driver's JVM happens to collect its plan.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the time of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def keep(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: it cuts lineage and outlives executors."""
+    """``df`` written to the shared folder and read again: it cuts lineage and outlives executors. The shuffle files that the write needed go at its end."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    with setting(spark, FILES_GO, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,12 +67,6 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are no longer held: it does so when the driver's JVM collects them, which a small driver rarely does by itself."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def slim(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Has Spark hand rows with whole texts or sets to Python by the thousand and by 4 MB: JVM and worker each hold a batch as a whole, and at 64 MB, Spark's own bound, a worker with both sides of a join takes hundreds of megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import keep
+from spanloom.llm.common import forget, keep
 
 EDGES = "u long, v long"
 
@@ -60,7 +60,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round links every larger neighbour of a node to the node's smallest neighbour, then
     every node to its smallest smaller neighbour. The table of edges never grows, and the
-    rounds end when it no longer changes. Each round is written to the shared folder.
+    rounds end when it no longer changes. Each round is written to the shared folder, and
+    the one before it deleted.
     Null ends and loops are left out; repeated edges count once; no edges give no rows.
     """
     now = keep(contract(edges), "edges")
@@ -71,7 +72,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = keep(small.select("e.*").where("u != v").distinct(), "edges")
+        former, now = now, keep(small.select("e.*").where("u != v").distinct(), "edges")
+        forget(former)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -18,7 +18,8 @@ with equal shingle sets are one class before anything is dealt out.
 
 No pair leaves the joins of 2 and 3 unless two bounds allow it: the places of the token in the
 two orders, and the symmetric difference that sketches of 512 parity bits prove. Pairs that
-are left are verified on the sets. What remains quadratic is a crowd of texts near the
+are left are verified on the sets. No set is stored beyond that: a text is shingled again where
+its set is needed, since sets take 8 bytes for each word of the corpus. What remains quadratic is a crowd of texts near the
 threshold that are alike to none: each is tried by sketch with the others of its tokens.
 
 Cases: a null text is the empty text; texts without words have the empty set and are copies of
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import forget, give_back, hash_share, keep, let_go, light, small_batches, text_of
+from spanloom.llm.common import forget, hash_share, keep, light, small_batches, text_of
 from spanloom.llm.components import connected_components
 from spanloom.llm.simhash import anchor_links, crowd_links
 
@@ -80,40 +81,58 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return parities(sig, 9).view("<i8")
 
 
-SIGNATURES = "doc_id long, tag long, key long, fp long, size int, sketch array<long>, wide binary, sig binary"
+SIGNATURES = "doc_id long, tag long, key long, fp long, size int, sketch array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (of the text), key (of the shingle set), fp, size, sketch, wide (a sketch of 8192 bits, of sets of more than ``SHORT``) and sig, the set's hashes."""
+def texts_of(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and text of the rows that take part."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of().alias("tag"), text_of().alias("text")).where("doc_id is not null")
+
+
+def key_of(sig: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(sig.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """doc_id, tag (of the text), key (of the shingle set), fp, size and sketch of each text."""
 
     def run(batches):
         names = [x.split()[0] for x in SIGNATURES.split(", ")]
         for batch in small_batches(batches, 4 << 20):
             sets = [shingles(t) for t in batch.column("text").to_pylist()]
-            sigs = [s.astype("<u8").tobytes() for s in sets]
-            keys = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in sigs]
             sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([sketch(s) for s in sets])), LONGS).cast(pa.list_(pa.int64()))
-            columns = [pa.array(keys, pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), sketches, pa.array([parities(s, 13).tobytes() if len(s) > SHORT else b"" for s in sets], pa.binary()), pa.array(sigs, pa.binary())]
+            columns = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([majority(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), sketches]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *columns], names)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of().alias("tag"), text_of().alias("text")).where("doc_id is not null")
-    return own.mapInArrow(run, SIGNATURES)
+    return texts.mapInArrow(run, SIGNATURES)
+
+
+def set_rows(texts: DataFrame, kind: str) -> DataFrame:
+    """key and n, the size, with x: the set's hashes (kind ``sig``), or a sketch of 8192 bits of sets of more than ``SHORT`` (kind ``wide``). ``texts``: key and text."""
+
+    def run(batches):
+        for batch in small_batches(batches, 4 << 20):
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            made = [s.astype("<u8").tobytes() if kind == "sig" else parities(s, 13).tobytes() if len(s) > SHORT else b"" for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(s) for s in sets], pa.int32()), pa.array(made, pa.binary())], ["key", "n", "x"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, n int, x binary")
 
 
 def tag_of() -> Column:
     return F.xxhash64(text_of())
 
 
-def common_tokens(own: DataFrame, texts: int = 4000, least: int = 4, most: int = 1 << 17) -> np.ndarray:
-    """Tokens found in ``least`` or more texts of a sample, the most frequent last."""
+def common_tokens(texts: DataFrame, rows: int, some: int = 4000, least: int = 4, most: int = 1 << 17) -> np.ndarray:
+    """Tokens found in ``least`` or more texts of a sample of about ``some`` of ``rows``, the most frequent last."""
 
     def run(batches):
-        for batch in batches:
-            for sig in batch.column("sig"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(sig.as_py(), "<i8"))], ["token"])
+        for batch in small_batches(batches, 4 << 20):
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], ["token"])
 
-    some = own.where(hash_share("key", texts / max(1, own.count()))).select("sig").mapInArrow(run, "token long")
-    found = some.groupBy("token").count().where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).collect()
+    tokens = texts.where(hash_share("tag", some / max(1, rows))).select("text").mapInArrow(run, "token long")
+    found = tokens.groupBy("token").count().where(F.col("count") >= least).orderBy(F.desc("count"), "token").limit(most).collect()
     return np.array([r.token for r in reversed(found)], dtype=np.int64).view(U)
 
 
@@ -132,24 +151,23 @@ def first_tokens(sig: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.nd
     return first
 
 
-def postings(own: DataFrame) -> DataFrame:
-    """token, key, place: each class at its first tokens, with their places in its order."""
-    by_rank = common_tokens(own)
+def postings(texts: DataFrame, rows: int) -> DataFrame:
+    """token, key, place: each class at its first tokens, with their places in its order; a class once a batch at most."""
+    by_rank = common_tokens(texts, rows)
     order = np.argsort(by_rank)
-    shared = own.sparkSession.sparkContext.broadcast((by_rank[order], order))
+    shared = texts.sparkSession.sparkContext.broadcast((by_rank[order], order))
 
     def run(batches):
         common, rank = shared.value
-        for batch in batches:
-            for b in range(0, batch.num_rows, 512):
-                firsts = [first_tokens(np.frombuffer(s.as_buffer(), "<u8"), common, rank) for s in batch.column("sig").slice(b, 512)]
-                n = np.array([len(f) for f in firsts])
-                key = np.repeat(np.asarray(batch.column("key"))[b : b + 512], n)
-                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(key), pa.array(place.astype(np.int32))], ["token", "key", "place"])
-        give_back()
+        for batch in small_batches(batches, 4 << 20):
+            sets = {key_of(sig): sig for sig in map(shingles, batch.column("text").to_pylist())}
+            firsts = [first_tokens(sig, common, rank) for sig in sets.values()]
+            n = np.array([len(f) for f in firsts])
+            key = np.repeat(np.array(list(sets), dtype=np.int64), n)
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(key), pa.array(place.astype(np.int32))], ["token", "key", "place"])
 
-    return own.select("key", "sig").mapInArrow(run, "token long, key long, place int")
+    return texts.select("text").mapInArrow(run, "token long, key long, place int")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -158,8 +176,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * int((both[1:] == both[:-1]).sum()) >= 4 * len(both)
 
 
-def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) that are alike. ``own``: key and sig of each text; of those in no pair nothing is shuffled but what the join needs."""
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) that are alike. ``classes`` names a text for each key; only those of pairs are shingled."""
 
     def run(batches):
         for batch in batches:
@@ -175,21 +193,22 @@ def verify(pairs: DataFrame, own: DataFrame) -> DataFrame:
                 able.append(9 * int(apart) <= n + m)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(able, pa.bool_()))
 
-    def of_pairs(pairs: DataFrame, *columns: str) -> DataFrame:
-        made.append(keep(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "needed"))
-        return own.select("key", *columns).join(light(made[-1]), "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in columns))
+    def of_pairs(pairs: DataFrame, kind: str) -> DataFrame:
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        made.append(keep(classes.select("key", "text_of.*").join(keys, "key"), "needed"))
+        found = set_rows(texts.join(light(made[-1]), ["doc_id", "tag"]), kind)
+        made.append(keep(found.groupBy("key").agg(F.first("x").alias("x"), F.first("n").alias("n")), "sets"))
+        return made[-1]
 
     made = [keep(pairs, "pairs")]  # what nothing reads once the links are written
     pairs = made[0]
-    wide = of_pairs(pairs, "wide", "size")
+    wide = of_pairs(pairs, "wide")
     both = pairs.join(wide.toDF("a", "x", "n"), "a").join(wide.toDF("b", "y", "m"), "b")
     pairs = keep(both.select("a", "b", "x", "y", "n", "m").mapInArrow(may, "a long, b long"), "able")
-    sets = keep(of_pairs(pairs, "sig"), "sets")
-    let_go(own.sparkSession)
+    sets = of_pairs(pairs, "sig").select("key", "x")
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     near = keep(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "near")
-    forget(*made, pairs, sets)
-    let_go(own.sparkSession)
+    forget(*made, pairs)
     return near
 
 
@@ -239,9 +258,10 @@ def across(own: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     return pairs_of(x.join(y, ["token", "part"]).where((F.col("x.label") != F.col("y.label")) & once & may_be_alike("x", "y")))
 
 
-def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFrame:
-    """key and component of each class of ``own`` (rows of ``signatures``) that is not its component's own."""
-    classes = keep(own.groupBy("key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "classes")
+def components(own: DataFrame, texts: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFrame:
+    """key and component of each class of ``own`` (the ``signatures`` of ``texts``) that is not its component's own."""
+    one = [F.first(c).alias(c) for c in ("fp", "size", "sketch")]
+    classes = keep(own.groupBy("key").agg(*one, F.min(F.struct("doc_id", "tag")).alias("text_of")), "classes")
     # 1: fingerprints, of the classes that have any shingles
     alone = classes.where("size > 0")
     fps = alone.groupBy("fp").agg(F.min("key").alias("rep"))
@@ -249,15 +269,14 @@ def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFram
     crowded = found.where("v is null").select("fp", F.col("u").alias("rep")).distinct()
     pairs = found.where("v is not null").select("u", "v").union(crowd_links(crowded))
     pairs = pairs.union(alone.join(fps, "fp").where("key != rep").select("key", "rep")).toDF("a", "b")
-    near = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), own)
+    near = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, texts)
     # 2: shared first tokens; one shuffle serves both sides of the join
-    listed = postings(own).repartition("token")
+    listed = postings(texts, own.count()).repartition("token")
     tokens = listed.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
     shared = keep(listed.join(tokens, "token", "left_semi").distinct().join(classes.select("key", "size"), "key"), "shared")
-    let_go(own.sparkSession)
-    near = near.union(verify(with_pivots(labelled(shared, near), classes), own))
+    near = near.union(verify(with_pivots(labelled(shared, near), classes), classes, texts))
     # 3: the rest
-    near = near.union(verify(across(labelled(shared, near), classes, block), own))
+    near = near.union(verify(across(labelled(shared, near), classes, block), classes, texts))
     found = connected_components(near.toDF("u", "v")).toDF("key", "component")
     forget(classes, shared)
     return found
@@ -265,8 +284,9 @@ def components(own: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFram
 
 def representatives(docs: DataFrame, block: int = 1024, crowd: int = 2000) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each component the text with the smallest doc_id, once, and rows without a doc_id."""
-    own = keep(signatures(docs), "shingles")
-    each = own.join(components(own, block, crowd), "key", "left").select("doc_id", "tag", F.coalesce("component", "key").alias("component"))
+    given = texts_of(docs)
+    own = keep(signatures(given), "shingles")
+    each = own.join(components(own, given, block, crowd), "key", "left").select("doc_id", "tag", F.coalesce("component", "key").alias("component"))
     each = keep(each, "components")
     winners = each.groupBy("component").agg(F.min(F.struct("doc_id", "tag")).alias("w"))
     texts = each.groupBy("doc_id", "tag").agg(F.first("component").alias("component"), F.count("*").alias("n"))

@@ -80,6 +80,20 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_near_vectors, op2_token_orc, op3_lattice, op4_toxicity, op5_nearest, op6_packing, op7_warc, op8_simhash, op9_prefix_free, op10_attention, op11_runs, op12_collocations, op13_quality)}
 SQL: dict[str, str] = {
+    "op1_near_vectors": r"""
+with recursive v as materialized (select row_number() over () as r, vec_id, embedding::double[] as e from embeddings),
+finite as materialized (select r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v where len(list_filter(e, lambda x: isfinite(x))) = len(e)),
+sound as materialized (select * from finite where norm > 0),
+edges as materialized (select a.r as x, b.r as y, b.vec_id as y_id from sound a join sound b on a.r <> b.r and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach as (select r, vec_id as c from sound union select y, c from reach join edges on x = r where c < y_id),
+least as (select r, min(c) as c from reach group by 1), links as (select x as r, count(*) as n from edges group by 1)
+select vec_id, coalesce(n, 0) as n_links, coalesce(c, vec_id) as component_id, vec_id = coalesce(c, vec_id) as kept from v left join least using (r) left join links using (r)""",
+    "op7_warc": r"""
+with p as (select page_id, coalesce(html, '') as payload, min(page_id) over (partition by coalesce(html, '')) as first from pages),
+h as (select *, sha1(payload) as hex from p)
+select page_id, strlen(payload)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from h""",
     "op12_collocations": r"""
 with w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from (
   select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),

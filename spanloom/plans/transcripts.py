@@ -62,8 +62,9 @@ def file_names(spark, d):
 
 
 def text_contents(spark, d):
-    own = events(spark, d).withColumn("content", F.encode(F.concat(F.repeat(F.lit("x"), F.col("target")), F.when(F.col("target") % 4 == 0, F.unhex(F.lit("00")).cast("string")).otherwise("y")), "UTF-8"))
-    return own.select("event_id", filters.is_text_by_content(F.col("content"), 60, 40).alias("readable"))
+    """Whether each document's text would be read as a file of at most 2,000 bytes."""
+    own = table(spark, d, "documents")
+    return own.select("doc_id", filters.is_text_by_content(F.encode("text", "UTF-8"), 2000, 2000).alias("readable"))
 
 
 def secret_lines(spark, d):
@@ -72,8 +73,9 @@ def secret_lines(spark, d):
 
 
 def redacted_lines(spark, d):
-    own = events(spark, d).withColumn("line", F.concat(F.lit("  curl  -u me:"), "event_type", F.lit(" 'Bearer abcdefgh"), "event_id", F.lit("'\n api_key=abcd"), "target", F.lit(" at http://u:pw"), "target", F.lit("@host ")))
-    return own.select("event_id", t.trim_text("line", 60).alias("short"), t.redact("line").alias("whole"))
+    """Each turn of the conversations as a short line, and whole, without secrets."""
+    own = table(spark, d, "conversations")
+    return own.select("conv_id", "turn", t.trim_text("text", 60).alias("short"), t.redact("text").alias("whole"))
 
 
 def check_commands(spark, d):
@@ -83,12 +85,11 @@ def check_commands(spark, d):
 
 
 def scalar_texts(spark, d):
-    own = events(spark, d)
-    skill = F.concat(F.lit("a:"), "event_type", F.lit(":s"), "target")
-    path = F.concat(F.lit("/home/a_b/"), "event_type", F.lit("-x"))
+    """Pages by the names that indexes give to their addresses, with their sizes."""
+    own, text = table(spark, d, "pages"), F.col("page_id").cast("string")
     return own.select(
-        "event_id", t.skill_name(skill).alias("skill"), t.project_key(path).alias("project"), t.item_digest(path).alias("item"), t.path_for_search(path, "props").alias("search"),
-        t.path_for_embedding(path, "props").alias("embedding"), t.short_number(F.col("event_id")).alias("short"), t.utf16_length(F.concat(path, F.lit("😀é"))).alias("units"),
+        "page_id", t.skill_name("url").alias("skill"), t.project_key("url").alias("project"), t.item_digest("url").alias("item"), t.path_for_search("url", text).alias("search"),
+        t.path_for_embedding("url", text).alias("embedding"), t.short_number(F.octet_length("html")).alias("short"), t.utf16_length("html").alias("units"),
     )
 
 
@@ -117,7 +118,6 @@ def masked(line: str) -> str:
     return line
 
 
-MADE_LINE = "'  curl  -u me:' || event_type || ' ''Bearer abcdefgh' || event_id || '''' || chr(10) || ' api_key=abcd' || target || ' at http://u:pw' || target || '@host '"
 SQL = {
     "transcript_ledger": f"with {LEDGER} select * from l",
     "transcript_totals": f"with {LEDGER} select session, round(sum(cost), 4) as cost, bool_and(priced) as priced, sum(messages)::bigint as messages from l group by 1",
@@ -126,13 +126,14 @@ SQL = {
 select session, tool, case when tool = 'Read' then file end as path, count(*) as calls, sum(chars)::bigint as chars from u group by 1, 2, 3""",
     "transcript_turns": f"with {MADE}, w as (select * from c where target % 7 <> 0 qualify row_number() over (partition by user_id, hour order by event_id) = 1) select user_id::varchar as session, count(*) as turns, sum(tok)::bigint as tok from w group by 1",
     "file_names": f"with {EVENTS} select event_id, {listed(NAMES)}[target % 8 + 1] as path, target % 8 in (1, 4, 7) as secret, target % 8 in (0, 2, 5) as readable from ev",
-    "text_contents": f"with {EVENTS} select event_id, target + 1 <= 60 and not (target % 4 = 0 and target < 40) as readable from ev",
+    "text_contents": "select doc_id, strlen(text) <= 2000 and not contains(text, chr(0)) as readable from documents",
     "secret_lines": f"with {EVENTS} select event_id, case when target % 7 > 0 then {listed([v[:12] for v in SECRETS])}[target % 7 + 1] || '…' end as secret from ev",
-    "redacted_lines": f"with {EVENTS}, x as (select event_id, {MADE_LINE} as line from ev) select event_id, substring({masked(r"trim(regexp_replace(line, '\s+', ' ', 'g'))")}, 1, 60) as short, {masked('line')} as whole from x",
+    "redacted_lines": f"""with x as (select conv_id, turn, coalesce(text, '') as line from conversations) select conv_id, turn, substring({masked(r"trim(regexp_replace(line, '\s+', ' ', 'g'))")}, 1, 60) as short, {masked('line')} as whole from x""",
     "redact": f"select doc_id, sha256({masked('text')}) as redacted from documents where text is not null",
     "check_commands": f"""with {EVENTS} select event_id, target % 8 not in (1, 4, 6) as checks, case user_id % 4 when 0 then case when target % 8 = 6 then 'grep' else 'bash' end when 1 then 'read' when 2 then 'edit' end as tools from ev""",
-    "scalar_texts": f"""with {EVENTS}, x as (select *, '/home/a_b/' || event_type || '-x' as path from ev)
-select event_id, 's' || target as skill, substr(sha256(path), 1, 16) as project, substr(sha1(path), 1, 12) as item, replace(path, '/', ' ') || chr(10) || props as search, ' / home / a b / ' || event_type || ' x' || chr(10) || chr(10) || props as embedding,
-case when event_id >= 1000 then printf('%.1fk', floor(event_id / 100.0::double + 0.5) / 10) else event_id::varchar end as short, length(path) + 3 as units from x""",
+    "scalar_texts": r"""select page_id, split_part(url, ':', -1) as skill, substr(sha256(url), 1, 16) as project, substr(sha1(url), 1, 12) as item, replace(url, '/', ' ') || chr(10) || page_id as search,
+regexp_replace(replace(url, '/', ' / '), '[_-]', ' ', 'g') || chr(10) || chr(10) || page_id as embedding,
+case when strlen(html) >= 1000000 then printf('%.2fM', floor(strlen(html) / 10000.0::double + 0.5) / 100) when strlen(html) >= 1000 then printf('%.1fk', floor(strlen(html) / 100.0::double + 0.5) / 10) else strlen(html)::varchar end as short,
+length(html) + length(regexp_replace(html, '[^\x{10000}-\x{10FFFF}]', '', 'g')) as units from pages""",
     "file_heads": "select n_nationkey, 'A_KEY,B_KEY' as keys, case n_nationkey % 3 when 0 then 'a/**,b/*.md' when 1 then '' end as paths from nation",
 }

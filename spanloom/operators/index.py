@@ -126,3 +126,44 @@ def collect_garbage(cache: DataFrame, live: DataFrame, now, days: float = 45, mo
 def stats(chunks: DataFrame, key: str = "path") -> DataFrame:
     """Files and chunks of an index."""
     return chunks.agg(F.countDistinct(key).alias("files"), F.count("*").alias("chunks"))
+
+
+def last_sync(logs: DataFrame, key: str = "index", most: int = 200) -> DataFrame:
+    """at, report and error of the newest log (at, text) of each index: a log in JSON is a report, of another the end of its last line that is not blank counts, ``empty log`` where there is none."""
+    newest = logs.groupBy(key).agg(F.max_by(F.struct("at", F.coalesce("text", F.lit("")).alias("text")), F.struct("at", "text")).alias("l")).select(key, "l.*")
+    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    end = F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("empty log"))
+    good = F.try_parse_json("text").isNotNull()
+    error = F.substring(end, F.greatest(F.length(end) - most + 1, F.lit(1)), F.lit(most))
+    return newest.select(key, "at", F.when(good, F.col("text")).alias("report"), F.when(~good, error).alias("error"))
+
+
+def status(chunks: DataFrame, disabled: DataFrame, holders: DataFrame, logs: DataFrame, key: str = "index", path: str = "path") -> DataFrame:
+    """One row for each index of ``chunks``: files and chunks, whether it syncs by itself, who is syncing it now (null: nobody), and its last sync.
+
+    ``disabled``: the indexes that are switched off. ``holders``: index and holder of a lock, the smallest of several.
+    """
+    counts = chunks.groupBy(key).agg(F.countDistinct(path).alias("files"), F.count("*").alias("chunks"))
+    off = disabled.select(key).distinct().withColumn("_off", F.lit(True))
+    held = holders.groupBy(key).agg(F.min("holder").alias("holder"))
+    joined = counts.join(off, key, "left").join(held, key, "left").join(last_sync(logs, key), key, "left")
+    return joined.select(key, "files", "chunks", F.when(F.col("_off"), "disabled").otherwise("ok").alias("autosync"), "holder", "at", "report", "error")
+
+
+def model_mismatch(stamp: DataFrame, model: str, engine: str) -> str | None:
+    """What keeps an index from being written by ``model``: its ``stamp`` (model, engine; no row: new) names another one."""
+    other = stamp.where(~(F.col("model").eqNullSafe(F.lit(model)) & F.col("engine").eqNullSafe(F.lit(engine)))).select("model", "engine").first()
+    return other and f"index of {other.model} ({other.engine}), now {model} ({engine})"
+
+
+def reset(tables: dict[str, DataFrame], cache: DataFrame, mismatch: str | None, force: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables and the cache that a sync starts from.
+
+    Without ``force`` all stay, and a mismatch is an error. With it the tables are emptied; the cache goes only with
+    a mismatch, since its vectors are then of another model. Otherwise all content comes back from the cache.
+    """
+    if mismatch and not force:
+        raise ValueError(mismatch)
+    if not force:
+        return tables, cache
+    return {name: t.limit(0) for name, t in tables.items()}, cache.limit(0) if mismatch else cache

@@ -166,6 +166,16 @@ def index_stats(spark, d):
     return index.stats(table(spark, d, "documents").select(F.col("source").alias("path")))
 
 
+def index_status(spark, d):
+    """Each source as an index; events are the logs of its syncs."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("index"), F.col("lang").alias("path"))
+    disabled = table(spark, d, "nation").where("n_regionkey = 1").select(F.concat(F.lit("src"), "n_nationkey").alias("index"))
+    holders = table(spark, d, "supplier").where("s_acctbal < 0").select(F.concat(F.lit("src"), "s_nationkey").alias("index"), F.col("s_suppkey").cast("long").alias("holder"))
+    text = F.when(F.col("event_type") == "error", F.concat(F.lit("first\nfailed at "), "event_id", F.lit("\n \n"))).otherwise(F.col("props"))
+    logs = table(spark, d, "events").select(F.concat(F.lit("src"), F.col("user_id") % 25).alias("index"), F.col("event_id").cast("long").alias("at"), text.alias("text"))
+    return index.status(docs, disabled, holders, logs)
+
+
 def token_estimate_mixed(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", tokens_mixed("text").alias("n_tokens"))
 
@@ -215,7 +225,7 @@ def head_tail_lines(spark, d):
 NAMES = {
     "path_filter": path_filter_pages, "redact": redact_documents, "head_tail": head_tail_lines, "literals": first_literals,
 }
-QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, bm25_topk, bm25_filtered_global_idf, bm25_phrase, hybrid_rrf, index_bm25_topk, index_bm25_filtered, index_bm25_phrase, index_hybrid, index_replaced, fts_postings, fts_query_terms, chunk_documents, chunk_headings_lines, content_hash_groups, snapshot_diff, index_report, cache_restore, cache_gc_age, cache_gc_surplus, cache_gc_dead, cache_gc_chain, index_stats, token_estimate_mixed, secret_values, literal_groups, mention_join, glob_match, settings_diff)} | NAMES
+QUERIES = {f.__name__: f for f in (knn_topk, knn_filtered, bm25_topk, bm25_filtered_global_idf, bm25_phrase, hybrid_rrf, index_bm25_topk, index_bm25_filtered, index_bm25_phrase, index_hybrid, index_replaced, fts_postings, fts_query_terms, chunk_documents, chunk_headings_lines, content_hash_groups, snapshot_diff, index_report, cache_restore, cache_gc_age, cache_gc_surplus, cache_gc_dead, cache_gc_chain, index_stats, index_status, token_estimate_mixed, secret_values, literal_groups, mention_join, glob_match, settings_diff)} | NAMES
 
 FOLDED = "strip_accents(lower(text))"
 TOKENS = rf"regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}]+')"
@@ -308,6 +318,12 @@ l as (select greatest(10.0, coalesce((select sum(chunks) from a), 0) * 0.5) as l
 r as (select *, sum(chunks) over (order by last_used desc, content_hash rows unbounded preceding) as total from b)
 select content_hash, chunks from a union all select content_hash, chunks from r, l where dead <= lim or total <= lim / 2""",
     "index_stats": "select count(distinct source) as files, count(*) as chunks from documents",
+    "index_status": """
+with c as (select source as index, count(distinct lang) as files, count(*) as chunks from documents group by 1),
+h as (select 'src' || s_nationkey as index, min(s_suppkey)::bigint as holder from supplier where s_acctbal < 0 group by 1),
+l as (select 'src' || user_id % 25 as index, event_id::bigint as "at", case when event_type <> 'error' then props end as report, case when event_type = 'error' then 'failed at ' || event_id end as error from events qualify row_number() over (partition by user_id % 25 order by event_id desc) = 1)
+select c.index, files, chunks, case when c.index in (select 'src' || n_nationkey from nation where n_regionkey = 1) then 'disabled' else 'ok' end as autosync, holder, l.at as "at", report, error
+from c left join h on h.index = c.index left join l on l.index = c.index""",
     "token_estimate_mixed": "select doc_id, floor(len(regexp_extract_all(text, '[Ѐ-ӿ]')) / 2.2::double + (length(text) - len(regexp_extract_all(text, '[Ѐ-ӿ]'))) / 4.0::double + 0.5)::bigint as n_tokens from documents where text is not null",
     "mention_join": rf"""
 with n as (select lower(n_name) as name from nation union select unnest(['the', 'la', 'und'])), w as (select doc_id, unnest(regexp_extract_all({FOLDED}, '[\p{{L}}\p{{N}}_]+')) as name from documents)

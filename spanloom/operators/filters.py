@@ -67,9 +67,10 @@ def in_skipped_folder(path: Column) -> Column:
     return F.exists(folders, lambda x: x.isin(SKIP_FOLDERS) | x.rlike(r"^\.[^.]"))
 
 
-def is_text_by_content(content: Column, most: int = 1_000_000, probe: int = 8192) -> Column:
-    """Not too long, and no zero byte at the beginning."""
-    return (F.octet_length(content) <= most) & ~F.contains(F.substring(content, 1, probe), F.lit(b"\0"))
+def is_text_by_content(content: Column, most: int | None = 1_000_000, probe: int | None = 8192) -> Column:
+    """Not too long, and no zero byte at the beginning; None sets no bound and looks at every byte."""
+    clean = ~F.contains(content if probe is None else F.substring(content, 1, probe), F.lit(b"\0"))
+    return clean if most is None else (F.octet_length(content) <= most) & clean
 
 
 def glob_pattern(glob: str) -> str:

@@ -38,8 +38,8 @@ def due(files: DataFrame, known: DataFrame | None) -> DataFrame:
     return files if known is None else files.join(known.select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
 
 
-def contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """path, size, mtime, hash, binary, blank and text of ``files``, rows of a listing; no other file is opened.
+def contents(spark: SparkSession, files: DataFrame, root: str, most: int = 1_000_000) -> DataFrame:
+    """path, size, mtime, hash, binary (a zero byte at its beginning, or more than ``most`` bytes), blank and text of ``files``, rows of a listing; no other file is opened.
 
     The driver, which holds the list of all files of a folder when Spark reads one, holds the
     names of these. Files that are gone by now are left out; bytes that are no UTF-8 are read as Latin-1.
@@ -51,19 +51,19 @@ def contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     lossy = F.coalesce(text, F.decode("content", "ISO-8859-1"))
     return read.select(
         below(F.col("path"), root).alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"),
-        (~is_text_by_content(F.col("content"))).alias("binary"), (~lossy.rlike(r"\S")).alias("blank"), lossy.alias("text"),
+        (~is_text_by_content(F.col("content"), most)).alias("binary"), (~lossy.rlike(r"\S")).alias("blank"), lossy.alias("text"),
     )
 
 
 def scan(spark: SparkSession, root: str, known: DataFrame | None = None, most: int = 1_000_000, listed: DataFrame | None = None) -> DataFrame:
     """The contents of text files by name, at most ``most`` bytes, that ``known`` (path, size, mtime) does not have as they are."""
-    return contents(spark, due(candidates(listing(spark, root, listed)).where(F.col("size") <= most), known), root)
+    return contents(spark, due(candidates(listing(spark, root, listed)).where(F.col("size") <= most), known), root, most)
 
 
 def sync(spark: SparkSession, root: str, known: DataFrame, most: int = 1_000_000, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The status of each file of either side, against ``known`` (path, size, mtime, hash), and the contents that were read for it."""
     files = candidates(listing(spark, root, listed)).where(F.col("size") <= most)
-    read = contents(spark, due(files, known), root)
+    read = contents(spark, due(files, known), root, most)
     now = files.select("path", "size", "mtime").join(read.select("path", "hash", "binary", "blank"), "path", "left")
     same = known.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("hash").alias("_hash"))
     current = now.join(same, "path", "left").withColumn("_same", F.coalesce((F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")), F.lit(False)))

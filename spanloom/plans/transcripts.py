@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as t
@@ -62,9 +65,15 @@ def file_names(spark, d):
 
 
 def text_contents(spark, d):
-    """Whether each document's text would be read as a file of at most 2,000 bytes."""
-    own = table(spark, d, "documents")
-    return own.select("doc_id", filters.is_text_by_content(F.encode("text", "UTF-8"), 2000, 2000).alias("readable"))
+    """Whether each text of documents, pages, conversations and events is one by its content; every byte is looked at."""
+    texts = [
+        table(spark, d, "documents").select(F.lit("documents").alias("of"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("part"), "text"),
+        table(spark, d, "pages").select(F.lit("pages"), "page_id", F.lit(None).cast("long"), "html"),
+        table(spark, d, "conversations").select(F.lit("conversations"), "conv_id", F.col("turn").cast("long"), "text"),
+        table(spark, d, "events").select(F.lit("events"), "event_id", F.lit(None).cast("long"), "props"),
+    ]
+    own = reduce(DataFrame.union, texts)
+    return own.select("of", "id", "part", filters.is_text_by_content(F.encode("text", "UTF-8"), None, None).alias("readable"))
 
 
 def secret_lines(spark, d):
@@ -126,7 +135,11 @@ SQL = {
 select session, tool, case when tool = 'Read' then file end as path, count(*) as calls, sum(chars)::bigint as chars from u group by 1, 2, 3""",
     "transcript_turns": f"with {MADE}, w as (select * from c where target % 7 <> 0 qualify row_number() over (partition by user_id, hour order by event_id) = 1) select user_id::varchar as session, count(*) as turns, sum(tok)::bigint as tok from w group by 1",
     "file_names": f"with {EVENTS} select event_id, {listed(NAMES)}[target % 8 + 1] as path, target % 8 in (1, 4, 7) as secret, target % 8 in (0, 2, 5) as readable from ev",
-    "text_contents": "select doc_id, strlen(text) <= 2000 and not contains(text, chr(0)) as readable from documents",
+    "text_contents": """
+select 'documents' as of, doc_id as id, null::bigint as part, not contains(text, chr(0)) as readable from documents
+union all select 'pages', page_id, null, not contains(html, chr(0)) from pages
+union all select 'conversations', conv_id, turn, not contains(text, chr(0)) from conversations
+union all select 'events', event_id, null, not contains(props, chr(0)) from events""",
     "secret_lines": f"with {EVENTS} select event_id, case when target % 7 > 0 then {listed([v[:12] for v in SECRETS])}[target % 7 + 1] || '…' end as secret from ev",
     "redacted_lines": f"""with x as (select conv_id, turn, coalesce(text, '') as line from conversations) select conv_id, turn, substring({masked(r"trim(regexp_replace(line, '\s+', ' ', 'g'))")}, 1, 60) as short, {masked('line')} as whole from x""",
     "redact": f"select doc_id, sha256({masked('text')}) as redacted from documents where text is not null",

@@ -76,3 +76,25 @@ def test_long_files_are_text(spark, tmp_path):
     assert found == {"long.txt": (1_200_000, False), "raw.txt": (1_200_000, True)}
     none = spark.createDataFrame([], "path string, size long, mtime long, hash string")
     assert {r.path: r.status for r in files.sync(spark, str(tmp_path), none, most=1 << 31)[0].collect()} == {"long.txt": "added", "raw.txt": "binary"}
+
+
+def test_contents_are_judged_whole(spark, tmp_path):
+    """Long texts are texts, and a zero byte counts wherever it stands."""
+    import duckdb
+
+    from spanloom.plans.transcripts import SQL, text_contents
+
+    texts = ["a", "b" * 3000, "c" * 3000 + "\0", "\0", "", None]
+    tables = {
+        "documents": ([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"),
+        "pages": ([(i, t) for i, t in enumerate(texts)], "page_id long, html string"),
+        "conversations": ([(7, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string"),
+        "events": ([(i, t) for i, t in enumerate(texts)], "event_id long, props string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(map(tuple, text_contents(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(con.execute(SQL["text_contents"]).fetchall(), key=repr)
+    assert [r[3] for r in got if r[0] == "documents"] == [True, True, False, False, True, None]

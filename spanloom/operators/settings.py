@@ -1,6 +1,7 @@
 """Settings texts of any depth as rows, and what one side has that the other lacks.
 
-Rows are parsed in Arrow batches, one text at a time; all comparing is joins on key and path.
+Rows are parsed in Arrow batches, one text at a time, and dealt out once, by key and path; both sides
+meet there in one sorted join. No parsed side is broadcast: Spark takes it to be as small as its texts' column.
 
 Cases: empty, blank and null texts are the empty object; texts that are no JSON objects give one row
 of kind ``broken``. Repeated members of an array count once; other columns are not read.
@@ -71,14 +72,17 @@ def settings_items(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda t: [dict(zip(("path", "kind", "value"), x)) for x in parsed(t)])
 
-    return df.select(key, F.explode(run(F.col(text).cast("string"))).alias("i")).select(key, "i.*").distinct()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that both sides of a difference are dealt out alike
+    found = df.select(key, F.explode(run(F.col(text).cast("string"))).alias("i")).select(key, "i.*")
+    return found.repartition(parts, key, "path").distinct()
 
 
 def settings_difference(old: DataFrame, own: DataFrame, key: str) -> DataFrame:
     """key, path, state and value of what the items ``old`` hold and ``own`` lack: members are missing, scalars missing or different. The values of scalars, which may be secret, are not shown."""
-    members = old.where("kind = 'member'").join(own.where("kind = 'member'"), [key, "path", "value"], "left_anti")
-    theirs = own.where("kind in ('scalar', 'holder')").select(key, "path", F.col("value").alias("_own"))
-    scalars = old.where("kind = 'scalar'").join(theirs, [key, "path"], "left").where("_own is null or _own != value")
-    state = F.when(F.col("_own").isNull(), "missing").otherwise("different")
-    broken = old.where("kind = 'broken'").select(key, "path", F.lit("broken").alias("state"), F.lit(None).cast("string").alias("value"))
-    return members.select(key, "path", F.lit("missing").alias("state"), "value").union(scalars.select(key, "path", state, F.lit(None).cast("string"))).union(broken)
+    theirs = own.where("kind != 'broken'").select(F.col(key).alias("_key"), F.col("path").alias("_path"), F.col("kind").alias("_kind"), F.col("value").alias("_own")).hint("merge")
+    member = F.expr("kind = 'member' and _kind = 'member' and value = _own")
+    scalar = F.expr("kind = 'scalar' and _kind in ('scalar', 'holder')")
+    met = old.where("kind != 'holder'").join(theirs, (F.col(key) == F.col("_key")) & (F.col("path") == F.col("_path")) & (member | scalar), "left")
+    lost = met.where("_own is null or kind = 'scalar' and _own != value")
+    state = F.when(F.col("kind") == "broken", "broken").when(F.col("_own").isNull(), "missing").otherwise("different")
+    return lost.select(key, "path", state.alias("state"), F.when(F.col("kind") == "member", F.col("value")).alias("value"))

@@ -38,3 +38,12 @@ def test_differences(found):
 
 def test_broken_and_empty(found):
     assert sorted(r for r in found if r[0] >= 100) == [(100, "", "broken", None), (103, "a", "missing", None), (104, "", "broken", None)]
+
+
+def test_no_side_is_broadcast(spark, capsys):
+    """Spark takes parsed texts to be as small as the column they come from; rows without a key meet nothing."""
+    frame = spark.createDataFrame([(1, '{"a":1,"b":["x"]}', '{"a":2}'), (None, '{"a":1}', '{"a":1}')], "k int, old string, own string")
+    lost = settings_difference(settings_items(frame, "k", "old"), settings_items(frame, "k", "own"), "k")
+    assert sorted(map(tuple, lost.collect()), key=repr) == [(1, "a", "different", None), (1, "b", "missing", "x"), (None, "a", "missing", None)]
+    lost.explain()
+    assert "Broadcast" not in capsys.readouterr().out

@@ -37,8 +37,7 @@ def note_items(spark, d):
 def path_mentions(spark, d):
     """How many pages' paths each item of the notes names."""
     items = containment.items(notes(spark, d), "page_id", "note").withColumn("item_id", F.concat_ws("-", "page_id", "item"))
-    found = containment.mentions_of_paths(items, "item_id", "body", page_paths(spark, d))
-    return found.groupBy("item_id").agg(F.count("*").alias("n_paths"), F.min("path").alias("first_path"))
+    return containment.mention_counts(items, "item_id", "body", page_paths(spark, d))
 
 
 def files_scan(spark, d):

@@ -15,7 +15,7 @@ PATH = r"^https?://[^/]+/([^?#]*)"
 def literal_containment(spark, d):
     """How many documents contain each word of the benchmark, as any part of their texts."""
     words = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("literal"))
-    found = containment.contained(table(spark, d, "documents"), "doc_id", "text", words)
+    found = containment.literals_of(table(spark, d, "documents"), "doc_id", "text", words)
     return found.groupBy("literal").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

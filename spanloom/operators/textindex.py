@@ -1,15 +1,16 @@
 """A stored positional index for full-text search.
 
-``build`` writes one row for each term and text, with the places of the term, under a folder for
-each bucket (crc32 of the term); the lengths of the live texts stand in a small table beside it.
-A search reads the folders of its terms only. Words of a phrase meet by equality of text and
-place, shifted by their number. ``replace`` and ``forget`` never rewrite postings: new texts get
+``build`` writes blocks of postings under a folder for each bucket (crc32 of the term): a row is a term
+with those texts of a block of texts that hold it, and its places in them, laid end to end. A task
+makes the blocks of its own texts, so words meet in memory and only blocks are shuffled. The lengths of the live texts stand in a small table beside it.
+A search reads the folders of its terms only. Words of a phrase meet by equality of text;
+their places, shifted by their number, are intersected. ``replace`` and ``forget`` never rewrite postings: new texts get
 a generation of their own, and the new table of lengths says which generation of a text is live;
 postings of others find no partner in the join that brings the lengths. Numbers of texts and mean
 length come from that table, so they are exact at once. ``compact`` writes the live postings anew.
 A handle names one state of the index and stays valid while later ones are made.
 
-A bucket's rows are dealt out by text, so a word that stands in every text fills ``parts`` files
+A bucket's rows are dealt out by block, so a word that stands in every text fills ``parts`` files
 of its bucket and no single task. Each key is one text; tables that repeat one are refused. Null
 texts are not indexed, and replacing a text by null forgets it.
 """
@@ -22,12 +23,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import search_tokens
 from spanloom.operators.search import CANDIDATES, bm25_score, ranked
 
+#: Words of a block of texts, about: what a task holds at once.
+BLOCK = 1 << 20
+
 
 @dataclass(frozen=True)
 class TextIndex:
@@ -56,17 +63,42 @@ def live(spark: SparkSession, index: TextIndex) -> DataFrame:
 def postings_of(spark: SparkSession, index: TextIndex, terms: Sequence[str] | None = None) -> DataFrame:
     """key, generation, term and places, in all generations; of some terms from their buckets alone."""
     kind = live(spark, index).schema[index.key].dataType.simpleString()
-    schema = f"`{index.key}` {kind}, term string, places array<int>, generation string, bucket int"  # an empty index has no file to infer it from
+    schema = f"term string, hits array<struct<of:{kind},places:array<int>>>, generation string, bucket int"  # an empty index has no file to infer it from
     rows = spark.read.schema(schema).option("basePath", f"{index.path}/postings").parquet(*(f"{index.path}/postings/generation={g}" for g in index.generations))
     if terms is not None:
         rows = rows.where(F.col("bucket").isin(sorted({index.bucket_of(t) for t in terms})) & F.col("term").isin(sorted(set(terms))))
-    return rows.select(index.key, "generation", "term", "places")
+    return rows.select("generation", "term", F.inline("hits")).select(F.col("of").alias(index.key), "generation", "term", "places")
+
+
+def _blocks(tokens: DataFrame, key: str) -> DataFrame:
+    """term and hits of blocks of texts, from their words in order (``_tokens``)."""
+    kind = tokens.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            words = np.asarray(pc.list_value_length(batch.column(1)))
+            block = (np.cumsum(words) - words) // BLOCK
+            for first in np.flatnonzero(np.diff(block, prepend=-1)):
+                part = batch.slice(first, int(np.count_nonzero(block == block[first])))
+                size = np.asarray(pc.list_value_length(part.column(1)))
+                coded = part.column(1).flatten().dictionary_encode()
+                order = np.argsort(coded.indices.to_numpy(), kind="stable")  # by term, then as they stand
+                of = np.repeat(np.arange(len(size)), size)[order]
+                place = (np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size))[order]
+                code = coded.indices.to_numpy()[order]
+                hit = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+                term = np.flatnonzero(np.diff(code[hit], prepend=-1) != 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(hit, len(order)), pa.int32()), pa.array(place, pa.int32()))
+                hits = pa.StructArray.from_arrays([part.column(0).take(pa.array(of[hit])), lists], ["of", "places"])
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[hit][term])), pa.ListArray.from_arrays(pa.array(np.append(term, len(hit)), pa.int32()), hits)], ["term", "hits"])
+
+    return tokens.select(key, "_tokens").mapInArrow(run, f"term string, hits array<struct<of:{kind},places:array<int>>>")
 
 
 def _write_postings(rows: DataFrame, index: TextIndex, generation: str) -> None:
-    """``rows``: key, term, places."""
-    own = rows.withColumns({"bucket": (F.crc32(F.col("term").cast("binary")) % index.buckets).cast("int"), "_part": F.pmod(F.xxhash64(index.key), F.lit(index.parts))})
-    dealt = own.repartition("bucket", "_part").sortWithinPartitions("bucket", "term", index.key).drop("_part")
+    """``rows``: term and hits (of, places)."""
+    own = rows.withColumns({"bucket": (F.crc32(F.col("term").cast("binary")) % index.buckets).cast("int"), "_part": F.pmod(F.xxhash64(F.get("hits", F.lit(0))["of"]), F.lit(index.parts))})
+    dealt = own.repartition("bucket", "_part").sortWithinPartitions("bucket", "term").drop("_part")
     dealt.write.partitionBy("bucket").parquet(f"{index.path}/postings/generation={generation}")
 
 
@@ -83,8 +115,7 @@ def _write_texts(rows: DataFrame, index: TextIndex, generations: tuple[str, ...]
 def _add(docs: DataFrame, index: TextIndex, generation: str, text: str, carry: Sequence[str]) -> DataFrame:
     """Writes the postings of ``docs``; gives their rows of the table of texts."""
     own = docs.where(F.col(text).isNotNull() & F.col(index.key).isNotNull()).select(index.key, *carry, F.explode(F.array(search_tokens(text))).alias("_tokens"))
-    places = own.select(index.key, F.posexplode("_tokens").alias("_place", "term")).groupBy(index.key, "term").agg(F.sort_array(F.collect_list("_place")).alias("places"))
-    _write_postings(places, index, generation)
+    _write_postings(_blocks(own, index.key), index, generation)
     return own.select(index.key, F.lit(generation).alias("generation"), F.size("_tokens").alias("length"), *carry)
 
 
@@ -114,7 +145,9 @@ def compact(spark: SparkSession, index: TextIndex) -> TextIndex:
     """The same index with one generation."""
     generation, texts = _new(), live(spark, index)
     kept = postings_of(spark, index).join(texts.select(index.key, "generation"), [index.key, "generation"], "left_semi")
-    _write_postings(kept.drop("generation"), index, generation)
+    some = F.pmod(F.xxhash64(index.key), F.lit(1 + texts.count() // (1 << 16)))
+    blocks = kept.groupBy("term", some.alias("_some")).agg(F.collect_list(F.struct(F.col(index.key).alias("of"), "places")).alias("hits"))
+    _write_postings(blocks.drop("_some"), index, generation)
     return _write_texts(texts.withColumn("generation", F.lit(generation)), index, (generation,))
 
 
@@ -122,10 +155,10 @@ def phrase_hits(spark: SparkSession, index: TextIndex, phrase: Sequence[str]) ->
     """key, generation and tf: how often the words of ``phrase`` stand beside each other, in all generations."""
     if len(phrase) == 1:
         return postings_of(spark, index, phrase).select(index.key, "generation", F.size("places").alias("tf"))
-    same = [index.key, "generation", "_begin"]
-    words = (postings_of(spark, index, [w]).select(index.key, "generation", F.explode("places").alias("_at")) for w in phrase)
-    met = reduce(lambda a, b: a.join(b, same), (w.select(index.key, "generation", (F.col("_at") - i).alias("_begin")) for i, w in enumerate(words)))
-    return met.groupBy(index.key, "generation").agg(F.count("*").cast("int").alias("tf"))
+    words = (postings_of(spark, index, [w]).select(index.key, "generation", F.expr(f"transform(places, x -> x - {i})").alias(f"_begin{i}")) for i, w in enumerate(phrase))
+    met = reduce(lambda a, b: a.join(b, [index.key, "generation"]), words)
+    begins = reduce(F.array_intersect, (f"_begin{i}" for i in range(len(phrase))))
+    return met.select(index.key, "generation", F.size(begins).alias("tf")).where("tf > 0")
 
 
 def bm25(spark: SparkSession, index: TextIndex, phrases: Sequence[Sequence[str]], k: int = CANDIDATES, where: Column | None = None) -> DataFrame:

@@ -74,3 +74,13 @@ def test_repeated_keys_are_refused(spark, docs):
 def test_empty_table(spark, docs):
     made = textindex.build(docs.where("false"), shared_path(spark, "index"))
     assert textindex.live(spark, made).count() == 0
+
+
+def test_a_block_shuffles_once(spark):
+    """Postings are rows of terms and blocks of texts, however many texts and words there are."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the end of the"), F.col("id") % 7, F.lit("end of")).alias("text")).coalesce(2)
+    made = textindex.build(docs, shared_path(spark, "index"), buckets=4, parts=1)
+    rows = spark.read.parquet(f"{made.path}/postings").where("term in ('the', 'end', 'of')")
+    assert rows.count() <= 3 * docs.rdd.getNumPartitions() * 2
+    assert rows.selectExpr("sum(size(hits))").first()[0] == 6000
+    same(textindex.bm25(spark, made, [["end", "of"], ["3"]]), search.bm25(docs, [["end", "of"], ["3"]]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +99,33 @@ def first_and_last(lines: DataFrame, by: list[str], order: str, head: int = 40,
 def handoff_edges(exits: DataFrame, starts: DataFrame, keys: list[str], seconds: float = 10, slot: str = "ts") -> DataFrame:
     """Each exit (session, ts) with the nearest start of another session of equal keys within ``seconds``.
 
-    Times are cut into slots of that length; an exit meets its own slot and the two beside
-    it, so the join is by equality and no key's rows are compared with all others.
+    Times are cut into slots of that length. In a slot, the last start before each exit comes with the last
+    one of another session than that; both stand for all before them. A slot lends its first and last
+    starts, of two sessions each, to those beside it. So no exit meets more than four starts, however close they lie.
     """
     width = int(seconds * 1_000_000)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    left = exits.select(*keys, F.col("session").alias("parent"), micros(slot).alias("t")).withColumn("cell", F.explode(F.array(*(F.floor(F.col("t") / width) + k for k in (-1, 0, 1)))))
-    right = starts.select(*keys, F.col("session").alias("child"), micros(slot).alias("u")).withColumn("cell", F.floor(F.col("u") / width))
-    met = left.join(right, [*keys, "cell"]).where((F.col("parent") != F.col("child")) & (F.abs(F.col("t") - F.col("u")) <= width))
-    best = met.groupBy(*keys, "parent", "t").agg(F.min(F.struct(F.abs(F.col("t") - F.col("u")).alias("gap"), F.col("u"), F.col("child"))).alias("b"))
-    return best.select(*keys, "parent", F.col("t").alias("exit_us"), F.col("b.child").alias("child"), F.col("b.gap").alias("gap_us"))
+    there = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in [*keys, "_s", "_t"]))
+    rows = lambda df, is_exit: df.select(*keys, F.col("session").alias("_s"), micros(slot).alias("_t"), F.lit(is_exit).alias("_exit")).where(there).distinct().withColumn("_cell", F.floor(F.col("_t") / width))
+    left, right = rows(exits, 1), rows(starts, 0)
+    in_cell = Window.partitionBy(*keys, "_cell")
+    early, late = in_cell.orderBy("_t", "_s"), in_cell.orderBy(F.col("_t").desc(), "_s")
+    for name, w in (("_early", early), ("_late", late)):
+        first = F.first("_s").over(w)
+        before = F.first(F.when(F.col("_other") != 0, 1), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        right = right.withColumn("_other", (F.col("_s") != first).cast("int")).withColumn(name, (F.row_number().over(w) == 1) | ((F.col("_other") == 1) & before.isNull())).drop("_other")
+    lent = right.where("_early").withColumn("_cell", F.col("_cell") - 1).unionByName(right.where("_late").withColumn("_cell", F.col("_cell") + 1))
+    every = left.unionByName(right.unionByName(lent).drop("_early", "_late"))
+    start = F.when(F.col("_exit") == 0, F.struct("_t", "_s"))
+    for side, time in (("_b", F.col("_t")), ("_a", F.col("_t").desc())):  # starts of a time stand before its exits, the least session last
+        w = in_cell.orderBy(time, "_exit", F.col("_s").desc())
+        past = F.last(start, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        every = every.withColumn(side, past)
+        turn = F.when((F.col("_exit") == 0) & (F.col(f"{side}._s") != F.col("_s")), F.col(side))
+        every = every.withColumn(f"{side}_other", F.last(turn, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = lambda c: F.when((F.col(f"{c}._s") != F.col("_s")) & (F.abs(F.col(f"{c}._t") - F.col("_t")) <= width), F.struct(F.abs(F.col(f"{c}._t") - F.col("_t")).alias("gap"), F.col(f"{c}._t").alias("u"), F.col(f"{c}._s").alias("child")))
+    best = every.where("_exit = 1").withColumn("b", F.array_min(F.array_compact(F.array(*(near(c) for c in ("_b", "_b_other", "_a", "_a_other"))))))
+    return best.where("b is not null").select(*keys, F.col("_s").alias("parent"), F.col("_t").alias("exit_us"), F.col("b.child").alias("child"), F.col("b.gap").alias("gap_us"))
 
 
 def chain_ends(edges: DataFrame, most: int = 50) -> DataFrame:

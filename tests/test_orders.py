@@ -53,3 +53,26 @@ def test_chain_of_sixty_links_stops_at_fifty(spark):
     got = {r.parent: (r["last"], r.hops) for r in order.chain_ends(spark.range(60).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child"))).collect()}
     assert got[0] == (50, 50) and got[9] == (59, 50) and got[10] == (60, 50) and got[59] == (60, 1) and len(got) == 60
     assert order.chain_ends(spark.createDataFrame([], "parent long, child long")).collect() == []
+
+
+def test_nearest_starts_equal_all_pairs(spark, capsys):
+    """Ties in time and session, a session's own starts around its exit, borders of slots; exits meet no pairs."""
+    import datetime
+    import random
+
+    from spanloom.operators.order import handoff_edges
+
+    rng, noon = random.Random(3), datetime.datetime(2024, 1, 1, 12, tzinfo=datetime.timezone.utc)
+    made = lambda n: [(rng.choice([0, 1, None]) if rng.random() < 0.1 else rng.randint(0, 1), rng.randint(1, 4), noon + datetime.timedelta(seconds=rng.randint(0, 70))) for _ in range(n)]
+    exits, starts = [*made(120), (0, 1, None)], [*made(60), (0, 1, None), (0, None, noon)]
+    frame = lambda rows: spark.createDataFrame(rows, "key int, session long, ts timestamp")
+    found = handoff_edges(frame(exits), frame(starts), ["key"], 10)
+    want = {}
+    for k, s, t in exits:
+        near = [(abs((t - u).total_seconds()), u, c) for k2, c, u in starts if k is not None and k == k2 and t and u and c not in (None, s) and abs((t - u).total_seconds()) <= 10]
+        if near:
+            want[k, s, int(t.timestamp() * 1e6)] = (min(near)[2], int(min(near)[0] * 1e6))
+    rows = found.collect()
+    assert {(r.key, r.parent, r.exit_us): (r.child, r.gap_us) for r in rows} == want and len(rows) == len(want) > 50
+    found.explain()
+    assert "Join" not in capsys.readouterr().out

@@ -104,12 +104,16 @@ def session_window(*by: str):
     return Window.partitionBy("session", *by).orderBy(*PLACE)
 
 
-def items(records: DataFrame, prices: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def items(records: DataFrame, prices: DataFrame, rules: Rules = Rules(), parts: int | None = None) -> DataFrame:
     """The stream: session, pos, sub and the columns of ITEM, with at (number of the last call, -1 before the first) and seg; written to the shared folder.
 
     ``records``: of ``transcripts.records``, with cwd. ``tool``, ``input`` and ``path`` of a
-    result or of a skill's text are those of the use it answers, and so is its at.
+    result or of a skill's text are those of the use it answers, and so is its at. ``parts``: into how
+    many tasks the sessions are dealt, here and by all that read the stream; a number that grows
+    with the records keeps a task's memory, where Spark goes by the size of what it has packed.
     """
+    dealt = lambda df: df if parts is None else df.repartition(parts, "session")
+    records = dealt(records)
     own = priced(records.where(~F.coalesce("isSidechain", F.lit(False))), prices)
     own = own.withColumn("_cwd", F.last("cwd", ignorenulls=True).over(Window.partitionBy("session").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     own = own.withColumns({"_call": F.coalesce("message_id", "uuid"), "_real": (F.col("type") == "assistant") & _is(F.col("content"), "ARRAY") & ~F.coalesce(F.col("model") == SYNTHETIC, F.lit(False))})
@@ -164,7 +168,7 @@ def items(records: DataFrame, prices: DataFrame, rules: Rules = Rules()) -> Data
     stream = stream.withColumn("_of", F.when(replies, answered))
     unknown = F.when(F.col("item") == "result", "unknown")
     at = F.when(F.col("item") == "result", F.coalesce("_of.at", "at")).otherwise(F.col("at"))
-    return written(stream.withColumns({"tool": F.coalesce("tool", "_of.tool", unknown), "input": F.coalesce("input", "_of.input"), "path": F.coalesce("path", "_of.path"), "at": at}).drop("_of"), "items")
+    return dealt(written(stream.withColumns({"tool": F.coalesce("tool", "_of.tool", unknown), "input": F.coalesce("input", "_of.input"), "path": F.coalesce("path", "_of.path"), "at": at}).drop("_of"), "items"))
 
 
 def calls(stream: DataFrame) -> DataFrame:

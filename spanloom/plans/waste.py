@@ -11,6 +11,8 @@ from spanloom.plans.tables import events
 from spanloom.plans.transcripts import RATES
 from spanloom.sources import transcripts
 
+#: Events whose transcript lines one task orders at once; three to four lines each.
+EVENTS_OF_TASK = 20_000
 RULES = waste.Rules(big_shell=50, full_read=20, wide_search=20)
 
 USE = """case target % 8 when 0 then '"name":"Read","input":{"file_path":"f' || target % 3 || '.py"}' when 1 then '"name":"mcp__code__read","input":{"file":"f' || target % 3 || '.py","mode":"' || if(event_id % 2 = 0, 'full', 'map') || '"}'
@@ -37,7 +39,7 @@ def stream(spark, d):
     )
     each = own.withColumn("late", late).select("user_id", F.explode(F.array_compact(lines)).alias("l"))
     made = each.select(F.col("user_id").cast("string").alias("session"), F.lit("p").alias("project"), "l.pos", "l.line")
-    return waste.items(transcripts.records(made), spark.createDataFrame(RATES, price_schema()), RULES)
+    return waste.items(transcripts.records(made), spark.createDataFrame(RATES, price_schema()), RULES, parts=-(-own.count() // EVENTS_OF_TASK) or 1)
 
 
 def waste_classes(spark, d):

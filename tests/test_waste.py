@@ -120,3 +120,12 @@ def test_one_call_is_charged_once_and_ends_of_sessions_cost_nothing(spark):
     none = spark.createDataFrame([], price_schema())
     assert [tuple(r) for r in waste.waste(waste.items(records(lines), none)).collect()] == [("s", "error", 3, 20, 0.0)]
     assert waste.waste(waste.items(records(lines.where("false")), none)).collect() == []
+
+
+def test_tasks_grow_with_the_events(spark, tmp_path, monkeypatch):
+    """The stream is dealt into as many tasks as its events ask for, and comes out so for its readers."""
+    from spanloom.plans import waste as plans
+
+    monkeypatch.setattr(plans, "EVENTS_OF_TASK", 100)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert plans.stream(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-events // 100) > 4

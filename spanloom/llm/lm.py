@@ -3,7 +3,7 @@
 Words are counted over all training documents: each Arrow batch yields its distinct words
 with their numbers, Spark sums them by word. Subword counts follow from the words. A second
 pass counts which id follows which, again over all training documents, and keeps windows of
-each document to learn from: one in ``every``, one at least, whatever the input's size. The
+each document to learn from: all of them, or one in ``every``, one at least. The
 rows, classes, biases and the table of classes that follow an id come from the counts. The
 network's weights are learned on the executors in ``rounds``: each worker goes through its
 share of a round's windows from the same start, Spark sums what they changed, and the mean is
@@ -201,7 +201,7 @@ def learned(model: Model, stored: DataFrame, windows: int, rate: float, batch: i
     return after
 
 
-def train(texts: DataFrame, counts: DataFrame, documents: int, vocabulary: str, most_rows: int = 4096, every: int = 16, rounds: int = 4, rate: float = 0.1, batch: int = 96) -> Model:
+def train(texts: DataFrame, counts: DataFrame, documents: int, vocabulary: str, most_rows: int = 4096, every: int = 1, rounds: int = 4, rate: float = 0.1, batch: int = 96) -> Model:
     """A network that has learned from ``texts`` (doc_id, text)."""
     size = subwords(vocabulary).size
     totals = np.zeros(size)

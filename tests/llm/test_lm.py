@@ -209,3 +209,11 @@ def test_words_are_cut_into_their_bytes():
     pieces = [cut.pieces[i] for i in ids]
     ends = np.cumsum(lengths)
     assert [b"".join(pieces[e - n : e]) for e, n in zip(ends, lengths)] == [b" " + w for w in words]
+
+
+def test_every_window_is_learned_from_by_default():
+    import inspect
+
+    from spanloom.llm import lm
+
+    assert inspect.signature(lm.train).parameters["every"].default == 1

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from conftest import HARD_TEXTS, SF
-from spanloom.llm import packing, queries, token_orc
+from spanloom.llm import packing, queries, subwords, token_orc
 from spanloom.llm.common import shared_folder
 from spanloom.llm.subwords import ByteBPE
 
@@ -154,3 +154,24 @@ def test_stretches_join():
         assert start * 4 == len(joined[doc_id]) and length * 4 == len(ids) and total == len(docs[doc_id])
         joined[doc_id] += ids
     assert joined == {d: x.tobytes() for d, x in docs.items()}
+
+
+def test_splits_over_bytes_equal_the_pattern():
+    rng = np.random.default_rng(5)
+    letters = list("aabs'stdrevellm  \t\n\r  ,.!0129éß×÷µªº¡»Āɏ–’…€\x01-")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)] + ["", "'", "'s", "'l", "'r", " '", "a'", "ve"]
+    data, starts = "".join(texts).encode(), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    at = subwords.splits(np.frombuffer(data, np.uint8), starts)
+    assert [data[a:b].decode() for a, b in zip(at[:-1], at[1:])] == [w for t in texts for w in subwords.PRETOKEN.findall(t)]
+
+
+def test_what_is_known_is_looked_up_not_gone_through():
+    """A view of all known keys was gone through for each few texts."""
+
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("all known keys are gone through")
+
+    memo = subwords.Memo(10)
+    memo.now, memo.older = {"a": 1}, Known(b=2)
+    assert memo.missing({"a", "b", "c"}) == ["c"] and memo.now == {"a": 1, "b": 2}

@@ -32,6 +32,8 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 
+from spanloom.llm.subwords import Memo
+
 #: Ids that a window scores, and those before them that it sees.
 STEP, LEAD = 32, 16
 KEY, VALUE, HIDDEN = 4, 16, 32
@@ -48,7 +50,7 @@ f32 = np.float32
 class Subwords:
     """Cuts words into ids. Id 0 is the end; the others number the vocabulary's usable entries in its order."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = 300_000):
         self.pieces: list[bytes] = [b""]
         self.trie = ahocorasick.Automaton()
         with open(path, "rb") as lines:
@@ -60,6 +62,7 @@ class Subwords:
                     self.pieces.append(piece)
         self.trie.make_automaton()
         self.size = len(self.pieces)
+        self.words = Memo(entries)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in turn, and the number of each word's ids."""
@@ -71,6 +74,17 @@ class Subwords:
         return found[:, 1].astype(np.int32), np.diff(np.searchsorted(found[:, 0], ends), prepend=0)
 
 
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of distinct words; a bounded number of those met before are not cut again."""
+        new = self.words.missing(set(words))
+        flat, lengths = self.encode(new)
+        data, ends = flat.tobytes(), (np.cumsum(lengths) * 4).tolist()
+        known = self.words.now
+        known.update((w, data[a:b]) for w, a, b in zip(new, [0, *ends[:-1]], ends))
+        found = list(map(known.__getitem__, words))
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
 @functools.lru_cache(maxsize=2)
 def subwords(path: str) -> Subwords:
     return Subwords(path)
@@ -98,10 +112,9 @@ def mask(step: int, lead: int) -> np.ndarray:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    """In place, over the last axis."""
-    x -= x.max(axis=-1, keepdims=True)
+    """In place, over the last axis of logits, which are logs of chances and small sums: far from where an exponential overflows."""
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
     return x
 
 
@@ -138,7 +151,7 @@ class Model:
         np.tanh(h, out=h)
         return (h, (q, k, v, a, total, o)) if keep else h
 
-    def log_chance(self, ids: np.ndarray, lengths: np.ndarray, most: int = 768) -> np.ndarray:
+    def log_chance(self, ids: np.ndarray, lengths: np.ndarray, most: int = 96) -> np.ndarray:
         """Natural log of each id's chance given those before it in its text."""
         w = self.weights
         of, at = window_starts(lengths)
@@ -146,8 +159,8 @@ class Model:
         for b in range(0, len(at), most):
             some = windows(lengths, of[b : b + most], at[b : b + most])
             inputs, target = rows[some[:, :-1]], some[:, LEAD + 1 :]
-            own = target >= 0
-            h, before, target = self.hidden(inputs)[own], inputs[:, LEAD:][own], target[own]
+            own = np.flatnonzero(target >= 0)
+            h, before, target = np.take(self.hidden(inputs).reshape(-1, HIDDEN), own, axis=0), inputs[:, LEAD:].ravel()[own], target.ravel()[own]
             goal = ids[target]
             group, row = self.group[goal], self.row[goal]
             first = h @ w["c"]
@@ -250,23 +263,29 @@ def step(model: Model, windows_of_ids: np.ndarray, rate: float) -> None:
     rows = model.row[np.maximum(windows_of_ids[:, :-1], 0)]
     h, (q, k, v, a, total, o) = model.hidden(rows, keep=True)
     target = windows_of_ids[:, LEAD + 1 :]
-    own = target >= 0
-    goal, x, before = target[own], h[own], rows[:, LEAD:][own]
+    own = np.flatnonzero(target >= 0)
+    goal, x, before = target.ravel()[own], np.take(h.reshape(-1, HIDDEN), own, axis=0), rows[:, LEAD:].ravel()[own]
     n = max(1, len(goal))
     slopes: dict[str, np.ndarray] = {}
-    p = softmax(x @ w["c"] + w["cb"] + model.follows[before])
+    p = x @ w["c"]
+    p += w["cb"]
+    p += np.take(model.follows, before, axis=0)
+    softmax(p)
     p[np.arange(len(goal)), model.group[goal]] -= 1
     slopes["c"], slopes["cb"] = x.T @ p, p.sum(0)
-    dx = p @ w["c"].T
+    x *= x
+    np.subtract(1, x, out=x)
+    x *= p @ w["c"].T
     dh = np.zeros_like(h)
-    dh[own] = dx
-    dh *= 1 - h * h
     flat = dh.reshape(-1, HIDDEN)
+    flat[own] = x
     slopes["o"] = o.reshape(len(flat), -1).T @ flat
     do = (flat @ w["o"].T).reshape(o.shape)
-    share = a / total
-    dv = share.transpose(0, 2, 1) @ do
-    da = share * (do @ v[..., :VALUE].transpose(0, 2, 1) - (do * o).sum(2, keepdims=True))
+    np.divide(a, total, out=a)
+    dv = a.transpose(0, 2, 1) @ do
+    da = do @ v[..., :VALUE].transpose(0, 2, 1)
+    da -= np.einsum("ijk,ijk->ij", do, o)[..., None]
+    da *= a
     dq, dk = da @ k, da.transpose(0, 2, 1) @ q
     for name, slope in slopes.items():
         slope /= n
@@ -275,14 +294,19 @@ def step(model: Model, windows_of_ids: np.ndarray, rate: float) -> None:
 
     def descend(name: str, rows: np.ndarray, parts: list[tuple[slice, int | None, np.ndarray]]) -> np.ndarray:
         """Slopes by place, summed by table row, for some column ranges of a table."""
-        at = rows.ravel()
+        at = rows.ravel().astype(np.uint16 if len(w[name]) < 1 << 16 else np.int64)  # sorted by digits, if short
         by = np.argsort(at, kind="stable")
-        touched, firsts = np.unique(at[by], return_index=True)
+        at = at[by]
+        firsts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        touched = at[firsts].astype(np.int64)
         for part, i, d in parts:
-            slope = np.add.reduceat(d.reshape(-1, d.shape[-1])[by], firsts, axis=0) / n
+            slope = np.add.reduceat(np.take(d.reshape(-1, d.shape[-1]), by, axis=0), firsts, axis=0)
+            slope /= n
             key = (touched, i) if i is not None else touched
-            past[name][key] += (slope**2).mean(1)
-            w[name][touched, part] -= rate * slope / np.sqrt(past[name][key])[:, None]
+            squares = past[name][key] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+            past[name][key] = squares
+            slope *= (rate / np.sqrt(squares))[:, None]
+            w[name][touched, part] -= slope
         return touched
 
     scored = rows[:, LEAD:]

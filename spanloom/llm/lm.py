@@ -54,6 +54,10 @@ def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(), np.diff(before[ends], prepend=0) if len(ends) else ends
 
 
+def bytes_of(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """word and n over all texts."""
 
@@ -72,7 +76,7 @@ def count_ids(counts: DataFrame, vocabulary: str) -> dict[int, int]:
         cut = subwords(vocabulary)
         total = np.zeros(cut.size, dtype=np.int64)
         for batch in batches:
-            ids, lengths = cut.encode(batch.column("word").cast(pa.binary()).to_pylist())
+            ids, lengths = cut.encode(bytes_of(batch.column("word")))
             np.add.at(total, ids, np.repeat(np.asarray(batch.column("n")), lengths))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
@@ -98,7 +102,7 @@ def head_words(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 def sequence(cut, words: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of texts, each with its end id, laid end to end, and the number of each text's ids."""
-    flat, lengths = cut.encode(words)
+    flat, lengths = cut.look_up(words)
     flat, lengths = np.append(flat, 0), np.append(lengths, 1)
     starts = np.cumsum(lengths) - lengths
     ends = np.cumsum(sizes)
@@ -119,7 +123,7 @@ def gather(texts: DataFrame, row: np.ndarray, vocabulary: str, every: int, round
         place = TaskContext.get().partitionId() << 40
         for batch in small_batches(batches, BATCH):
             words, codes, sizes = words_of(batch.column("text"))
-            ids, lengths = sequence(cut, words.cast(pa.binary()).to_pylist(), codes, sizes)
+            ids, lengths = sequence(cut, bytes_of(words), codes, sizes)
             own = row[ids].astype(np.int64)
             pairs, n = np.unique(np.append(0, own[:-1]) * size + own, return_counts=True)  # each text ends with the end, which the first is
             none = [pa.nulls(len(n), t) for t in (pa.int32(), pa.int64(), pa.binary())]
@@ -237,7 +241,7 @@ def score_rows(docs: DataFrame, model: Model, head: dict[bytes, int], known_end:
         place = TaskContext.get().partitionId() << 40
         for batch in small_batches(batches, BATCH):
             distinct, codes, sizes = words_of(batch.column("text"))
-            words = distinct.cast(pa.binary()).to_pylist()
+            words = bytes_of(distinct)
             count = np.fromiter((head.get(w, -1) for w in words), np.int64, len(words))
             chance = np.log10(np.maximum(count, 0) + 0.5) - math.log10(whole)
             of = np.repeat(np.arange(len(sizes)), sizes)

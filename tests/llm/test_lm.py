@@ -217,3 +217,13 @@ def test_every_window_is_learned_from_by_default():
     from spanloom.llm import lm
 
     assert inspect.signature(lm.train).parameters["every"].default == 1
+
+
+def test_words_met_before_are_not_cut_again(monkeypatch):
+    cut = attention.Subwords(VOCABULARY, entries=4)
+    for words in ([b"the", b"cat"], [b"cat", b"sat", b"\xff"], [b"the", b"a", b"b", b"c", b"d", b"the-cat"], []):
+        ids, lengths = cut.look_up(words)
+        want = cut.encode(words)
+        assert np.array_equal(ids, want[0]) and np.array_equal(lengths, want[1])
+    monkeypatch.setattr(cut, "encode", lambda words: (np.zeros(0, np.int32), np.zeros(0, np.int64)) if not words else pytest.fail("cut again"))
+    assert len(cut.look_up([b"the", b"d"])[1]) == 2

@@ -219,11 +219,16 @@ def test_every_window_is_learned_from_by_default():
     assert inspect.signature(lm.train).parameters["every"].default == 1
 
 
-def test_words_met_before_are_not_cut_again(monkeypatch):
-    cut = attention.Subwords(VOCABULARY, entries=4)
-    for words in ([b"the", b"cat"], [b"cat", b"sat", b"\xff"], [b"the", b"a", b"b", b"c", b"d", b"the-cat"], []):
-        ids, lengths = cut.look_up(words)
-        want = cut.encode(words)
-        assert np.array_equal(ids, want[0]) and np.array_equal(lengths, want[1])
-    monkeypatch.setattr(cut, "encode", lambda words: (np.zeros(0, np.int32), np.zeros(0, np.int64)) if not words else pytest.fail("cut again"))
-    assert len(cut.look_up([b"the", b"d"])[1]) == 2
+def test_softmax_and_a_window_without_scored_ids():
+    """Chances need no pass for a maximum, and a window that scores nothing changes no step."""
+    rng = np.random.default_rng(2)
+    logits = rng.normal(-3, 2, (50, 7)).astype(np.float32)
+    plain = np.exp(logits.astype(float))
+    assert np.allclose(attention.softmax(logits.copy()), plain / plain.sum(1, keepdims=True), rtol=1e-5)
+    _, ids, _, model = model_of(PROSE, rounds=0)
+    alone, padded = attention.copy_of(model), attention.copy_of(model)
+    some = np.append(ids, -1)[attention.windows(np.array([40]), np.array([0]), np.array([0]))]
+    attention.step(alone, some, 0.1)
+    attention.step(padded, np.concatenate([some, np.where(np.arange(some.shape[1]) <= attention.LEAD, some, -1)]), 0.1)
+    for name in ("c", "cb", "o", "p"):
+        assert np.allclose(alone.weights[name], padded.weights[name], atol=2e-5), name

@@ -104,6 +104,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tanh(x: np.ndarray) -> np.ndarray:
+    """In place, by one exponential, which numpy has in wide registers."""
+    x *= 2
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(-2, x, out=x)
+    x += 1
+    return x
+
+
 @dataclass
 class Model:
     """``row``: each id's row of the input tables; ``group``: its class; ``follows``: log chance of each class after each row; ``inside``: log chance in its class of each row after each row; ``rest`` less ``whole`` (of row and class): that of an id without a row of its own; ``past``: sums of squared slopes."""
@@ -134,7 +145,7 @@ class Model:
         h = (o.reshape(-1, VALUE) @ w["o"]).reshape(n, t - LEAD, HIDDEN)
         h += x[:, LEAD:, OWN_AT:]
         h += np.take(w["p"], rows[:, LEAD - 1 : -1], axis=0)
-        np.tanh(h, out=h)
+        tanh(h)
         return (h, (q, k, v, a, total, o)) if keep else h
 
     def log_chance(self, ids: np.ndarray, lengths: np.ndarray, most: int = 96) -> np.ndarray:
@@ -142,21 +153,24 @@ class Model:
         w = self.weights
         of, at = window_starts(lengths)
         rows, out, ones = np.append(self.row[ids], self.row[0]), np.zeros(len(ids)), np.ones(len(w["cb"]), f32)
+        follows = self.follows + w["cb"]
         for b in range(0, len(at), most):
             some = windows(lengths, of[b : b + most], at[b : b + most])
-            inputs, target = rows[some[:, :-1]], some[:, LEAD + 1 :]
-            own = np.flatnonzero(target >= 0)
-            h, before, target = np.take(self.hidden(inputs).reshape(-1, HIDDEN), own, axis=0), inputs[:, LEAD:].ravel()[own], target.ravel()[own]
+            inputs, target = rows[some[:, :-1]], some[:, LEAD + 1 :].ravel()
+            h, before = self.hidden(inputs).reshape(-1, HIDDEN), inputs[:, LEAD:].ravel()
             goal = ids[target]
-            group, row = self.group[goal], self.row[goal]
+            group, row = self.group[goal], rows[target]
             first = h @ w["c"]
-            first += w["cb"]
-            first += np.take(self.follows, before, axis=0)
+            first += np.take(follows, before, axis=0)
+            value = np.take(first, np.arange(0, first.size, first.shape[1]) + group)
             np.exp(first, out=first)
-            value = np.log(first[np.arange(len(goal)), group] / (first @ ones))
-            rare = row == len(self.inside) - 1
-            value += np.where(rare, self.rest[goal] - self.whole[before, group], self.inside[before, row])
-            out[target] = value
+            value -= np.log(first @ ones)
+            rare = np.flatnonzero(row == len(self.inside) - 1)
+            inside = np.take(self.inside, before.astype(np.int64) * self.inside.shape[1] + row)
+            inside[rare] = self.rest[goal[rare]] - self.whole[before[rare], group[rare]]
+            value += inside
+            own = target >= 0
+            out[target[own]] = value[own]
         return out
 
 
@@ -243,63 +257,93 @@ def start(counts: np.ndarray, most_rows: int, group: np.ndarray, pairs: np.ndarr
     return Model(row, group, rest, follows.astype(f32), inside, whole.astype(f32), w)
 
 
+#: Columns of the slopes of a place: those of its rows of "x" and "p", and one that makes them even.
+P_AT = OWN_AT + HIDDEN
+WIDE = P_AT + HIDDEN + (P_AT + HIDDEN) % 2
+#: Which columns belong to which part.
+MEMBER = np.zeros((len(PARTS) + 1, WIDE), f32)
+for _i, _part in enumerate([*PARTS.values(), slice(P_AT, P_AT + HIDDEN)]):
+    MEMBER[_i, _part] = 1
+AVERAGE = np.ascontiguousarray((MEMBER / MEMBER.sum(1, keepdims=True)).T)
+
+
+@functools.lru_cache(maxsize=2)
+def places(n: int, t: int) -> np.ndarray:
+    """Room for the slopes of all places of windows. What ``step`` does not fill stays zero."""
+    return np.zeros((n, t, WIDE), f32)
+
+
+def summed_by_row(rows: np.ndarray, d: np.ndarray, singly: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are there, and the sums of the lines of ``d`` that belong to each. The first lines of all rows are added
+    side by side, then the second ones and so on; what is left of the few rows with more lines than ``singly`` is added row by row."""
+    at = rows.astype(np.uint16 if rows.max(initial=0) < 1 << 16 else np.int64)  # sorted by digits, if short
+    by = np.argsort(at, kind="stable")
+    at = at[by]
+    firsts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    sizes = np.append(firsts[1:], len(at)) - firsts
+    rank = -np.minimum(sizes, singly + 1).astype(np.int16)
+    order = np.argsort(rank, kind="stable")
+    firsts, sizes = firsts[order], sizes[order]
+    total = np.take(d, by[firsts], axis=0)
+    more = np.searchsorted(rank[order], -np.arange(1, singly + 1)).tolist()  # rows that have a line at 1, 2, ...
+    for i, n in enumerate(more[:-1], 1):
+        total[:n] += np.take(d, by[firsts[:n] + i], axis=0)
+    if n := more[-1]:
+        left = sizes[:n] - singly
+        starts = np.cumsum(left) - left
+        lines = np.repeat(firsts[:n] + singly - starts, left) + np.arange(left.sum())
+        # pairs of columns are summed as complex numbers: that costs as much for two as for one
+        total[:n] += np.add.reduceat(np.take(d, by[lines], axis=0).view(np.complex64), starts, axis=0).view(f32)
+    return at[firsts].astype(np.int64), total
+
+
 def step(model: Model, windows_of_ids: np.ndarray, rate: float) -> None:
     """One step of adaptive gradient descent over some windows of ids, -1 where there is none."""
     w, past = model.weights, model.past
     rows = model.row[np.maximum(windows_of_ids[:, :-1], 0)]
     h, (q, k, v, a, total, o) = model.hidden(rows, keep=True)
-    target = windows_of_ids[:, LEAD + 1 :]
-    own = np.flatnonzero(target >= 0)
-    goal, x, before = target.ravel()[own], np.take(h.reshape(-1, HIDDEN), own, axis=0), rows[:, LEAD:].ravel()[own]
-    n = max(1, len(goal))
+    target = windows_of_ids[:, LEAD + 1 :].ravel()
+    x, before = h.reshape(-1, HIDDEN), rows[:, LEAD:].ravel()
     slopes: dict[str, np.ndarray] = {}
     p = x @ w["c"]
     p += w["cb"]
     p += np.take(model.follows, before, axis=0)
-    softmax(p)
-    p[np.arange(len(goal)), model.group[goal]] -= 1
-    slopes["c"], slopes["cb"] = x.T @ p, p.sum(0)
+    np.exp(p, out=p)
+    whole = p @ np.ones(p.shape[1], f32)
+    p.ravel()[np.arange(0, p.size, p.shape[1]) + model.group[target]] -= whole
+    known = target >= 0
+    p *= (known / (whole * max(1, np.count_nonzero(known)))).astype(f32)[:, None]
+    slopes["c"], slopes["cb"] = x.T @ p, np.ones(len(p), f32) @ p
     x *= x
     np.subtract(1, x, out=x)
     x *= p @ w["c"].T
-    dh = np.zeros_like(h)
-    flat = dh.reshape(-1, HIDDEN)
-    flat[own] = x
-    slopes["o"] = o.reshape(len(flat), -1).T @ flat
-    do = (flat @ w["o"].T).reshape(o.shape)
-    np.divide(a, total, out=a)
-    dv = a.transpose(0, 2, 1) @ do
-    da = do @ v[..., :VALUE].transpose(0, 2, 1)
-    da -= np.einsum("ijk,ijk->ij", do, o)[..., None]
+    slopes["o"] = o.reshape(len(x), -1).T @ x
+    # of the attended values over the total; the last column meets the column of ones in v
+    do = np.empty((*o.shape[:2], VALUE + 1), f32)
+    np.divide((x @ w["o"].T).reshape(o.shape), total, out=do[..., :VALUE])
+    np.negative(np.einsum("ijk,ijk->ij", do[..., :VALUE], o), out=do[..., VALUE])
+    da = do @ v.transpose(0, 2, 1)
     da *= a
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
     for name, slope in slopes.items():
-        slope /= n
         past[name] += slope**2
         w[name] -= rate * slope / np.sqrt(past[name])
 
-    def descend(name: str, rows: np.ndarray, parts: list[tuple[slice, int | None, np.ndarray]]) -> np.ndarray:
-        """Slopes by place, summed by table row, for some column ranges of a table."""
-        at = rows.ravel().astype(np.uint16 if len(w[name]) < 1 << 16 else np.int64)  # sorted by digits, if short
-        by = np.argsort(at, kind="stable")
-        at = at[by]
-        firsts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        touched = at[firsts].astype(np.int64)
-        for part, i, d in parts:
-            slope = np.add.reduceat(np.take(d.reshape(-1, d.shape[-1]), by, axis=0), firsts, axis=0)
-            slope /= n
-            key = (touched, i) if i is not None else touched
-            squares = past[name][key] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
-            past[name][key] = squares
-            slope *= (rate / np.sqrt(squares))[:, None]
-            w[name][touched, part] -= slope
-        return touched
-
-    scored = rows[:, LEAD:]
-    descend("x", scored, [(PARTS["q"], 0, dq), (PARTS["own"], 3, dh)])
-    touched = descend("x", rows, [(PARTS["k"], 1, dk), (PARTS["v"], 2, dv)])
-    w["x"][touched, :VALUE_AT] = np.clip(w["x"][touched, :VALUE_AT], -MOST, MOST)
-    descend("p", rows[:, LEAD - 1 : -1], [(slice(None), None, dh)])
+    d = places(*rows.shape)
+    d[:, LEAD:, PARTS["q"]] = da @ k
+    d[..., PARTS["k"]] = da.transpose(0, 2, 1) @ q
+    d[..., PARTS["v"]] = a.transpose(0, 2, 1) @ do[..., :VALUE]
+    d[:, LEAD:, PARTS["own"]] = d[:, LEAD - 1 : -1, P_AT : P_AT + HIDDEN] = h
+    touched, slope = summed_by_row(rows.ravel(), d.reshape(-1, WIDE))
+    squares = np.square(slope) @ AVERAGE
+    squares[:, :-1] += past["x"][touched]
+    squares[:, -1] += past["p"][touched]
+    past["x"][touched], past["p"][touched] = squares[:, :-1], squares[:, -1]
+    slope *= (rate / np.sqrt(squares)) @ MEMBER
+    new = np.take(w["x"], touched, axis=0)
+    new -= slope[:, :P_AT]
+    np.clip(new[:, :VALUE_AT], -MOST, MOST, out=new[:, :VALUE_AT])
+    w["x"][touched] = new
+    w["p"][touched] -= slope[:, P_AT : P_AT + HIDDEN]
 
 
 def learn(model: Model, windows_of_ids: Iterator[np.ndarray], rate: float, batch: int = 96) -> None:

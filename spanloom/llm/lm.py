@@ -2,17 +2,18 @@
 
 Words are counted over all training documents: each Arrow batch yields its distinct words
 with their numbers, Spark sums them by word. Subword counts follow from the words. A second
-pass counts which id follows which, again over all training documents, and keeps windows of
-each document to learn from: all of them, or one in ``every``, one at least. The
-rows, classes, biases and the table of classes that follow an id come from the counts. The
-network's weights are learned on the executors in ``rounds``: each worker goes through its
-share of a round's windows from the same start, Spark sums what they changed, and the mean is
-the start of the next round. What reaches the driver has the size of the network.
-
-One pass scores all texts with it. The same pass adds up the base score of the words in a
+pass cuts each text once and stores its ids. It also adds up the base score of the words in a
 broadcast head, the most frequent ones, ``head`` at most; each document's other words reach a
 join with the counts, once for each word, so no frequent word is dealt to one task.
 
+All further passes read the ids. One counts which id follows which, over all training documents.
+The rows, classes, biases and the table of classes that follow an id come from the counts. The
+network's weights are learned on the executors in ``rounds``, from windows of each document: all of
+them, or one in ``every``, one at least, each in one round. Each worker goes through its
+share of a round's windows from the same start, Spark sums what they changed, and the mean is
+the start of the next round. What reaches the driver has the size of the network. The last pass
+scores all texts with it.
+
 Cases: a null or empty text is its end alone. Rows without a doc_id are scored, have a null
 held_out and are not learned from. Rows that repeat a doc_id keep a row each. Without
 training documents the counts are zero. Columns other than doc_id and text are not read.
@@ -31,13 +32,15 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import attention
 from spanloom.llm.attention import Model, subwords
-from spanloom.llm.common import keep, small_batches, text_of
+from spanloom.llm.common import FILES_GO, keep, setting, small_batches, text_of
 
-BATCH = 12 << 20
+#: Bytes of texts, and of ids, that are handled at a time.
+BATCH, IDS = 12 << 20, 2 << 20
 #: Rows of the tables that stand for neighbours when classes are made; windows a worker learns from in a round, and workers.
 CONTEXTS, SHARE, WORKERS = 128, 16384, 1024
 GATHERED = "code long, n long, round int, place long, windows binary"
-SCORED = "place long, doc_id long, n_tokens long, known long, base double, score double, word string, n long"
+CUT = "place long, doc_id long, held_out boolean, n_tokens long, known long, base double, n_ids long, ids binary, word string, n long"
+SCORED = "place long, doc_id long, n_tokens long, known long, base double, score double"
 
 
 def held_out() -> Column:
@@ -84,8 +87,8 @@ def count_ids(counts: DataFrame, vocabulary: str) -> dict[int, int]:
     return {r.id: r.n for r in counts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
-def head_words(counts: DataFrame, most: int) -> dict[bytes, int]:
-    """The most frequent words, ``most`` at most: all above a count that a histogram gives."""
+def head_words(counts: DataFrame, most: int) -> tuple[pa.Array, np.ndarray]:
+    """The most frequent words, ``most`` at most, and their counts: all above a count that a histogram gives."""
     level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     sizes = sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level)
     total, least = 0, None
@@ -95,54 +98,124 @@ def head_words(counts: DataFrame, most: int) -> dict[bytes, int]:
             break
         least = r.level
     if least is None:
-        return {}
-    found = counts.where(level >= least).toPandas()
-    return dict(zip(map(str.encode, found["word"].tolist()), found["n"].tolist()))
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    found = counts.where(level >= least).toArrow().combine_chunks()
+    return pa.concat_arrays(found["word"].chunks).cast(pa.string()), found["n"].to_numpy()
 
 
 def sequence(cut, words: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of texts, each with its end id, laid end to end, and the number of each text's ids."""
     flat, lengths = cut.encode(words)
-    flat, lengths = np.append(flat, 0), np.append(lengths, 1)
-    starts = np.cumsum(lengths) - lengths
+    flat, lengths = np.append(flat, 0).astype(kind_of(cut.size)), np.append(lengths, 1)
     ends = np.cumsum(sizes)
-    codes = np.insert(codes.astype(np.int64), ends, len(words))
+    codes = np.insert(codes, ends, len(words))
     own = lengths[codes]
-    shift = starts[codes] - (np.cumsum(own) - own)
-    ids = flat[np.repeat(shift, own) + np.arange(int(own.sum()))]
-    return ids, np.add.reduceat(own, np.concatenate([[0], ends[:-1] + np.arange(1, len(ends))])) if len(ends) else own[:0]
+    number = np.int32 if (total := int(own.sum())) < 1 << 31 else np.int64
+    shift = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(own) - own)
+    at = np.repeat(shift.astype(number), own)
+    at += np.arange(total, dtype=number)
+    return flat[at], np.add.reduceat(own, np.concatenate([[0], ends[:-1] + np.arange(1, len(ends))])) if len(ends) else own[:0]
 
 
-def gather(texts: DataFrame, row: np.ndarray, vocabulary: str, every: int, rounds: int) -> DataFrame:
-    """code and n: how often the rows code // R and code % R follow each other, R rows in all; or (code null) n windows to learn from in a round, as ids of ``kind_of``."""
-    shared = texts.sparkSession.sparkContext.broadcast(row)
-    size = int(row.max()) + 1
+def stored_ids(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The ids of each text as bytes."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize
+    wide = offsets[-1] >= 1 << 31
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(ids)])
+
+
+def ids_in(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The reverse of ``stored_ids``."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    kind = np.dtype(kind_of(size))
+    lengths = np.diff(offsets) // kind.itemsize
+    return np.frombuffer(data, kind, int(lengths.sum()), int(offsets[0])) if len(column) else np.zeros(0, kind), lengths
+
+
+def cut_texts(docs: DataFrame, head: tuple[pa.Array, np.ndarray], known_end: int, tokens: int, types: int, vocabulary: str) -> DataFrame:
+    """A row for each document, with its ids and with base sums over its head words and its end, and (word not null) one for each of its other words."""
+    common = docs.sparkSession.sparkContext.broadcast(head)
+    whole = tokens + 0.5 * (types + 1)
+    end = math.log10((known_end + 0.5) / whole)
+    names = [x.split()[0] for x in CUT.split(", ")]
 
     def run(batches):
-        cut, row = subwords(vocabulary), shared.value
+        cut, (frequent, counts) = subwords(vocabulary), common.value
+        # the last is for words that are not in the head
+        counts, chances = np.append(counts, -1), np.append(np.log10(counts + 0.5), 0) - math.log10(whole)
         place = TaskContext.get().partitionId() << 40
         for batch in small_batches(batches, BATCH):
-            words, codes, sizes = words_of(batch.column("text"))
-            ids, lengths = sequence(cut, bytes_of(words), codes, sizes)
-            own = row[ids].astype(np.int64)
-            pairs, n = np.unique(np.append(0, own[:-1]) * size + own, return_counts=True)  # each text ends with the end, which the first is
-            none = [pa.nulls(len(n), t) for t in (pa.int32(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n), *none], GATHERED_NAMES)
+            distinct, codes, sizes = words_of(batch.column("text"))
+            n, types = len(sizes), max(1, len(distinct))
+            places = place + np.arange(n)
+            place += n
+            ids, lengths = sequence(cut, bytes_of(distinct), codes, sizes)
+            found = np.asarray(pc.fill_null(pc.index_in(distinct.cast(frequent.type), frequent), len(frequent)))[codes]
+            of = np.repeat(np.arange(n), sizes)
+            common_word = found < len(frequent)
+            base = np.bincount(of[common_word], chances[found[common_word]], minlength=n) + end
+            known = np.bincount(of[common_word], minlength=n) + (known_end > 0)
+            none = pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())
+            columns = [pa.array(places), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(lengths), stored_ids(ids, lengths).cast(pa.binary()), *none]
+            yield pa.RecordBatch.from_arrays(columns, names)
+            pairs, times = np.unique(of[~common_word] * types + codes[~common_word], return_counts=True)
+            nulls = (pa.nulls(len(pairs), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(places[pairs // types]), *nulls, distinct.take(pa.array(pairs % types)), pa.array(times)], names)
+
+    return docs.mapInArrow(run, CUT)
+
+
+def gather(texts: DataFrame, row: np.ndarray, vocabulary: str, every: int, rounds: int, only: int | str | None = None) -> DataFrame:
+    """code and n: how often the rows code // R and code % R follow each other, R rows in all; or (code null) n windows to learn from in a round, as ids of ``kind_of``. ``texts`` has ``ids``, or ``text`` to cut. ``only``: the windows of one round alone, or "pairs"."""
+    shared = texts.sparkSession.sparkContext.broadcast(row)
+    size, column = int(row.max()) + 1, "ids" if "ids" in texts.columns else "text"
+    wanted = [r for r in range(rounds) if only in (None, r)]
+
+    def counted(table):
+        codes = np.flatnonzero(table)
+        n = table[codes].astype(np.int64)
+        table[codes] = 0
+        for b in range(0, len(codes), 1 << 16):
+            part = n[b : b + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(codes[b : b + len(part)]), pa.array(part), *(pa.nulls(len(part), t) for t in (pa.int32(), pa.int64(), pa.binary()))], GATHERED_NAMES)
+
+    def run(batches):
+        cut, row = subwords(vocabulary), shared.value
+        place, kind = TaskContext.get().partitionId() << 40, np.dtype(kind_of(cut.size))
+        table, seen = np.zeros(size * size, np.uint32), 0  # memory that no pair reaches is never taken
+        for batch in small_batches(batches, BATCH if column == "text" else IDS, column):
+            if column == "ids":
+                ids, lengths = ids_in(batch.column("ids"), cut.size)
+            else:
+                words, codes, sizes = words_of(batch.column("text"))
+                ids, lengths = sequence(cut, bytes_of(words), codes, sizes)
+            if only in (None, "pairs"):
+                if seen + len(ids) >= 1 << 32:
+                    yield from counted(table)
+                    seen = 0
+                seen += len(ids)
+                own = row[ids].astype(np.int64)
+                code = np.append(0, own[:-1]) * size  # each text ends with the end, which the first row is
+                code += own
+                np.add.at(table, code, np.uint32(1))
             of, at = attention.window_starts(lengths)
             number = at // attention.STEP
             mixed = np.asarray(pc.fill_null(batch.column("doc_id"), 0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
             first = mixed.astype(np.int64) % np.minimum(every, -(-lengths // attention.STEP))
             some = number % every == first[of]
-            of, at, number = of[some], at[some], number[some]
-            turn = (mixed.astype(np.int64)[of] // every + number // every) % rounds
-            padded = np.append(ids, -1)
-            for r in range(rounds):
-                mine = turn == r
-                for b in range(0, int(mine.sum()), 2048):
-                    part = padded[attention.windows(lengths, of[mine][b : b + 2048], at[mine][b : b + 2048])].astype(kind_of(cut.size))
+            turn = np.where(some, (mixed.astype(np.int64)[of] // every + number // every) % rounds, -1)
+            padded = np.append(ids, np.iinfo(kind).max).astype(kind)
+            for r in wanted:
+                mine = np.flatnonzero(turn == r)
+                for b in range(0, len(mine), 2048):
+                    those = mine[b : b + 2048]
+                    part = padded[attention.windows(lengths, of[those], at[those])]
                     columns = [pa.nulls(1, pa.int64()), pa.array([len(part)]), pa.array([r], pa.int32()), pa.array([place]), pa.array([part.tobytes()], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, GATHERED_NAMES)
                     place += 1
+        if seen:
+            yield from counted(table)
 
     return texts.mapInArrow(run, GATHERED)
 
@@ -163,7 +236,9 @@ def windows_in(stored: bytes, size: int) -> np.ndarray:
 def pair_counts(pairs: DataFrame, size: int) -> np.ndarray:
     """How often each row follows each row: at most as many numbers as the tables have rows, squared."""
     table = np.zeros(size * size, dtype=np.float32)
-    for batch in pairs.toArrow().to_batches():
+    with setting(pairs.sparkSession, FILES_GO, "true"):
+        found = pairs.toArrow()
+    for batch in found.to_batches():
         table[np.asarray(batch.column("code"))] = np.asarray(batch.column("n"))
     return table.reshape(size, size)
 
@@ -197,7 +272,8 @@ def learned(model: Model, stored: DataFrame, windows: int, rate: float, batch: i
 
     workers = max(1, min(WORKERS, -(-windows // SHARE)))
     changed = stored.repartition(workers, "place").sortWithinPartitions("place").select("windows").mapInArrow(work, schema)
-    sums = changed.repartition("name", "first").sortWithinPartitions("name", "first").mapInArrow(add, schema).collect()  # of the network's size
+    with setting(spark, FILES_GO, "true"):
+        sums = changed.repartition("name", "first").sortWithinPartitions("name", "first").mapInArrow(add, schema).collect()  # of the network's size
     after, width = attention.copy_of(model), {k: v.shape[1] + 1 for k, v in attention.numbers(model).items()}
     for r in sums:
         attention.add_changes(after, r.name, r.first, np.frombuffer(r.change, "<f8").reshape(-1, width[r.name]))
@@ -206,7 +282,7 @@ def learned(model: Model, stored: DataFrame, windows: int, rate: float, batch: i
 
 
 def train(texts: DataFrame, counts: DataFrame, documents: int, vocabulary: str, most_rows: int = 4096, every: int = 1, rounds: int = 4, rate: float = 0.1, batch: int = 96) -> Model:
-    """A network that has learned from ``texts`` (doc_id, text)."""
+    """A network that has learned from ``texts`` (doc_id, n_ids, ids)."""
     size = subwords(vocabulary).size
     totals = np.zeros(size)
     for i, n in count_ids(counts, vocabulary).items():
@@ -214,75 +290,59 @@ def train(texts: DataFrame, counts: DataFrame, documents: int, vocabulary: str,
     totals[0] = documents
     _, row = attention.rows_of(totals, most_rows)
     rows = int(row.max()) + 1
-    stored = keep(gather(texts, row, vocabulary, every, rounds), "gathered")
-    pairs = stored.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
+    pairs = gather(texts, row, vocabulary, every, rounds, "pairs").groupBy("code").agg(F.sum("n").alias("n"))
     follow = pair_counts(pairs, rows)
     contexts = min(CONTEXTS, rows)
     group = attention.classes(totals, most_rows, follow[:contexts].T.astype(float), follow[:, :contexts].astype(float))
     model = attention.start(totals, most_rows, group, follow)
     del follow
-    sizes = {r["round"]: r.n for r in stored.where("code is null").groupBy("round").agg(F.sum("n").alias("n")).collect()}
-    for r in range(rounds):
-        if sizes.get(r):
-            model = learned(model, stored.where(F.col("round") == r), sizes[r], rate * (1 - 0.9 * r / rounds), batch, size)
+    windows = texts.agg(F.sum(F.ceil(F.ceil(F.col("n_ids") / attention.STEP) / every))).first()[0] or 0
+    for r in range(rounds if windows else 0):
+        model = learned(model, gather(texts, row, vocabulary, every, rounds, r), -(-windows // rounds), rate * (1 - 0.9 * r / rounds), batch, size)
     model.past = {}  # not needed to score
     return model
 
 
-def score_rows(docs: DataFrame, model: Model, head: dict[bytes, int], known_end: int, tokens: int, types: int, vocabulary: str) -> DataFrame:
-    """A row for each document, with base sums over its head words and its end, and (word not null) one for each of its other words."""
-    context = docs.sparkSession.sparkContext
-    network, common = context.broadcast(model), context.broadcast(head)
-    whole = tokens + 0.5 * (types + 1)
-    end = math.log10((known_end + 0.5) / whole)
+def score_rows(cut: DataFrame, model: Model, vocabulary: str) -> DataFrame:
+    """The documents of ``cut_texts`` with their scores."""
+    network = cut.sparkSession.sparkContext.broadcast(model)
+    names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(batches):
-        cut, model, head = subwords(vocabulary), network.value, common.value
-        place = TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches, BATCH):
-            distinct, codes, sizes = words_of(batch.column("text"))
-            words = bytes_of(distinct)
-            count = np.fromiter((head.get(w, -1) for w in words), np.int64, len(words))
-            chance = np.log10(np.maximum(count, 0) + 0.5) - math.log10(whole)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            common_word = count[codes] >= 0
-            base = np.bincount(of[common_word], chance[codes[common_word]], minlength=len(sizes)) + end
-            known = np.bincount(of[common_word], minlength=len(sizes)) + (known_end > 0)
-            ids, lengths = sequence(cut, words, codes, sizes)
+        size, model = subwords(vocabulary).size, network.value
+        for batch in small_batches(batches, IDS, "ids"):
+            ids, lengths = ids_in(batch.column("ids"), size)
             values = model.log_chance(ids, lengths) / math.log(10)
-            score = np.bincount(np.repeat(np.arange(len(lengths)), lengths), values, minlength=len(sizes))
-            n = len(sizes)
-            places = place + np.arange(n)
-            place += n
-            none = pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())
-            columns = [pa.array(places), batch.column("doc_id"), pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(score), *none]
-            names = [x.split()[0] for x in SCORED.split(", ")]
-            yield pa.RecordBatch.from_arrays(columns, names)
-            pairs, times = np.unique(of[~common_word] * max(1, len(words)) + codes[~common_word], return_counts=True)
-            word = distinct.take(pa.array(pairs % max(1, len(words))))
-            rare = [pa.array(places[pairs // max(1, len(words))]), *(pa.nulls(len(pairs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), word, pa.array(times)]
-            yield pa.RecordBatch.from_arrays(rare, names)
+            score = np.bincount(np.repeat(np.arange(len(lengths)), lengths), values, minlength=len(lengths))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names[:-1]), pa.array(score)], names)
 
-    return docs.mapInArrow(run, SCORED)
+    return cut.select(*names[:-1], "ids").mapInArrow(run, SCORED)
 
 
 def score(docs: DataFrame, vocabulary: str, head: int = 1 << 18, **rule) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    texts = own.where(~held_out())
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+        return scored(docs, vocabulary, head, **rule)
+
+
+def scored(docs: DataFrame, vocabulary: str, head: int, **rule) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("held_out", held_out())
+    texts = own.where("not held_out")
     counts = keep(count_words(texts), "words")
     documents = texts.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("types")).first()
     tokens, types = sums.n + documents, sums.types + (documents > 0)
-    model = train(texts, counts, documents, vocabulary, **rule)
-    rows = keep(score_rows(own, model, head_words(counts, head), documents, tokens, types, vocabulary), "scores")
+    cut = keep(cut_texts(own, head_words(counts, head), documents, tokens, types, vocabulary), "cut")
+    whole_texts = cut.where("word is null")
+    model = train(whole_texts.where("not held_out").select("doc_id", "n_ids", "ids"), counts, documents, vocabulary, **rule)
+    rows = keep(score_rows(whole_texts, model, vocabulary), "scores")
     whole = tokens + 0.5 * (types + 1)
-    rest = rows.where("word is not null").select("place", "word", "n").join(counts.withColumnRenamed("n", "c"), "word", "left")
+    rest = cut.where("word is not null").select("place", "word", "n").join(counts.withColumnRenamed("n", "c"), "word", "left")
     rest = rest.groupBy("place").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - F.lit(math.log10(whole)))).alias("more"),
     )
-    every = rows.where("word is null").join(rest, "place", "left")
+    every = rows.join(rest, "place", "left")
     return every.select(
         "doc_id",
         held_out().alias("held_out"),

@@ -232,3 +232,61 @@ def test_softmax_and_a_window_without_scored_ids():
     attention.step(padded, np.concatenate([some, np.where(np.arange(some.shape[1]) <= attention.LEAD, some, -1)]), 0.1)
     for name in ("c", "cb", "o", "p"):
         assert np.allclose(alone.weights[name], padded.weights[name], atol=2e-5), name
+
+
+class Captured:
+    """Stands for a table: keeps the function given to mapInArrow, so that it runs in this process."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+    broadcast = staticmethod(lambda value: type("Shared", (), {"value": value}))
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_scoring_holds_a_part_of_a_large_batch_at_a_time():
+    """12 MB of ids in one Arrow batch: the pass that scores took 25 MB for it when this was written, 176 MB for a batch of 13 MB of texts when it cut them again."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    cut, ids, _, model = model_of(PROSE)
+    texts = [np.resize(ids, n).astype(lm.kind_of(cut.size)) for n in [2000] * 3000]
+    lengths = np.array([len(t) for t in texts])
+    numbers = pa.array(range(len(texts)))
+    stored = lm.stored_ids(np.concatenate(texts), lengths)
+    batch = pa.RecordBatch.from_arrays([*[numbers] * 4, numbers.cast(pa.float64()), stored], ["place", "doc_id", "n_tokens", "known", "base", "ids"])
+    run = lm.score_rows(Captured(), model, VOCABULARY)
+    tracemalloc.start()
+    got = pa.Table.from_batches(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    want = model.log_chance(texts[0], lengths[:1]).sum() / math.log(10)
+    assert got.num_rows == len(texts) and np.allclose(got["score"], want, rtol=1e-5)
+
+
+def test_stored_ids_come_back_from_slices():
+    lengths = np.array([3, 1, 5, 2])
+    ids = np.arange(11, dtype="<u2")
+    stored = lm.stored_ids(ids, lengths)
+    got, n = lm.ids_in(stored.slice(1, 2), 50_000)
+    assert got.tolist() == list(range(3, 9)) and n.tolist() == [1, 5]
+    assert lm.ids_in(stored.slice(2, 0), 50_000)[0].tolist() == []
+
+
+def test_sums_by_row_against_plain_loops():
+    rng = np.random.default_rng(4)
+    rows = np.append(rng.zipf(1.4, 900) % 300, [70_000] * 20)
+    d = rng.normal(size=(len(rows), 6)).astype(np.float32)
+    there, got = attention.summed_by_row(rows, d)
+    assert sorted(there.tolist()) == sorted(set(rows.tolist()))
+    assert all(np.allclose(s, d[rows == r].sum(0), atol=1e-4) for r, s in zip(there, got))
+
+
+def test_tanh_by_an_exponential():
+    x = np.array([-300, -20, -1, -1e-4, 0, 1e-4, 0.3, 5, 300], np.float32)
+    assert np.allclose(attention.tanh(x.copy()), np.tanh(x.astype(float)), atol=2e-7)

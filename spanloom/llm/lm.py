@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import attention
 from spanloom.llm.attention import Model, subwords
-from spanloom.llm.common import FILES_GO, keep, setting, small_batches, text_of
+from spanloom.llm.common import FILES_GO, give_back, hold_freed, keep, setting, small_batches, text_of
 
 #: Bytes of texts, and of ids, that are handled at a time.
 BATCH, IDS = 12 << 20, 2 << 20
@@ -181,6 +181,7 @@ def gather(texts: DataFrame, row: np.ndarray, vocabulary: str, every: int, round
             yield pa.RecordBatch.from_arrays([pa.array(codes[b : b + len(part)]), pa.array(part), *(pa.nulls(len(part), t) for t in (pa.int32(), pa.int64(), pa.binary()))], GATHERED_NAMES)
 
     def run(batches):
+        hold_freed()
         cut, row = subwords(vocabulary), shared.value
         place, kind = TaskContext.get().partitionId() << 40, np.dtype(kind_of(cut.size))
         table, seen = np.zeros(size * size, np.uint32), 0  # memory that no pair reaches is never taken
@@ -250,10 +251,12 @@ def learned(model: Model, stored: DataFrame, windows: int, rate: float, batch: i
     schema = "name string, first int, change binary"
 
     def work(batches):
+        hold_freed()
         own = attention.copy_of(shared.value)
         attention.learn(own, (windows_in(s, size) for b in batches for s in b.column("windows").to_pylist()), rate, batch)
         for name, first, change in attention.changes(shared.value, own):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int32()), pa.array([change.tobytes()], pa.binary())], ["name", "first", "change"])
+        give_back()
 
     def add(batches):
         key, total = None, None
@@ -309,6 +312,7 @@ def score_rows(cut: DataFrame, model: Model, vocabulary: str) -> DataFrame:
     names = [x.split()[0] for x in SCORED.split(", ")]
 
     def run(batches):
+        hold_freed()
         size, model = subwords(vocabulary).size, network.value
         for batch in small_batches(batches, IDS, "ids"):
             ids, lengths = ids_in(batch.column("ids"), size)
